@@ -42,10 +42,11 @@ def write_splits(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
 
 def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A5: header row, quoted multi-line values; a byte-order mark before the header is fine."""
-    # Columns are matched by position, and the header line is skipped by Spark's reader.
+    # Columns are matched by position. The null marker never occurs in a file: an unquoted empty
+    # cell is null, a quoted one is the empty text.
     return (
         spark.read.schema(schema)
-        .options(header=True, multiLine=True, quote='"', escape='"', enforceSchema=True)
+        .options(header=True, multiLine=True, quote='"', escape='"', nullValue="\x00")
         .csv(path)
     )
 
