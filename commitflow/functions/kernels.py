@@ -22,8 +22,57 @@ MAX_SHIFT_SIZE, MAX_SHIFT_DISTANCE, MAX_SHIFT_TRIALS = 10, 50, 1000
 METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
 
 
-def _grams(seq: Sequence, n: int) -> Counter:
-    return Counter(zip(*(seq[i:] for i in range(n))))
+def _chunks(sizes: list[int], limit: int = 2_000_000):
+    """Row ranges of about ``limit`` units, so that long texts do not pile up in memory."""
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > limit:
+            yield start, i
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def clipped_counts(rows: list[list], max_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matches, prediction and reference n-grams per row and order.
+
+    A row is ``[prediction, reference, ...]``. Every n-gram gets a number that is unique within its
+    row, by extending the number of its first ``n - 1`` units with the last one; counting is then
+    plain integer work over all rows at once.
+    """
+    seqs = [s for row in rows for s in row]
+    n_sides = max(len(row) for row in rows)
+    lengths = np.array([len(s) for s in seqs], dtype=np.int64)
+    out = np.zeros((3, len(rows), max_n), dtype=np.int64)
+    if not lengths.sum():
+        return out[0], out[1], out[2]
+    if isinstance(seqs[0], str):
+        units = np.frombuffer("".join(seqs).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    else:
+        units = pd.factorize(np.array([u for s in seqs for u in s], dtype=object))[0]
+    row_of = np.repeat(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), lengths)
+    side_of = np.repeat(np.array([k for row in rows for k in range(len(row))]), lengths)
+    ends = np.repeat(np.cumsum(lengths), lengths)
+    single = pd.factorize(row_of * (int(units.max()) + 1) + units)[0].astype(np.int64)
+    at, ids = np.arange(len(units)), single
+    for n in range(1, max_n + 1):
+        if n > 1:
+            fits = at + n <= ends[at]
+            at, ids = at[fits], ids[fits]
+            if not len(at):
+                break
+            wide = ids * (int(single.max()) + 1) + single[at + n - 1]
+            ids = pd.factorize(wide)[0].astype(np.int64)
+        grams = int(ids.max()) + 1
+        counts = np.bincount(ids * n_sides + side_of[at], minlength=grams * n_sides)
+        counts = counts.reshape(grams, n_sides)
+        have, want = counts[:, 0], counts[:, 1:].max(axis=1)
+        row_of_gram = np.empty(grams, dtype=np.int64)
+        row_of_gram[ids] = row_of[at]
+        for k, values in enumerate((np.minimum(have, want), have, want)):
+            out[k, :, n - 1] = np.bincount(row_of_gram, weights=values, minlength=len(rows))
+    return out[0], out[1], out[2]
 
 
 def ngram_counts(pred: Column, refs: Column, max_n: int, stemmed: bool = False) -> Column:
@@ -39,25 +88,24 @@ def ngram_counts(pred: Column, refs: Column, max_n: int, stemmed: bool = False)
             return seq
         return [stem(w) if len(w) > 3 else w for w in seq] if stemmed else list(seq)
 
+    names = ["match", "pred", "ref", "pred_len", "ref_len"]
+
     @F.pandas_udf(
         "match array<bigint>, pred array<bigint>, ref array<bigint>, pred_len bigint, ref_len bigint"
     )
     def count(preds: pd.Series, references: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, many in zip(preds, references):
-            p = units(p)
-            many = [units(r) for r in many]
-            match, total, ref = [], [], []
-            for n in range(1, max_n + 1):
-                have, want = _grams(p, n), Counter()
-                for r in many:
-                    want |= _grams(r, n)
-                match.append((have & want).total())
-                total.append(have.total())
-                ref.append(want.total())
-            near = min((abs(len(p) - len(r)), i) for i, r in enumerate(many))[1]
-            rows.append((match, total, ref, len(p), len(many[near])))
-        return pd.DataFrame(rows, columns=["match", "pred", "ref", "pred_len", "ref_len"])
+        rows = [
+            [units(p), *(units(r) for r in (many if len(many) else ([],)))]
+            for p, many in zip(preds, references)
+        ]
+        parts = []
+        for a, b in _chunks([sum(map(len, row)) for row in rows]):
+            part = rows[a:b]
+            counts = [c.tolist() for c in clipped_counts(part, max_n)]
+            own = [len(row[0]) for row in part]
+            near = [min((len(r) for r in row[1:]), key=lambda n: abs(n - len(row[0]))) for row in part]
+            parts.append(pd.DataFrame(dict(zip(names, [*counts, own, near]))))
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
 
     return count(pred, refs)
 

@@ -32,11 +32,12 @@ def rouge_toks(x: str) -> str:
     return f"regexp_extract_all(regexp_replace(lower({x}),'[^a-z0-9]+',' ','g'),'[^\\s]+')"
 
 
-def gram_counts(tokens: str, n: int) -> str:
-    """id, n, clipped matches, prediction and reference n-grams from ``toks(id, p, t)`` lists."""
+def gram_counts(tokens: str, n: int, chars: bool = False) -> str:
+    """id, n, clipped matches, prediction and reference n-grams from ``toks(id, p, t)``."""
+    gram = "substring({c},i,n)" if chars else "array_to_string({c}[i:i+n-1], chr(1))"
     side = lambda c, is_p: (
         f"select id, n, {is_p} as is_p, unnest(list_transform(range(1, len({c})-n+2), lambda i:"
-        f" array_to_string({c}[i:i+n-1], chr(1)))) as g from {tokens}, (select unnest(range(1,{n}+1)) as n)"
+        f" {gram.format(c=c)})) as g from {tokens}, (select unnest(range(1,{n}+1)) as n)"
     )
     return (
         "select id, n, sum(least(cp,ct))::bigint as m, sum(cp)::bigint as p, sum(ct)::bigint as t from"
@@ -167,7 +168,7 @@ for _n in (1, 2):
 
 
 def chars_of(x: str) -> str:
-    return f"string_split(regexp_replace({x},'\\s+','','g'),'')"
+    return f"regexp_replace({x},'\\s+','','g')"
 
 
 CHRF_SQL = (
@@ -182,7 +183,7 @@ CHRF_SQL = (
         "select id, coalesce(chrf,0) as chrf from predictions left join r using (id)",
         "predictions",
         toks=toks_of(chars_of, "model_b"),
-        grams=gram_counts("toks", 6),
+        grams=gram_counts("toks", 6, chars=True),
         r=CHRF_SQL.format(key="id,", src="grams", grp="group by id"),
     ),
 )
@@ -200,7 +201,7 @@ def i8_row(spark, sf):
         ),
         "predictions",
         toks=toks_of(chars_of, "model_b"),
-        grams=gram_counts("toks", 6),
+        grams=gram_counts("toks", 6, chars=True),
     ),
 )
 def i8_corpus(spark, sf):

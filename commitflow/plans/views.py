@@ -17,15 +17,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Deal out a scan that is too small to fill the cores; larger ones are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def _lines(text: str = "text"):
     return F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x)) > 0)
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commit per document: the first line is the message, every line is one file change."""
-    src = table(spark, sf_dir, "documents").select(
-        "doc_id", "lang", "source", _lines().alias("lines")
-    )
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    src = spread(docs).select("doc_id", "lang", "source", _lines().alias("lines"))
 
     def change(x, i):
         turn = ((F.col("doc_id") + i) % 3).cast("int")
@@ -56,7 +61,7 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sentence of every document, with the outputs of two pretended models."""
     w = F.filter(F.split("sentence", " "), lambda x: x != "")
     sentences = (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
         .select("doc_id", "lang", F.posexplode(F.split("text", "[.\n]+")).alias("pos", "sentence"))
         .select((F.col("doc_id") * 1000000 + F.col("pos")).alias("id"), "lang", w.alias("w"))
         .filter(F.size("w") > 0)
