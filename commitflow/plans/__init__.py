@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MODULES = ("commit_queries", "prompt_queries", "stats_queries", "metric_queries")
+MODULES = ("commit_queries", "prompt_queries", "stats_queries", "metric_queries", "sequence_queries")
 
 
 def all_registries():
