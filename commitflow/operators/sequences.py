@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import text as tx
+from ..session import shared_dir
 from .rows import with_row_index
 
 # Fixed value: label positions that are not scored.
@@ -39,7 +40,9 @@ def build_vocab(df: DataFrame, tokens_col: str, max_words: int | None = None) ->
     )
     if max_words is not None:
         counts = counts.orderBy("__rank", "word").limit(max_words)
-    indexed = with_row_index(counts, ["__rank", "word"], "__i")
+    # The counts are read several times below; the corpus is read once.
+    shared_dir(df.sparkSession)
+    indexed = with_row_index(counts.checkpoint(), ["__rank", "word"], "__i")
     return indexed.select("word", (F.col("__i") + len(SPECIALS)).cast("int").alias("id"))
 
 

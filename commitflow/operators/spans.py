@@ -87,22 +87,23 @@ def span_mask(
     return staged.withColumn(name, mask).drop("__noise", "__clean", "__spans", "__cn", "__cc")
 
 
-def _with_sentinels(ids: str, mask: Column, vocab_len: int, eos: int) -> Column:
+def _with_sentinels(
+    df: DataFrame, ids: str, mask: str, out: str, vocab_len: int, eos: int
+) -> DataFrame:
+    # Where a run of masked positions begins, as an array of its own: the k-th run gets sentinel k.
     starts = F.filter(
-        F.transform(
-            mask,
-            lambda m, i: F.when(m & ~F.coalesce(F.get(mask, i - 1), F.lit(False)), i),
-        ),
+        F.transform(mask, lambda m, i: F.when(m & ~F.coalesce(F.get(mask, i - 1), F.lit(False)), i)),
         lambda x: x.isNotNull(),
     )
-    kept = F.transform(
-        F.col(ids),
-        lambda x, i: F.when(~F.get(mask, i), x).when(
-            F.array_position(starts, i) > 0,
-            (F.lit(vocab_len) - F.array_position(starts, i)).cast("int"),
-        ),
-    )
-    return F.concat(F.filter(kept, lambda x: x.isNotNull()), F.array(F.lit(eos)))
+    staged = df.withColumn("__starts", starts)
+
+    def entry(z: Column, i: Column) -> Column:
+        rank = F.array_position("__starts", i)
+        return F.when(~z["m"], z["x"]).when(rank > 0, (F.lit(vocab_len) - rank).cast("int"))
+
+    zipped = F.arrays_zip(F.col(ids).alias("x"), F.col(mask).alias("m"))
+    kept = F.filter(F.transform(zipped, entry), lambda x: x.isNotNull())
+    return staged.withColumn(out, F.concat(kept, F.array(F.lit(eos)))).drop("__starts")
 
 
 def corrupt_spans(
@@ -119,8 +120,8 @@ def corrupt_spans(
     Given lengths are checked; a row that misses them is an error.
     """
     staged = df.withColumn("__comp", F.transform(mask, lambda m: ~m))
-    out = staged.withColumn("labels", _with_sentinels(ids, F.col("__comp"), vocab_len, eos))
-    out = out.withColumn(ids, _with_sentinels(ids, F.col(mask), vocab_len, eos)).drop("__comp")
+    out = _with_sentinels(staged, ids, "__comp", "labels", vocab_len, eos)
+    out = _with_sentinels(out, ids, mask, ids, vocab_len, eos).drop("__comp")
     for col, want in ((ids, input_len), ("labels", target_len)):
         if want is not None:
             wrong = F.raise_error(F.lit(f"{col} does not have {want} entries")).cast("array<int>")
