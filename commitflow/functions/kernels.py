@@ -11,6 +11,8 @@ from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,37 +24,50 @@ MAX_SHIFT_SIZE, MAX_SHIFT_DISTANCE, MAX_SHIFT_TRIALS = 10, 50, 1000
 METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
 
 
-def _chunks(sizes: list[int], limit: int = 2_000_000):
-    """Row ranges of about ``limit`` units, so that long texts do not pile up in memory."""
-    start, total = 0, 0
-    for i, size in enumerate(sizes):
-        if i > start and total + size > limit:
-            yield start, i
-            start, total = i, 0
-        total += size
-    if start < len(sizes):
-        yield start, len(sizes)
+UNITS_PER_CHUNK = 2_000_000
 
 
-def clipped_counts(rows: list[list], max_n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Matches, prediction and reference n-grams per row and order.
+def _units(parts: list[pa.Array], stemmed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence lengths, and one number per unit such that equal units have equal numbers.
 
-    A row is ``[prediction, reference, ...]``. Every n-gram gets a number that is unique within its
-    row, by extending the number of its first ``n - 1`` units with the last one; counting is then
-    plain integer work over all rows at once.
+    A part is an array of token lists, or of texts (then characters are the units).
     """
-    seqs = [s for row in rows for s in row]
-    n_sides = max(len(row) for row in rows)
-    lengths = np.array([len(s) for s in seqs], dtype=np.int64)
-    out = np.zeros((3, len(rows), max_n), dtype=np.int64)
-    if not lengths.sum():
-        return out[0], out[1], out[2]
-    if isinstance(seqs[0], str):
-        units = np.frombuffer("".join(seqs).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
-    else:
-        units = pd.factorize(np.array([u for s in seqs for u in s], dtype=object))[0]
-    row_of = np.repeat(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), lengths)
-    side_of = np.repeat(np.array([k for row in rows for k in range(len(row))]), lengths)
+    if pa.types.is_list(parts[0].type):
+        lengths = np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts])
+        coded = pa.concat_arrays([p.flatten() for p in parts]).dictionary_encode()
+        numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        if stemmed:
+            stems = [stem(w) if len(w) > 3 else w for w in coded.dictionary.to_pylist()]
+            numbers = pd.factorize(np.array(stems, dtype=object))[0][numbers].astype(np.int64)
+        return lengths.astype(np.int64), numbers
+    texts = [t for p in parts for t in p.to_pylist()]
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    return lengths, np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
+def clipped_counts(pred: pa.Array, refs: pa.Array, max_n: int, stemmed: bool = False) -> np.ndarray:
+    """Per row: matches, prediction n-grams and reference n-grams of every order, and both lengths.
+
+    Every n-gram gets a number that is unique within its row, by extending the number of its first
+    ``n - 1`` units with the last one; counting is then integer work over all rows at once.
+    """
+    n_rows = len(pred)
+    out = np.zeros((n_rows, 3 * max_n + 2), dtype=np.int64)
+    n_refs = np.diff(refs.offsets.to_numpy()).astype(np.int64)
+    lengths, units = _units([pred, refs.flatten()], stemmed)
+    ref_row = np.repeat(np.arange(n_rows), n_refs)
+    seq_row = np.concatenate([np.arange(n_rows), ref_row])
+    nth = np.arange(len(ref_row)) - np.repeat(np.cumsum(n_refs) - n_refs, n_refs)
+    seq_side = np.concatenate([np.zeros(n_rows, dtype=np.int64), nth + 1])
+    n_sides = int(seq_side.max(initial=0)) + 1
+    # The reference nearest in length; the earlier one of equals.
+    out[:, -2] = lengths[:n_rows]
+    gap = np.abs(lengths[n_rows:] - lengths[ref_row])
+    order = np.lexsort((nth, gap, ref_row))[::-1]
+    out[ref_row[order], -1] = lengths[n_rows:][order]
+    if not len(units):
+        return out
+    row_of, side_of = np.repeat(seq_row, lengths), np.repeat(seq_side, lengths)
     ends = np.repeat(np.cumsum(lengths), lengths)
     single = pd.factorize(row_of * (int(units.max()) + 1) + units)[0].astype(np.int64)
     at, ids = np.arange(len(units)), single
@@ -62,50 +77,57 @@ def clipped_counts(rows: list[list], max_n: int) -> tuple[np.ndarray, np.ndarray
             at, ids = at[fits], ids[fits]
             if not len(at):
                 break
-            wide = ids * (int(single.max()) + 1) + single[at + n - 1]
-            ids = pd.factorize(wide)[0].astype(np.int64)
+            longer = ids * (int(single.max()) + 1) + single[at + n - 1]
+            ids = pd.factorize(longer)[0].astype(np.int64)
         grams = int(ids.max()) + 1
         counts = np.bincount(ids * n_sides + side_of[at], minlength=grams * n_sides)
         counts = counts.reshape(grams, n_sides)
-        have, want = counts[:, 0], counts[:, 1:].max(axis=1)
+        have, want = counts[:, 0], counts[:, 1:].max(axis=1, initial=0)
         row_of_gram = np.empty(grams, dtype=np.int64)
         row_of_gram[ids] = row_of[at]
         for k, values in enumerate((np.minimum(have, want), have, want)):
-            out[k, :, n - 1] = np.bincount(row_of_gram, weights=values, minlength=len(rows))
-    return out[0], out[1], out[2]
+            column = np.bincount(row_of_gram, weights=values, minlength=n_rows)
+            out[:, k * max_n + n - 1] = column
+    return out
+
+
+def _row_ranges(pred: pa.Array, refs: pa.Array) -> list[tuple[int, int]]:
+    """Row ranges of about ``UNITS_PER_CHUNK`` units, so that long texts do not pile up in memory."""
+    def sizes(part: pa.Array) -> np.ndarray:
+        if pa.types.is_list(part.type):
+            return np.diff(part.offsets.to_numpy()).astype(np.int64)
+        return pc.utf8_length(part).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    ref_ends = np.concatenate([[0], np.cumsum(sizes(refs.flatten()))])
+    bounds = refs.offsets.to_numpy() - refs.offsets[0].as_py()
+    total = np.cumsum(sizes(pred) + np.diff(ref_ends[bounds]))
+    cuts = np.flatnonzero(np.diff(total // UNITS_PER_CHUNK)) + 1
+    edges = [0, *cuts.tolist(), len(pred)]
+    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
+
+
+def ngram_fields(max_n: int) -> list[str]:
+    sides = [f"{side}_{i}" for side in ("match", "pred", "ref") for i in range(max_n)]
+    return [*sides, "pred_len", "ref_len"]
 
 
 def ngram_counts(pred: Column, refs: Column, max_n: int, stemmed: bool = False) -> Column:
     """Clipped n-gram matches against an array of references.
 
     ``pred`` is a token array or a text (then characters are the units), ``refs`` an array of these.
-    Result: ``match``, ``pred``, ``ref`` (one entry per order), ``pred_len`` and ``ref_len`` (of the
+    Fields: ``match_i``, ``pred_i``, ``ref_i`` per order, ``pred_len`` and ``ref_len`` (of the
     reference nearest in length).
     """
+    names = ngram_fields(max_n)
 
-    def units(seq):
-        if isinstance(seq, str):
-            return seq
-        return [stem(w) if len(w) > 3 else w for w in seq] if stemmed else list(seq)
-
-    names = ["match", "pred", "ref", "pred_len", "ref_len"]
-
-    @F.pandas_udf(
-        "match array<bigint>, pred array<bigint>, ref array<bigint>, pred_len bigint, ref_len bigint"
-    )
-    def count(preds: pd.Series, references: pd.Series) -> pd.DataFrame:
-        rows = [
-            [units(p), *(units(r) for r in (many if len(many) else ([],)))]
-            for p, many in zip(preds, references)
+    @F.arrow_udf(", ".join(f"{n} bigint" for n in names))
+    def count(preds: pa.Array, references: pa.Array) -> pa.Array:
+        parts = [
+            clipped_counts(preds.slice(a, b - a), references.slice(a, b - a), max_n, stemmed)
+            for a, b in _row_ranges(preds, references)
         ]
-        parts = []
-        for a, b in _chunks([sum(map(len, row)) for row in rows]):
-            part = rows[a:b]
-            counts = [c.tolist() for c in clipped_counts(part, max_n)]
-            own = [len(row[0]) for row in part]
-            near = [min((len(r) for r in row[1:]), key=lambda n: abs(n - len(row[0]))) for row in part]
-            parts.append(pd.DataFrame(dict(zip(names, [*counts, own, near]))))
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=names)
+        table = np.concatenate(parts) if parts else np.zeros((0, len(names)), dtype=np.int64)
+        return pa.StructArray.from_arrays([pa.array(c) for c in table.T], names=names)
 
     return count(pred, refs)
 
@@ -123,13 +145,14 @@ def lcs_length(a: Sequence, b: Sequence) -> int:
     return len(a) - row.bit_count()
 
 
-def _pairs(kernel: Callable[[list, list], Iterable], schema: str, names: list[str]):
-    """Arrow function from a per-row kernel over two token arrays."""
+def _pairs(kernel: Callable[[list, list], Iterable], names: list[str]):
+    """Arrow function from a per-row kernel over two token arrays that returns integers."""
 
-    @F.pandas_udf(schema)
-    def apply(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        rows = [tuple(kernel(list(a), list(b))) for a, b in zip(left, right)]
-        return pd.DataFrame(rows, columns=names)
+    @F.arrow_udf(", ".join(f"{n} bigint" for n in names))
+    def apply(left: pa.Array, right: pa.Array) -> pa.Array:
+        rows = [tuple(kernel(a, b)) for a, b in zip(left.to_pylist(), right.to_pylist())]
+        columns = list(zip(*rows)) if rows else [()] * len(names)
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     return apply
 
@@ -142,8 +165,7 @@ def lcs_counts(pred: Column, ref: Column, stemmed: bool = False) -> Column:
             a, b = ([stem(w) if len(w) > 3 else w for w in x] for x in (a, b))
         return lcs_length(a, b), len(a), len(b)
 
-    names = ["hits", "pred_len", "ref_len"]
-    return _pairs(kernel, "hits bigint, pred_len bigint, ref_len bigint", names)(pred, ref)
+    return _pairs(kernel, ["hits", "pred_len", "ref_len"])(pred, ref)
 
 
 def _lcs_positions(ref: list, pred: list) -> set[int]:
@@ -178,8 +200,6 @@ def lsum_counts(pred: Column, ref: Column) -> Column:
     """Union-LCS hits over sentences; both sides are arrays of token arrays."""
 
     def kernel(preds, refs):
-        preds = [list(s) for s in preds]
-        refs = [list(s) for s in refs]
         have = Counter(t for s in preds for t in s)
         want = Counter(t for s in refs for t in s)
         hits = 0
@@ -196,8 +216,7 @@ def lsum_counts(pred: Column, ref: Column) -> Column:
                     want[token] -= 1
         return hits, n_pred, n_ref
 
-    names = ["hits", "pred_len", "ref_len"]
-    return _pairs(kernel, "hits bigint, pred_len bigint, ref_len bigint", names)(pred, ref)
+    return _pairs(kernel, ["hits", "pred_len", "ref_len"])(pred, ref)
 
 
 class EditTable:
@@ -317,7 +336,7 @@ def _matching_blocks(hyp: list, ref: list, places: dict):
 
 def edit_counts(pred: Column, ref: Column) -> Column:
     """``edits`` and ``ref_len`` of the edit rate."""
-    return _pairs(edit_rate, "edits bigint, ref_len bigint", ["edits", "ref_len"])(pred, ref)
+    return _pairs(edit_rate, ["edits", "ref_len"])(pred, ref)
 
 
 def meteor_score(hyp: list, ref: list, synonyms: dict[str, set[str]] | None = None) -> float:
@@ -352,9 +371,10 @@ def meteor_score(hyp: list, ref: list, synonyms: dict[str, set[str]] | None = No
 
 
 def meteor(pred: Column, ref: Column, synonyms: dict[str, set[str]] | None = None) -> Column:
-    @F.pandas_udf("double")
-    def score(preds: pd.Series, refs: pd.Series) -> pd.Series:
-        return pd.Series([meteor_score(list(p), list(r), synonyms) for p, r in zip(preds, refs)])
+    @F.arrow_udf("double")
+    def score(preds: pa.Array, refs: pa.Array) -> pa.Array:
+        rows = zip(preds.to_pylist(), refs.to_pylist())
+        return pa.array([meteor_score(p, r, synonyms) for p, r in rows], pa.float64())
 
     return score(pred, ref)
 

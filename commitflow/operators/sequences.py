@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -64,15 +65,21 @@ def special_tokens(specials: dict[str, int | None], next_id: int, task: str) ->
 def _lookup_shared(
     df: DataFrame, array_col: str, table: DataFrame, key: str, value: str, default, kind: str
 ) -> Column:
-    pairs = table.select(key, value).toPandas()
-    shared = df.sparkSession.sparkContext.broadcast(dict(zip(pairs[key], pairs[value])))
+    pairs = table.select(key, value).toArrow().combine_chunks()
+    known, found = (pairs.column(c).combine_chunks() for c in (key, value))
+    shared = df.sparkSession.sparkContext.broadcast((known, found))
 
-    @F.pandas_udf(f"array<{kind}>")
-    def look(arrays: pd.Series) -> pd.Series:
-        get = shared.value.get
-        return arrays.map(lambda a: None if a is None else [get(x, default) for x in a])
+    @F.arrow_udf(f"array<{kind}>")
+    def look(arrays: pa.Array) -> pa.Array:
+        keys, values = shared.value
+        flat = arrays.flatten()
+        at = pc.index_in(flat.cast(keys.type), value_set=keys)
+        out = pc.fill_null(pc.take(values, at), default)
+        starts = arrays.offsets.to_numpy() - arrays.offsets[0].as_py()
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), out)
 
-    return look(F.col(array_col))
+    looked = look(F.coalesce(F.col(array_col), F.array()))
+    return F.when(F.col(array_col).isNotNull(), looked)
 
 
 def lookup_joined(
@@ -287,7 +294,7 @@ def completion_context(
             .withColumn("__in", F.substring("__t", F.lit(1), F.col("__n")))
             .withColumn("__ws", tx.words(F.col("__in")))
         )
-        closed = F.col("__in").rlike(r"(?U)[\s\x1c-\x1f]\z")
+        closed = F.col("__in").rlike(f"[{tx.BLANK}]\\z")
         head = F.array_join(
             F.slice("__ws", F.lit(1), F.greatest(F.size("__ws") - 1, F.lit(0))), " "
         )

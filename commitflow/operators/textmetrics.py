@@ -32,7 +32,7 @@ def _references(df: DataFrame, target: str, split) -> Column:
 
 
 def _sums(field: str, n: int) -> list[Column]:
-    return [F.sum(F.get(f"{field}", F.lit(i))).alias(f"{field}_{i}") for i in range(n)]
+    return [F.sum(f"{field}_{i}").alias(f"{field}_{i}") for i in range(n)]
 
 
 # ---------------------------------------------------------------- BLEU
@@ -137,7 +137,7 @@ def sacre_bleu(
     n = 4
     counts = _bleu_counts(df, pred, target, n, True)
     if level == "row":
-        c = lambda f, i: F.get(F.col("__c")[f], F.lit(i))
+        c = lambda f, i: F.col(f"__c.{f}_{i}")
         score = _sacre_bleu(
             [c("match", i) for i in range(n)],
             [c("pred", i) for i in range(n)],
@@ -202,11 +202,10 @@ def _rouge_rows(
 
 def _ngram_hits(pred: Column, ref: Column, n: int, stem: bool) -> Column:
     c = kernels.ngram_counts(pred, F.array(ref), n, stem)
-    at = F.lit(n - 1)
     return F.struct(
-        F.get(c["match"], at).alias("hits"),
-        F.get(c["pred"], at).alias("pred_len"),
-        F.get(c["ref"], at).alias("ref_len"),
+        c[f"match_{n - 1}"].alias("hits"),
+        c[f"pred_{n - 1}"].alias("pred_len"),
+        c[f"ref_{n - 1}"].alias("ref_len"),
     )
 
 
@@ -284,7 +283,7 @@ def _chrf(counts: list[tuple[Column, Column, Column]], beta: float) -> Column:
 def _countable(c: Column, order: int) -> list[Column]:
     """Prediction n-grams count only where the reference has n-grams of that order."""
     return [
-        F.when(F.get(c["ref"], F.lit(i)) > 0, F.get(c["pred"], F.lit(i))).otherwise(F.lit(0))
+        F.when(c[f"ref_{i}"] > 0, c[f"pred_{i}"]).otherwise(F.lit(0))
         for i in range(order)
     ]
 
@@ -303,7 +302,7 @@ def chrf(
     counted = df.withColumn("__c", _chrf_counts(df, pred, target, order))
     c = F.col("__c")
     if level == "row":
-        at = lambda f, i: F.get(c[f], F.lit(i))
+        at = lambda f, i: c[f"{f}_{i}"]
         hyp = _countable(c, order)
         parts = [(at("match", i), hyp[i], at("ref", i)) for i in range(order)]
         return counted.withColumn(name, _chrf(parts, beta)).drop("__c")
@@ -315,9 +314,9 @@ def _chrf_sums(order: int) -> list[Column]:
     c = F.col("__c")
     out = []
     for i, hyp in enumerate(_countable(c, order)):
-        out.append(F.sum(F.get(c["match"], F.lit(i))).alias(f"__m{i}"))
+        out.append(F.sum(c[f"match_{i}"]).alias(f"__m{i}"))
         out.append(F.sum(hyp).alias(f"__p{i}"))
-        out.append(F.sum(F.get(c["ref"], F.lit(i))).alias(f"__r{i}"))
+        out.append(F.sum(c[f"ref_{i}"]).alias(f"__r{i}"))
     return out
 
 
@@ -438,8 +437,8 @@ def evaluate_total(
         counted = greedy_embedding_score(counted, level="row")
     means = ["meteor", *(f"bert_{f}" for f in ("precision", "recall", "f1") if vectors)]
     sums = counted.groupBy(*by).agg(
-        *[F.sum(F.get("__b.match", F.lit(i))).alias(f"__bm{i}") for i in range(n)],
-        *[F.sum(F.get("__b.pred", F.lit(i))).alias(f"__bp{i}") for i in range(n)],
+        *[F.sum(f"__b.match_{i}").alias(f"__bm{i}") for i in range(n)],
+        *[F.sum(f"__b.pred_{i}").alias(f"__bp{i}") for i in range(n)],
         F.sum("__b.pred_len").alias("__bpl"),
         F.sum("__b.ref_len").alias("__brl"),
         *_chrf_sums(CHRF_ORDER),
@@ -484,7 +483,7 @@ def text_metrics(
             kernels.lsum_counts(lines(p), lines(r)).alias("s"),
         )
     )
-    at = lambda f, i: F.get(F.col("g")[f], F.lit(i))
+    at = lambda f, i: F.col(f"g.{f}_{i}")
     rows = counted.select(
         by,
         "b",
@@ -499,8 +498,8 @@ def text_metrics(
     )
     rouges = ("rouge1", "rouge2", "rougeL", "rougeLsum")
     sums = rows.groupBy(by).agg(
-        *[F.sum(F.get("b.match", F.lit(i))).alias(f"m{i}") for i in range(n)],
-        *[F.sum(F.get("b.pred", F.lit(i))).alias(f"p{i}") for i in range(n)],
+        *[F.sum(f"b.match_{i}").alias(f"m{i}") for i in range(n)],
+        *[F.sum(f"b.pred_{i}").alias(f"p{i}") for i in range(n)],
         F.sum("b.pred_len").alias("pl"),
         F.sum("b.ref_len").alias("rl"),
         *[F.avg(c).alias(c) for c in rouges],

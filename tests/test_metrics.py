@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,18 +106,31 @@ def test_lcs_and_distance_match_tables():
         assert len(hyp_wrong) == len(a) and len(ref_wrong) == len(b)
 
 
+def refs_of(row):
+    return row[1:]
+
+
 def test_clipped_counts_match_counters():
     rng = random.Random(6)
     rows = [[words(rng, 9) for _ in range(rng.randint(2, 4))] for _ in range(200)]
-    match, have, want = kernels.clipped_counts(rows, 4)
+    left, right = pa.array([r[0] for r in rows]), pa.array([r[1:] for r in rows])
+    counts = kernels.clipped_counts(left, right, 4)
     grams = lambda s, n: Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
     for r, (p, *refs) in enumerate(rows):
         for n in range(1, 5):
             union = Counter()
             for ref in refs:
                 union |= grams(ref, n)
-            got = (match[r, n - 1], have[r, n - 1], want[r, n - 1])
+            got = tuple(counts[r, k * 4 + n - 1] for k in range(3))
             assert got == ((grams(p, n) & union).total(), grams(p, n).total(), union.total())
+        near = min((abs(len(p) - len(x)), i) for i, x in enumerate(refs_of(rows[r])))[1]
+        assert tuple(counts[r, -2:]) == (len(p), len(refs_of(rows[r])[near]))
+    texts = pa.array(["abab", "", "é"])
+    by_char = kernels.clipped_counts(texts, pa.array([["ab"], ["x"], ["é", "z"]]), 2)
+    assert by_char.tolist() == [
+        [2, 1, 4, 3, 2, 1, 4, 2], [0, 0, 0, 0, 1, 0, 0, 1], [1, 0, 1, 0, 2, 0, 1, 1],
+    ]
+    assert kernels._row_ranges(left, right)[-1][1] == len(rows)
 
 
 @pytest.mark.parametrize(
