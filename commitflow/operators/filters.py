@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .rows import with_row_index
+from .rows import take_first
 
 
 def languages_pass(langs: Sequence[str] | None, empty_passes: bool = True) -> Column:
@@ -66,9 +66,8 @@ def cap_modify_only(
     rest = df.filter(F.forall("mods", lambda m: m["change_type"] != "MODIFY"))
     modify = F.forall("mods", lambda m: m["change_type"] == "MODIFY")
     # The share is taken before duplicates are removed, so both settings keep the same commits.
-    ranked = with_row_index(df.filter(modify), order_cols, "__idx")
-    n = df.filter(modify).count()
-    head = ranked.filter(F.col("__idx") < ceil_share(n, fraction)).drop("__idx")
+    only_modify = df.filter(modify)
+    head = take_first(only_modify, ceil_share(only_modify.count(), fraction), order_cols)
     if dedupe_empty:
         head = head.filter(F.size("mods") > 0)
     return rest.withColumn("part", F.lit(0)).unionByName(head.withColumn("part", F.lit(1)))

@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from ..session import shared_dir
+
 MAX_BUCKETS = 8192
 ROWS_PER_BUCKET = 1_000_000
 MIN_ROWS_PER_BUCKET = 2_000
 SAMPLES_PER_BUCKET = 20
+UNROLLED_BOUNDS = 32
 BUCKET = "__bucket"
 
 
@@ -52,20 +55,37 @@ def range_buckets(
     picked = (
         sample.agg(F.array_sort(F.array_distinct(F.collect_list("k"))).alias("ks"))
         .select(F.filter("ks", lambda x, i: i % step == step - 1).alias("ks"))
-        .select(F.to_json("ks").alias("js"), F.size("ks").alias("n"))
+        .select("ks", F.to_json("ks").alias("js"))
         .first()
     )
-    bounds = F.from_json(F.lit(picked["js"]), T.ArrayType(keys.schema["k"].dataType))
-    steps = [1 << b for b in reversed(range(picked["n"].bit_length()))]
-    if not steps:
+    bounds = picked["ks"]
+    if not bounds:
         return df.withColumn(BUCKET, F.lit(0)), 1
+    if len(bounds) <= UNROLLED_BOUNDS:
+        passed = [_at_or_above(df, order_cols, b).cast("int") for b in bounds]
+        return df.withColumn(BUCKET, reduce(lambda x, y: x + y, passed)), len(bounds) + 1
     # Binary search: the number of bounds at or below the key.
+    table = F.from_json(F.lit(picked["js"]), T.ArrayType(keys.schema["k"].dataType))
+    steps = [1 << b for b in reversed(range(len(bounds).bit_length()))]
     bucket = F.aggregate(
         F.array(*[F.lit(s) for s in steps]),
         F.lit(0),
-        lambda at, s: F.when(F.get(bounds, at + s - 1) <= key, at + s).otherwise(at),
+        lambda at, s: F.when(F.get(table, at + s - 1) <= key, at + s).otherwise(at),
     )
-    return df.withColumn(BUCKET, bucket), picked["n"] + 1
+    return df.withColumn(BUCKET, bucket), len(bounds) + 1
+
+
+def _at_or_above(df: DataFrame, cols: Sequence[str], key: Sequence) -> Column:
+    """Whether a row sorts at or after ``key`` (nulls first), as plain comparisons of columns."""
+    out = F.lit(True)
+    for c, v in reversed(list(zip(cols, key))):
+        if v is None:
+            out = F.col(c).isNotNull() | out
+        else:
+            value = F.lit(v).cast(df.schema[c].dataType)
+            above = F.coalesce(F.col(c) > value, F.lit(False))
+            out = above | (F.col(c).eqNullSafe(value) & out)
+    return out
 
 
 def _constants(values: Sequence[int]) -> Column:
@@ -88,6 +108,41 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_id
     return bucketed.withColumn(name, local).drop(BUCKET)
 
 
+def first_rows(df: DataFrame, n: int, order_cols: Sequence[str]) -> Column:
+    """Condition that holds for the first ``n`` rows in ``order_cols`` order.
+
+    Only the narrow key is ranged and counted, and only the one range with the ``n``-th key is
+    sorted; the rows themselves are filtered where they are, without an exchange. ``order_cols``
+    must identify a row.
+    """
+    if n <= 0:
+        return F.lit(False)
+    keys, ranges = range_buckets(df.select(*order_cols), order_cols)
+    counts = dict(keys.groupBy(BUCKET).count().collect())
+    before = 0
+    for b in range(ranges):
+        if before + counts.get(b, 0) >= n:
+            break
+        before += counts.get(b, 0)
+    else:
+        return F.lit(True)
+    ahead = keys.filter(F.col(BUCKET) == b).orderBy(*order_cols).limit(n - before)
+    last = ahead.agg(F.max(F.struct(*order_cols)).alias("k")).first()["k"]
+    above = _at_or_above(df, order_cols, last)
+    return ~above | reduce(
+        lambda x, y: x & y,
+        [
+            F.col(c).eqNullSafe(F.lit(v).cast(df.schema[c].dataType))
+            for c, v in zip(order_cols, last)
+        ],
+    )
+
+
+def take_first(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows in ``order_cols`` order."""
+    return df.filter(first_rows(df, n, order_cols))
+
+
 def running_total(
     df: DataFrame,
     value: str,
@@ -201,27 +256,27 @@ def batch_by_tokens(
     if segment_rows < max_entries:
         raise ValueError("segment_rows must be at least max_entries")
     spark = df.sparkSession
+    shared_dir(spark)
     group = F.col(by).cast("string") if by else F.lit("")
-    base = df.withColumn("__g", group).withColumn("__one", F.lit(1))
-    rows = (
-        running_total(base, "__one", order_cols, ["__g"], "__idx")
-        if by
-        else with_row_index(base, order_cols, "__idx").withColumn("__idx", F.col("__idx") + 1)
-    ).withColumn("__idx", F.col("__idx") - 1)
-    seg = F.floor(F.col("__idx") / segment_rows).cast("bigint")
-    rows = rows.withColumn("__seg", seg)
-    narrow = rows.select(
-        "__g",
-        "__idx",
-        F.col(tokens_col).cast("bigint").alias("n"),
-        "__seg",
+    narrow = df.select(
+        group.alias("__g"), F.col(tokens_col).cast("bigint").alias("n"), *order_cols
     )
+    if by:
+        counted = narrow.withColumn("__one", F.lit(1))
+        indexed = running_total(counted, "__one", order_cols, ["__g"], "__idx")
+        indexed = indexed.withColumn("__idx", F.col("__idx") - 1).drop("__one")
+    else:
+        indexed = with_row_index(narrow, order_cols, "__idx")
+    seg = F.floor(F.col("__idx") / segment_rows).cast("bigint")
+    # Read twice below; a few numbers per row.
+    rows = indexed.withColumn("__seg", seg).checkpoint()
     # Each segment also sees the first rows of its successor.
     ahead = (F.col("__idx") % segment_rows < max_entries) & (F.col("__seg") > 0)
-    seen = narrow.select(
+    seen = rows.select(
         "__g",
         "__idx",
         "n",
+        *order_cols,
         F.col("__seg").alias("own"),
         F.explode(
             F.when(ahead, F.array("__seg", F.col("__seg") - 1)).otherwise(F.array("__seg"))
@@ -247,7 +302,7 @@ def batch_by_tokens(
             }
         )
 
-    maps = seen.groupBy("__g", "seg").applyInPandas(
+    maps = seen.drop(*order_cols).groupBy("__g", "seg").applyInPandas(
         exits, "__g string, seg bigint, leave array<int>, count array<int>"
     )
     entries, g, at, batch = [], None, 0, 0
@@ -275,17 +330,25 @@ def batch_by_tokens(
             at = int(nxt[at])
         # Rows before the entry belong to the batch opened in the previous segment.
         ids = int(pdf["first_batch"].iloc[0]) + np.cumsum(start) - 1
-        return pd.DataFrame(
-            {"__g": pdf["__g"].iloc[0], "__idx": pdf["__idx"].to_numpy()[own], "batch_id": ids}
-        )
+        return pdf.loc[own, ["__g", *order_cols]].assign(batch_id=ids)
 
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order_cols)
     marked = (
         seen.join(plan, ["__g", "seg"])
         .groupBy("__g", "seg")
-        .applyInPandas(mark, "__g string, __idx bigint, batch_id bigint")
+        .applyInPandas(mark, f"__g string, {kinds}, batch_id bigint")
+    )
+    keys = marked.select(
+        F.col("__g").alias("__mg"),
+        *[F.col(c).alias(f"__m{i}") for i, c in enumerate(order_cols)],
+        "batch_id",
+    )
+    match = reduce(
+        lambda x, y: x & y,
+        [F.col(c).eqNullSafe(F.col(f"__m{i}")) for i, c in enumerate(order_cols)],
+        group.eqNullSafe(F.col("__mg")),
     )
-    cond = rows["__g"].eqNullSafe(marked["__g"]) & (rows["__idx"] == marked["__idx"])
-    return rows.join(marked, cond).select(*[rows[c] for c in df.columns], marked["batch_id"])
+    return df.join(keys, match).select(*df.columns, "batch_id")
 
 
 def bisect_batches(

@@ -11,24 +11,26 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rows import hash_order, with_row_index, with_shuffled_index
+from .rows import first_rows, hash_order, take_first, with_row_index
 
 
 def sample_n(
     df: DataFrame, n: int, id_cols: Sequence[str], seed: int, keep_index: bool = False
 ) -> DataFrame:
-    """``n`` rows in shuffled order; ``keep_index`` adds their original position."""
+    """``n`` random rows; ``keep_index`` adds their original position."""
     if keep_index:
         df = with_row_index(df, id_cols, "original_idx")
+    return _first_shuffled(df, n, id_cols, seed)
+
+
+def _first_shuffled(df: DataFrame, n: int, id_cols: Sequence[str], seed: int) -> DataFrame:
     keyed = df.withColumn("__h", hash_order(id_cols, seed))
-    return keyed.orderBy("__h", *id_cols).limit(n).drop("__h")
+    return take_first(keyed, n, ["__h", *id_cols]).drop("__h")
 
 
 def sample_like(df: DataFrame, other: DataFrame, id_cols: Sequence[str], seed: int) -> DataFrame:
     """as many rows as ``other`` has."""
-    n = other.count()
-    shuffled = with_shuffled_index(df, id_cols, seed, "__idx")
-    return shuffled.filter(F.col("__idx") < n).drop("__idx")
+    return _first_shuffled(df, other.count(), id_cols, seed)
 
 
 def pick_row(df: DataFrame, i: int, order_cols: Sequence[str], seed: int = 0) -> DataFrame:
@@ -40,7 +42,7 @@ def pick_row(df: DataFrame, i: int, order_cols: Sequence[str], seed: int = 0) ->
 
 def head_n(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
     """the first ``n`` rows of the table (the operator itself is a row limit)."""
-    return with_row_index(df, order_cols).filter(F.col("row_idx") < n)
+    return take_first(df, n, order_cols)
 
 
 def split_random(
@@ -48,6 +50,7 @@ def split_random(
 ) -> DataFrame:
     """``split`` is ``test`` for exactly ``floor(test_frac * n)`` rows, else ``train``."""
     n_test = int(df.count() * test_frac)
-    shuffled = with_shuffled_index(df, id_cols, seed, "__idx")
-    label = F.when(F.col("__idx") < n_test, F.lit("test")).otherwise(F.lit("train"))
-    return shuffled.withColumn("split", label).drop("__idx")
+    keyed = df.withColumn("__h", hash_order(id_cols, seed))
+    in_test = first_rows(keyed, n_test, ["__h", *id_cols])
+    label = F.when(in_test, F.lit("test")).otherwise(F.lit("train"))
+    return keyed.withColumn("split", label).drop("__h")

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 
 from ..functions import text as tx
 from ..session import shared_dir
-from .rows import with_row_index
+from .rows import take_first, with_row_index
 
 # Fixed value: label positions that are not scored.
 IGNORED = -100
@@ -39,11 +39,12 @@ def build_vocab(df: DataFrame, tokens_col: str, max_words: int | None = None) ->
         .groupBy("word")
         .agg((-F.count("*")).alias("__rank"))
     )
-    if max_words is not None:
-        counts = counts.orderBy("__rank", "word").limit(max_words)
     # The counts are read several times below; the corpus is read once.
     shared_dir(df.sparkSession)
-    indexed = with_row_index(counts.checkpoint(), ["__rank", "word"], "__i")
+    counts = counts.checkpoint()
+    if max_words is not None:
+        counts = take_first(counts, max_words, ["__rank", "word"])
+    indexed = with_row_index(counts, ["__rank", "word"], "__i")
     return indexed.select("word", (F.col("__i") + len(SPECIALS)).cast("int").alias("id"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from ..operators.rows import with_row_index
+from ..operators.rows import take_first
 from . import schemas
 
 MAX_LOG_ROWS = 50_000
@@ -156,8 +156,8 @@ def append_text_log(
         have = 0
     room = min(first, max_rows - have)
     if room > 0:
-        rows = with_row_index(df, order_cols, "__idx").filter(F.col("__idx") < room)
-        rows.drop("__idx").withColumn(step_col, F.lit(step)).write.mode("append").parquet(path)
+        rows = take_first(df, room, order_cols)
+        rows.withColumn(step_col, F.lit(step)).write.mode("append").parquet(path)
     return path
 
 

@@ -124,3 +124,19 @@ def test_merge_by_position_checks_counts(spark):
         merge.merge_by_position(
             spark.range(3), spark.range(2).withColumnRenamed("id", "x"), ["x"], ["id"], ["x"], drop=[]
         )
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 250, 299, 300, 400])
+def test_take_first_is_a_prefix(spark, small_buckets, n):
+    data = [(None if i % 7 == 0 else f"k{i % 13}", i) for i in range(300)]
+    df = spark.createDataFrame(data, "k string, i int").repartition(5)
+    got = sorted((r["k"] or "", r["i"]) for r in rows.take_first(df, n, ["k", "i"]).collect())
+    assert got == sorted((k or "", i) for k, i in data)[:n]
+
+
+def test_many_ranges_use_the_search(spark, monkeypatch):
+    monkeypatch.setattr(rows, "ROWS_PER_BUCKET", 10)
+    data = [(None if i % 9 == 0 else f"k{i % 17}", i) for i in range(1000)]
+    df = spark.createDataFrame(data, "k string, i int").repartition(5)
+    got = sorted((r["row_idx"], r["k"] or "", r["i"]) for r in rows.with_row_index(df, ["k", "i"]).collect())
+    assert [(k, i) for _, k, i in got] == sorted((k or "", i) for k, i in data)
