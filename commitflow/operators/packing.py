@@ -30,7 +30,8 @@ def pack_sequences(
         # The end token goes before every row; the one before a group's first row gets position -1.
         base = base.withColumn("__t", F.concat(F.array(F.lit(eos)), "__t"))
     base = base.withColumn("__n", F.size("__t"))
-    summed = running_total(base, "__n", ["__o"], ["group"], "__end").withColumn(
+    keys = ["group"] if group else []
+    summed = running_total(base, "__n", ["__o"], keys, "__end").withColumn(
         "__end", F.col("__end") - lead
     )
     touched = (
