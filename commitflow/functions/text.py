@@ -7,13 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Blanks as Python's ``str`` methods see them, as regex class members and as text.
-# Spelled out, because Unicode-aware regex classes are several times slower.
-BLANK = (
-    r"\t\n\x0b\f\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-)
+# Blanks as Python's ``str`` methods see them, as regexes and as text. (A class that
+# spells all of them out is several times slower than the Unicode-aware one.)
+NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
+BLANK_END = r"(?U)[\s\x1c-\x1f]\z"
+BLANKS_IN_LINE = r"(?U)[\s\x1c-\x1f&&[^\n]]+"
 BLANK_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-NOT_SPACE = f"[^{BLANK}]"
 
 # Fixed value: a token is a word run or one other character, with the blanks before it; blanks at
 # the very end form a token of their own, so joining the tokens gives the text back.

@@ -74,7 +74,7 @@ def clean_diff(c: Column, line_sep: str = "\n") -> Column:
     )
     kept = F.slice(lines, F.coalesce(F.array_max(marker), F.lit(0)) + 1, F.size(lines) + 1)
     joined = F.array_join(F.transform(kept, lambda x: F.concat(x, F.lit(line_sep))), "")
-    return F.regexp_replace(joined, "[" + tx.BLANK.replace(r"\n", "") + "]+", " ")
+    return F.regexp_replace(joined, tx.BLANKS_IN_LINE, " ")
 
 
 def parse_name_status(df: DataFrame, text_col: str, mode: str = "strict") -> DataFrame:

@@ -295,7 +295,7 @@ def completion_context(
             .withColumn("__in", F.substring("__t", F.lit(1), F.col("__n")))
             .withColumn("__ws", tx.words(F.col("__in")))
         )
-        closed = F.col("__in").rlike(f"[{tx.BLANK}]\\z")
+        closed = F.col("__in").rlike(tx.BLANK_END)
         head = F.array_join(
             F.slice("__ws", F.lit(1), F.greatest(F.size("__ws") - 1, F.lit(0))), " "
         )
