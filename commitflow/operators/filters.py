@@ -66,17 +66,12 @@ def cap_modify_only(
     rest = df.filter(F.forall("mods", lambda m: m["change_type"] != "MODIFY"))
     modify = F.forall("mods", lambda m: m["change_type"] == "MODIFY")
     # The share is taken before duplicates are removed, so both settings keep the same commits.
-    only_modify = df.filter(modify)
-    head = take_first(only_modify, ceil_share(only_modify.count(), fraction), order_cols)
+    head = take_first(df.filter(modify), lambda n: math.ceil(n * fraction), order_cols)
     if dedupe_empty:
         head = head.filter(F.size("mods") > 0)
     return rest.withColumn("part", F.lit(0)).unionByName(head.withColumn("part", F.lit(1)))
 
 
-def ceil_share(n: int, fraction: float) -> int:
-    return math.ceil(n * fraction)
-
-
 def filter_exact_length(
     df: DataFrame, col: str, n: int, observation: Observation | None = None
 ) -> DataFrame:

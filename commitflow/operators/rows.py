@@ -8,7 +8,7 @@ one small aggregate over the narrow key columns. Bounds only steer balance, neve
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -108,17 +108,21 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_id
     return bucketed.withColumn(name, local).drop(BUCKET)
 
 
-def first_rows(df: DataFrame, n: int, order_cols: Sequence[str]) -> Column:
+def first_rows(
+    df: DataFrame, n: int | Callable[[int], int], order_cols: Sequence[str]
+) -> Column:
     """Condition that holds for the first ``n`` rows in ``order_cols`` order.
 
-    Only the narrow key is ranged and counted, and only the one range with the ``n``-th key is
+    ``n`` may be a function of the row count, which is known on the way. Only the narrow key is ranged and counted, and only the one range with the ``n``-th key is
     sorted; the rows themselves are filtered where they are, without an exchange. ``order_cols``
     must identify a row.
     """
-    if n <= 0:
-        return F.lit(False)
     keys, ranges = range_buckets(df.select(*order_cols), order_cols)
     counts = dict(keys.groupBy(BUCKET).count().collect())
+    if callable(n):
+        n = n(sum(counts.values()))
+    if n <= 0:
+        return F.lit(False)
     before = 0
     for b in range(ranges):
         if before + counts.get(b, 0) >= n:
@@ -138,7 +142,9 @@ def first_rows(df: DataFrame, n: int, order_cols: Sequence[str]) -> Column:
     )
 
 
-def take_first(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:
+def take_first(
+    df: DataFrame, n: int | Callable[[int], int], order_cols: Sequence[str]
+) -> DataFrame:
     """The first ``n`` rows in ``order_cols`` order."""
     return df.filter(first_rows(df, n, order_cols))
 

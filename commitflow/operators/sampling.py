@@ -49,8 +49,7 @@ def split_random(
     df: DataFrame, test_frac: float, id_cols: Sequence[str], seed: int
 ) -> DataFrame:
     """``split`` is ``test`` for exactly ``floor(test_frac * n)`` rows, else ``train``."""
-    n_test = int(df.count() * test_frac)
     keyed = df.withColumn("__h", hash_order(id_cols, seed))
-    in_test = first_rows(keyed, n_test, ["__h", *id_cols])
+    in_test = first_rows(keyed, lambda n: int(n * test_frac), ["__h", *id_cols])
     label = F.when(in_test, F.lit("test")).otherwise(F.lit("train"))
     return keyed.withColumn("split", label).drop("__h")
