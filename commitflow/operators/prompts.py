@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import string
 from collections.abc import Mapping, Sequence
 from functools import reduce
@@ -240,10 +239,6 @@ def token_accounting(df: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def days_needed(tokens: int, tokens_per_day: int) -> int:
-    return math.ceil(tokens / tokens_per_day)
-
-
 # ------------------------------------------------------------------ D18: instruction prompts
 
 # The demonstration schemes one of which is drawn per row, as
@@ -280,7 +275,8 @@ def _demonstrations(examples: Column, kind: str, explain: Column) -> Column:
             F.lit("\n"),
         )
 
-    return F.transform(F.coalesce(examples, F.array().cast("array<struct<input:string,output:string,explanation:string>>")), text)
+    none = F.array().cast("array<struct<input:string,output:string,explanation:string>>")
+    return F.transform(F.coalesce(examples, none), text)
 
 
 def _fitting(examples: Column, head: Column, tail: Column, max_src: int, scheme: str) -> Column:

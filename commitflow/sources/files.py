@@ -55,7 +55,7 @@ def write_csv(df: DataFrame, path: str, bom: bool = False, mode: str = "errorife
     """A5: with ``bom`` the header starts with a UTF-8 byte-order mark, as spreadsheets expect."""
     if bom:
         first = df.columns[0]
-        df = df.withColumnRenamed(first, "﻿" + first)
+        df = df.withColumnRenamed(first, "\ufeff" + first)
     df.write.mode(mode).options(
         header=True,
         quote='"',
