@@ -13,8 +13,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @R.add("op4_simhash_trie")
 def op4_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), budget=4)
+
+
+@R.add("op7_bpe_tree")
+def op7_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe_tree import digests, encode
+
+    path = vocabulary("word_bpe_49k.json")
+    return digests(encode(table(spark, sf_dir, "documents"), path), path)
+
+
+@R.add("op9_bit_planes")
+def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bitplanes import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)

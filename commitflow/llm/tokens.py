@@ -58,8 +58,8 @@ class UnitEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = "|".join(map(re.escape, added))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = "|".join(map(re.escape, self.added))
         self.keep_blanks, self.max_runs = keep_blanks, max_runs
         self._clear()
 
