@@ -40,3 +40,10 @@ def op9_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitplanes import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+@R.add("op2_retrieval_packing")
+def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2048, end_id=1)
