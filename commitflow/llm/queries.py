@@ -47,3 +47,10 @@ def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2048, end_id=1)
+
+
+@R.add("op5_warc_chain")
+def op5_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).drop("url")
