@@ -26,8 +26,8 @@ from .shared import written
 
 #: Leaves of a subtree: about a 32nd of all, between these bounds.
 LEAST_LEAVES, MOST_LEAVES = 4096, 1 << 20
-#: Node pairs walked at a time, and links kept before they are reduced to a forest.
-CHUNK = 1 << 19
+#: Node pairs walked at a time, links kept before they are reduced to a forest, keys of a trie's leaf.
+CHUNK, HELD, LEAF = 1 << 14, 1 << 19, 16
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -71,100 +71,97 @@ def with_fingerprint(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 class Trie:
     """The binary trie over sorted distinct keys, from bit ``depth`` on; one level a time.
 
-    A level holds the inner nodes (two leaves or more) as ranges of the keys, and for each side the
-    child: its number among the next level's inner nodes, ``~leaf`` for a single key, or ``NONE``.
+    Leaves hold up to ``LEAF`` keys. A level has the children of its inner nodes, one for each side:
+    the child's number among the next level's inner nodes, ``~leaf`` for a leaf, or ``NONE``.
     """
 
     NONE = np.iinfo(np.int64).min
 
     def __init__(self, keys: np.ndarray, depth: int = 0) -> None:
-        self.keys = keys
-        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.levels: list[np.ndarray] = []
+        lows, sizes, leaves = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
         low, high = np.array([0]), np.array([len(keys)])
-        if len(keys) < 2:
-            low = high = np.zeros(0, np.int64)
+        if len(keys) <= LEAF:
+            lows, sizes, low, high = [low], [high], low[:0], high[:0]
         for bit in range(63 - depth, -1, -1):
             if not len(low):
                 break
             # Keys below a node are sorted: those with the bit follow those without it.
             with_bit = np.concatenate([[0], np.cumsum((keys >> np.uint64(bit)) & np.uint64(1))]).astype(np.int64)
             cut = high - (with_bit[high] - with_bit[low])
+            starts, size = np.stack([low, cut], 1), np.stack([cut - low, high - cut], 1)
+            leaf, inner = (size > 0) & (size <= LEAF), size > LEAF
             child = np.full((len(low), 2), self.NONE, np.int64)
-            starts, ends = np.stack([low, cut], 1), np.stack([cut, high], 1)
-            size = ends - starts
-            child[size == 1] = ~starts[size == 1]
-            inner = size > 1
+            n = int(leaf.sum())
+            child[leaf] = ~np.arange(leaves, leaves + n)
             child[inner] = np.arange(int(inner.sum()))
-            self.levels.append((low, high, child))
-            low, high = starts[inner], ends[inner]
-
-    def root(self) -> int:
-        return 0 if len(self.keys) > 1 else ~0
+            lows.append(starts[leaf])
+            sizes.append(size[leaf])
+            leaves += n
+            self.levels.append(child)
+            low, high = starts[inner], starts[inner] + size[inner]
+        self.low, self.size = np.concatenate(lows), np.concatenate(sizes)
+        self.padded = np.concatenate([keys, np.zeros(LEAF, np.uint64)])
+        self.root = -1 if len(keys) <= LEAF else 0
 
 
 def trie_links(a: np.ndarray, b: np.ndarray | None, budget: int, depth: int, spent: int) -> Iterator[tuple]:
-    """Chunks of links (position in ``a``, in ``b``) between the keys of two subtrees of one depth.
+    """Chunks of links (position in ``a``, in ``b``) between the sorted keys of two subtrees of one depth.
 
     ``b`` None joins ``a`` with itself, each pair once. ``spent``: differing bits above the subtrees.
     """
     left = Trie(a, depth)
     right = left if b is None else Trie(b, depth)
-    keys_b = a if b is None else b
-    if not len(a) or not len(keys_b):
+    if not len(a) or b is not None and not len(b):
         return
-    stack = [(0, np.array([left.root()]), np.array([right.root()]), np.array([spent], np.int8))]
+    stack = [(0, np.array([left.root]), np.array([right.root]), np.array([spent], np.int8))]
     while stack:
         level, i, j, d = stack.pop()
         if len(i) > CHUNK:
             half = len(i) // 2
             stack.append((level, i[half:], j[half:], d[half:]))
             i, j, d = i[:half], j[:half], d[:half]
-        inner = (i >= 0) & (j >= 0)
-        yield from _leaf_links(left, right, level, i[~inner], j[~inner], budget, b is None)
-        i, j, d = i[inner], j[inner], d[inner]
+        leaf = (i < 0) & (j < 0)
+        if leaf.any():
+            u, v = _leaf_links(left, right, ~i[leaf], ~j[leaf], budget, b is None)
+            if len(u):
+                yield u, v
+            i, j, d = i[~leaf], j[~leaf], d[~leaf]
         if not len(i):
             continue
-        ci, cj = left.levels[level][2][i], right.levels[level][2][j]
         found = []
-        for x in (0, 1):
+        both = (i >= 0) & (j >= 0)
+        p, q, e = i[both], j[both], d[both]
+        cp, cq = left.levels[level][p] if len(p) else None, right.levels[level][q] if len(q) else None
+        for x in (0, 1) if len(p) else ():
             for y in (0, 1):
-                u, v, e = ci[:, x], cj[:, y], d + (x != y)
-                keep = (u != Trie.NONE) & (v != Trie.NONE) & (e <= budget)
+                u, v, f = cp[:, x], cq[:, y], e + np.int8(x != y)
+                keep = (u != Trie.NONE) & (v != Trie.NONE) & (f <= budget)
                 if b is None and (x, y) == (1, 0):
-                    keep &= i != j  # the mirror of (0, 1) inside one node
-                found.append((u[keep], v[keep], e[keep]))
+                    keep &= p != q  # the mirror of (0, 1) inside one node
+                found.append((u[keep], v[keep], f[keep]))
+        # A leaf waits for the other side to reach one; bits below it count when its keys are compared.
+        for wait in (i < 0, j < 0):
+            if wait.any():
+                p, q, e = i[wait], j[wait], d[wait]
+                for x in (0, 1):
+                    u, v = (p, right.levels[level][q][:, x]) if p[0] < 0 else (left.levels[level][p][:, x], q)
+                    keep = (u != Trie.NONE) & (v != Trie.NONE)
+                    found.append((u[keep], v[keep], e[keep]))
         stack.append((level + 1, *(np.concatenate(z) for z in zip(*found))))
 
 
-def _leaf_links(left: Trie, right: Trie, level: int, i, j, budget: int, own: bool) -> Iterator[tuple]:
-    """Links of node pairs of which one is a single key: it meets every key below the other."""
-    if not len(i):
-        return
-
-    def ranges(trie: Trie, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        leaf = node < 0
-        low, high = np.where(leaf, ~node, 0), np.where(leaf, ~node + 1, 0)
-        if not leaf.all():
-            low[~leaf], high[~leaf] = trie.levels[level][0][node[~leaf]], trie.levels[level][1][node[~leaf]]
-        return low, high - low
-
-    (la, na), (lb, nb) = ranges(left, i), ranges(right, j)
-    total = na * nb
-    ends = np.cumsum(total)
-    at = 0
-    while at < len(total):
-        before = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + CHUNK, "right")))
-        size = total[at:stop]
-        pair = np.repeat(np.arange(at, stop), size)
-        k = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        u, v = la[pair] + k // nb[pair], lb[pair] + k % nb[pair]
-        near = np.bitwise_count(left.keys[u] ^ right.keys[v]) <= budget
-        if own:
-            near &= u != v
-        if near.any():
-            yield u[near], v[near]
-        at = stop
+def _leaf_links(left: Trie, right: Trie, i: np.ndarray, j: np.ndarray, budget: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links between the keys of pairs of leaves."""
+    at = np.arange(LEAF)
+    u, v = left.low[i][:, None] + at, right.low[j][:, None] + at
+    near = np.bitwise_count(left.padded[u][:, :, None] ^ right.padded[v][:, None, :]) <= budget
+    pair, x, y = np.nonzero(near)
+    keep = (x < left.size[i[pair]]) & (y < right.size[j[pair]])
+    u, v = left.low[i[pair[keep]]] + x[keep], right.low[j[pair[keep]]] + y[keep]
+    if own:
+        u, v = u[u != v], v[u != v]
+    return u, v
 
 
 def _subtrees(prints: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -254,7 +251,7 @@ def fingerprint_links(prints: DataFrame, budget: int = 4) -> DataFrame:
         for u, v in trie_links(a, b, budget, shared, spent):
             held.append((u, v if b is None else v + len(a)))
             size += len(u)
-            if size > CHUNK:
+            if size > HELD:
                 label, held, size = forest(label, held), [], 0
         label = forest(label, held)
         own = np.flatnonzero(label != np.arange(len(nodes)))
