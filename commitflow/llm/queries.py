@@ -54,3 +54,10 @@ def op5_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
     return round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+@R.add("op10_spotsigs")
+def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import edited_likeness
+
+    return edited_likeness(table(spark, sf_dir, "documents"))
