@@ -61,3 +61,19 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spotsigs import edited_likeness
 
     return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@R.add("op1_quality_network")
+def op1_quality_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    found = quality_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@R.add("op8_toxicity_instances")
+def op8_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity_scores
+
+    found = toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")
