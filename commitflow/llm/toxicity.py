@@ -29,11 +29,11 @@ from .shared import crc_mod
 from .tokens import blocks
 
 #: Documents of either label that a model is fitted on at most, and passes over them.
-PER_CLASS, EPOCHS, RATE, DECAY = 4000, 300, 0.3, 1e-4
+PER_CLASS, EPOCHS, RATE, DECAY = 4000, 200, 2.0, 1e-4
 #: Lengths of the word beginnings that are features beside the word itself.
 STARTS = (4, 5, 6)
 #: A feature must stand in so many toxic documents, and be so many times as frequent as in others.
-LEAST_TOXIC, LEAST_RATIO = 3, 4.0
+LEAST_TOXIC, LEAST_RATIO = 4, 8.0
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*")
 _NO_LETTER = r"[^\p{L}]+"
 
