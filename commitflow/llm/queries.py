@@ -77,3 +77,10 @@ def op8_toxicity_instances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = toxicity_scores(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@R.add("op6_hidden_markov")
+def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"))

@@ -29,9 +29,9 @@ _UNEVEN = (
 #: vocabulary, and already in composed form.
 _PLAIN = r"^(?P<run>[ \r]?[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 #: Distinct runs kept in a worker between blocks; they are learnt anew after that.
-MAX_RUNS = 600_000
+MAX_RUNS = 400_000
 #: Characters encoded together.
-BLOCK_CHARS = 16 << 20
+BLOCK_CHARS = 8 << 20
 
 
 def _byte_symbols() -> dict[int, str]:
