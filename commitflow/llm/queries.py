@@ -84,3 +84,19 @@ def op6_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hmm import score_documents
 
     return score_documents(table(spark, sf_dir, "documents"))
+
+
+@R.add("op3_cross_polytope")
+def op3_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .crosspolytope import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@R.add("pipeline")
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from corpus_pipeline import run
+
+    return run(spark, sf_dir)

@@ -1 +1,60 @@
-"""A training-data pipeline: quality, toxicity, near-duplicates, packing, each stage over the last one's rows."""
+"""A training-data pipeline: quality, toxicity, near-duplicates, packing.
+
+Each stage takes the documents that the one before it kept, as Parquet read again. All but the last return
+documents with their columns; the last returns the pieces of the packed sequences. Documents whose text is
+null count as empty; an empty table passes through every stage.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from commitflow.llm.packing import pack
+from commitflow.llm.quality import quality_scores
+from commitflow.llm.queries import vocabulary
+from commitflow.llm.shared import written
+from commitflow.llm.simhash import near_duplicates
+from commitflow.llm.toxicity import toxicity_scores
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality network scores 0.3 or more; it is fitted on the given labels."""
+    return quality_scores(docs, _labels(spark, sf_dir)).where("predicted = 1").select(*docs.columns)
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no sentence makes toxic: scores below 0.7."""
+    return toxicity_scores(docs, _labels(spark, sf_dir)).where("predicted = 0").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest id; null ids stay.
+
+    The ids to be removed are written first, so Spark knows their size when it chooses the join.
+    """
+    found = near_duplicates(docs)
+    others = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 2048 tokens."""
+    return pack(docs, vocabulary("byte_bpe_50k.json"), 2048, end_id=1)
+
+
+STAGES = [("quality", quality), ("toxicity", toxicity), ("near_copies", near_copies), ("packing", packing)]
+
+#: A fitted network, a trie join and greedy packing are not SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of ``sf_dir``."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
