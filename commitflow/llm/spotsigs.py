@@ -100,8 +100,10 @@ def _in_ranges(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Wi
     own = F.struct(_bucket(F.col("key"), bounds).alias("bucket"), F.lit(False).alias("guest"))
     before = F.pmod(own["bucket"] - 1, F.lit(len(bounds)))
     guest = F.struct(before.alias("bucket"), F.lit(True).alias("guest"))
-    placed = keyed.withColumn("at", F.explode(F.when(F.col("key").isin(*bounds), F.array(own, guest)).otherwise(F.array(own))))
-    order = Window.partitionBy("at.bucket").orderBy("at.guest", "key", F.xxhash64("text"), "text")
+    places = F.when(F.col("key").isin(*bounds), F.array(own, guest)).otherwise(F.array(own))
+    # Plain columns: both windows then share one exchange and one sort.
+    placed = keyed.select("id", "text", "key", F.xxhash64("text").alias("tie"), F.inline(places))
+    order = Window.partitionBy("bucket").orderBy("guest", "key", "tie", "text")
     return placed, order
 
 
@@ -112,7 +114,7 @@ def edited_likeness(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     signed = with_signatures(rows.withColumn("next_text", F.lead("text").over(order)), "text", "signatures")
     # The same ranges and order as above: no further exchange.
     signed = signed.withColumn("next_signatures", F.lead("signatures").over(order))
-    return _compared(signed.where("not at.guest"), id_col, share)
+    return _compared(signed.where("not guest"), id_col, share)
 
 
 def _compared(rows: DataFrame, id_col: str, share: int) -> DataFrame:
