@@ -160,7 +160,9 @@ def _leaf_links(left: Trie, right: Trie, i: np.ndarray, j: np.ndarray, budget: i
     keep = (x < left.size[i[pair]]) & (y < right.size[j[pair]])
     u, v = left.low[i[pair[keep]]] + x[keep], right.low[j[pair[keep]]] + y[keep]
     if own:
-        u, v = u[u != v], v[u != v]
+        # A leaf meets itself: each pair of its keys once.
+        once = (i != j)[pair[keep]] | (u < v)
+        u, v = u[once], v[once]
     return u, v
 
 
