@@ -37,11 +37,11 @@ PIECE = 1 << 18
 def symbols(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All texts in one array of symbols (byte, or 256 + byte if repeated), and the cells of each.
 
-    Texts start on cells, with at least one filter's width of padding behind them.
+    A text's first cell begins with one filter's width of padding, so no filter sees two texts at once.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    cells = (sizes + WIDTH) // CELL + 1
-    starts = (np.cumsum(cells) - cells) * CELL
+    cells = -(-(sizes + WIDTH) // CELL)
+    starts = (np.cumsum(cells) - cells) * CELL + WIDTH
     out = np.zeros(int(cells.sum()) * CELL + WIDTH, np.int16)
     for text, start in zip(texts, starts.tolist()):
         data = np.frombuffer(text, np.uint8)
@@ -134,7 +134,8 @@ class Network:
         active = np.maximum(pooled + self.bias, 0)
         top = np.maximum.reduceat(active, first, axis=0)
         mean = np.add.reduceat(active, first, axis=0) / cells[:, None]
-        logit = np.concatenate([top, mean], 1) @ self.out + self.base
+        # Row by row, so that a text scores alike whatever stands beside it.
+        logit = (np.concatenate([top, mean], 1) * self.out).sum(1) + self.base
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30).astype(np.float64))), active, top, mean
 
     def learn(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray, rate: float) -> None:

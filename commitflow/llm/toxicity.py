@@ -55,11 +55,13 @@ def sentence_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     text = np.repeat(np.arange(len(texts)), per_text)
     is_end = np.asarray(pc.equal(words.dictionary, "\x01"))[code] if len(code) else np.zeros(0, bool)
+    # Pieces without a letter are no words; a sentence of such alone is none.
+    kept = ~is_end & np.asarray(pc.greater(pc.binary_length(spelled), 0))[code] if len(code) else is_end
     # A new text begins a new sentence too.
     breaks = is_end.astype(np.int64)
     if len(code):
         breaks[1:] += text[1:] != text[:-1]
-    return spelled, code[~is_end], np.stack([text, np.cumsum(breaks)], 1)[~is_end]
+    return spelled, code[kept], np.stack([text, np.cumsum(breaks)], 1)[kept]
 
 
 def noisy_or(logit: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
