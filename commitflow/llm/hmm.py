@@ -124,9 +124,18 @@ class Alphabet:
 
 def _alphabet(counted: DataFrame, documents: int) -> tuple[DataFrame, Alphabet]:
     """(word, c, symbol) of all words, and the totals. ``counted``: (word, c), once each."""
+    # Words by size of their count, in a few hundred classes: where the ``OWN`` most frequent begin.
+    size = F.floor(F.log2("c") * 16)
+    sizes = counted.where("c > 0").groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()
+    least, n = None, 0
+    for r in sizes:
+        n += r["n"]
+        if n > OWN:
+            break
+        least = r["size"]
     # At most ``OWN`` words, so they may be sent to every task.
-    frequent = counted.where("c > 0").orderBy(F.desc("c"), "word").limit(OWN)
-    own = sorted((r["word"] for r in frequent.collect()))
+    frequent = counted.where((F.col("c") > 0) & (size >= least)).select("word").collect() if least is not None else []
+    own = sorted(r["word"] for r in frequent)
     table = counted.sparkSession.createDataFrame([(w, k) for k, w in enumerate(own)], "word string, own int")
     # Characters from the end, so that "-s" and "-es" of short words differ from whole short words.
     ending = F.lit(OWN) + F.pmod(F.crc32(F.encode(F.right("word", F.lit(ENDING)), "UTF-8")), F.lit(ENDINGS)).cast("int")
