@@ -196,10 +196,12 @@ def _lcs_positions(ref: list, pred: list) -> set[int]:
     return found
 
 
-def lsum_counts(pred: Column, ref: Column) -> Column:
+def lsum_counts(pred: Column, ref: Column, stemmed: bool = False) -> Column:
     """Union-LCS hits over sentences; both sides are arrays of token arrays."""
 
     def kernel(preds, refs):
+        if stemmed:
+            preds, refs = ([[stem(w) if len(w) > 3 else w for w in s] for s in x] for x in (preds, refs))
         have = Counter(t for s in preds for t in s)
         want = Counter(t for s in refs for t in s)
         hits = 0

@@ -64,7 +64,9 @@ def safe_prefix(pairs: Sequence[tuple[str, str, int]], room: int) -> list[tuple[
 
     Merging ``(a, b)`` changes only pairs that end in ``a`` or begin with ``b``, and a new pair is at
     most as frequent as one of these was. So merges go on down to, but not including, the count of
-    the first pair that an earlier merge touches (or of the last pair seen, when there may be more).
+    the first pair that an earlier merge touches (or of the last pair seen, when there may be more). A pair
+    of equal symbols also touches itself: what it leaves of a run may pair up again at once, so it
+    ends the batch.
     """
     lefts: set[str] = set()
     rights: set[str] = set()
@@ -77,7 +79,7 @@ def safe_prefix(pairs: Sequence[tuple[str, str, int]], room: int) -> list[tuple[
         rights.add(b)
     chosen = [pairs[0][:2]]
     for a, b, n in pairs[1:]:
-        if n <= bound:
+        if n <= bound or chosen[-1][0] == chosen[-1][1]:
             break
         chosen.append((a, b))
     return chosen[:room]

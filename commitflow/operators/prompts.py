@@ -252,6 +252,12 @@ SCHEMES = (
 )
 
 
+# The wording of the instruction prompt.
+ASK, DEFINITION = "Now complete the following example -\n", "Definition: "
+INPUT, OUTPUT, EXPLANATION = "Input: ", "Output: ", "Explanation: "
+POSITIVE, NEGATIVE = "Positive", "Negative"
+
+
 def _closed(c: Column) -> Column:
     """Text that ends in punctuation."""
     return F.when(tx.ascii_punct_end(c), c).otherwise(F.concat(c, F.lit(".")))
@@ -261,15 +267,15 @@ def _demonstrations(examples: Column, kind: str, explain: Column) -> Column:
     def text(e: Column, i: Column) -> Column:
         number = (i + 1).cast("string")
         why = F.concat(
-            _closed(F.concat(F.lit(" Explanation: "), tx.strip(e["explanation"]))), F.lit("\n")
+            _closed(F.concat(F.lit(f" {EXPLANATION}"), tx.strip(e["explanation"]))), F.lit("\n")
         )
         return F.concat(
             F.lit(f" {kind} Example "),
             number,
             F.lit(" -\n"),
-            _closed(F.concat(F.lit("Input: "), tx.strip(e["input"]))),
+            _closed(F.concat(F.lit(INPUT), tx.strip(e["input"]))),
             F.lit("\n"),
-            _closed(F.concat(F.lit(" Output: "), tx.strip(e["output"]))),
+            _closed(F.concat(F.lit(f" {OUTPUT}"), tx.strip(e["output"]))),
             F.lit("\n"),
             F.coalesce(F.when(explain, why), F.lit("")),
             F.lit("\n"),
@@ -328,12 +334,12 @@ def instruction_prompt(
             F.lit, (add_definition, n_pos, n_neg, add_explanation, add_name)
         )
     ask = F.concat(
-        F.lit("Now complete the following example -\n"),
-        _closed(F.concat(F.lit("Input: "), tx.strip(F.col("input")))),
-        F.lit("\nOutput: "),
+        F.lit(ASK),
+        _closed(F.concat(F.lit(INPUT), tx.strip(F.col("input")))),
+        F.lit(f"\n{OUTPUT}"),
     )
     definition = F.concat(
-        _closed(F.concat(F.lit("Definition: "), tx.strip(F.col("definition")))), F.lit("\n\n")
+        _closed(F.concat(F.lit(DEFINITION), tx.strip(F.col("definition")))), F.lit("\n\n")
     )
     staged = (
         df.withColumn("__ask", ask)
@@ -344,7 +350,7 @@ def instruction_prompt(
             "__pos",
             _fitting(
                 _demonstrations(
-                    F.slice("positive", F.lit(1), pos_n), "Positive", F.col("__explain")
+                    F.slice("positive", F.lit(1), pos_n), POSITIVE, F.col("__explain")
                 ),
                 F.col("__def"),
                 F.col("__ask"),
@@ -356,7 +362,7 @@ def instruction_prompt(
             "__neg",
             _fitting(
                 _demonstrations(
-                    F.slice("negative", F.lit(1), neg_n), "Negative", F.col("__explain")
+                    F.slice("negative", F.lit(1), neg_n), NEGATIVE, F.col("__explain")
                 ),
                 F.concat(F.col("__def"), F.array_join("__pos", " ")),
                 F.col("__ask"),

@@ -20,7 +20,8 @@ from pyspark.sql import Window as W
 
 from ..session import shared_dir
 
-MAX_BUCKETS = 8192
+# Ranges at most: one number a range is kept by the driver, and one counter by each task.
+MAX_BUCKETS = 1 << 15
 ROWS_PER_BUCKET = 1_000_000
 MIN_ROWS_PER_BUCKET = 2_000
 SAMPLES_PER_BUCKET = 20
@@ -49,12 +50,15 @@ def range_buckets(
     buckets = buckets or _bucket_count(df, n)
     if buckets <= 1 or n == 0:
         return df.withColumn(BUCKET, F.lit(0)), 1
+    # About ``wanted`` narrow keys, picked where they are; one task sorts them.
     wanted = buckets * SAMPLES_PER_BUCKET
-    sample = keys.select(F.rand(17).alias("r"), "k").orderBy("r").limit(wanted)
+    sample = keys if wanted >= n else keys.sample(fraction=wanted / n, seed=17)
     step = max(1, min(wanted, n) // buckets)
     picked = (
-        sample.agg(F.array_sort(F.array_distinct(F.collect_list("k"))).alias("ks"))
+        sample.agg(F.array_sort(F.collect_list("k")).alias("ks"))
         .select(F.filter("ks", lambda x, i: i % step == step - 1).alias("ks"))
+        # Sorted, so equal bounds are neighbours.
+        .select(F.filter("ks", lambda x, i: (i == 0) | ~x.eqNullSafe(F.get("ks", i - 1))).alias("ks"))
         .select("ks", F.to_json("ks").alias("js"))
         .first()
     )
@@ -108,45 +112,69 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_id
     return bucketed.withColumn(name, local).drop(BUCKET)
 
 
-def first_rows(
+def _cut(
     df: DataFrame, n: int | Callable[[int], int], order_cols: Sequence[str]
-) -> Column:
-    """Condition that holds for the first ``n`` rows in ``order_cols`` order.
-
-    ``n`` may be a function of the row count, which is known on the way. Only the narrow key is ranged and counted, and only the one range with the ``n``-th key is
-    sorted; the rows themselves are filtered where they are, without an exchange. ``order_cols``
-    must identify a row.
-    """
+) -> tuple[Column, Column, int, int] | None:
+    """Where the first ``n`` rows end: rows before the last key, rows with it, how many of those are
+    wanted, and how many there are. None keeps every row."""
     keys, ranges = range_buckets(df.select(*order_cols), order_cols)
     counts = dict(keys.groupBy(BUCKET).count().collect())
     if callable(n):
         n = n(sum(counts.values()))
     if n <= 0:
-        return F.lit(False)
+        return F.lit(False), F.lit(False), 0, 0
     before = 0
     for b in range(ranges):
         if before + counts.get(b, 0) >= n:
             break
         before += counts.get(b, 0)
     else:
-        return F.lit(True)
-    ahead = keys.filter(F.col(BUCKET) == b).orderBy(*order_cols).limit(n - before)
+        return None
+    here = keys.filter(F.col(BUCKET) == b)
+    ahead = here.orderBy(*order_cols).limit(n - before)
     last = ahead.agg(F.max(F.struct(*order_cols)).alias("k")).first()["k"]
-    above = _at_or_above(df, order_cols, last)
-    return ~above | reduce(
+    same = reduce(
         lambda x, y: x & y,
         [
             F.col(c).eqNullSafe(F.lit(v).cast(df.schema[c].dataType))
             for c, v in zip(order_cols, last)
         ],
     )
+    below = ~_at_or_above(df, order_cols, last)
+    found = here.agg(F.count_if(same).alias("same"), F.count_if(below).alias("below")).first()
+    return below, same, n - before - found["below"], found["same"]
+
+
+def first_rows(
+    df: DataFrame, n: int | Callable[[int], int], order_cols: Sequence[str]
+) -> Column:
+    """Condition that holds for exactly the first ``n`` rows in ``order_cols`` order.
+
+    ``n`` may be a function of the row count, which is known on the way. Only the narrow key is
+    ranged and counted, and only the one range with the ``n``-th key is sorted; the rows themselves
+    are filtered where they are, without an exchange. No condition can part rows of one key, so it is
+    an error if the cut falls between such rows; ``take_first`` can part them.
+    """
+    cut = _cut(df, n, order_cols)
+    if cut is None:
+        return F.lit(True)
+    below, same, wanted, there = cut
+    if wanted < there:
+        raise ValueError(f"{list(order_cols)} does not identify a row: {there} rows share the last key")
+    return below | same
 
 
 def take_first(
     df: DataFrame, n: int | Callable[[int], int], order_cols: Sequence[str]
 ) -> DataFrame:
-    """The first ``n`` rows in ``order_cols`` order."""
-    return df.filter(first_rows(df, n, order_cols))
+    """Exactly the first ``n`` rows in ``order_cols`` order; of rows that share the last key, any."""
+    cut = _cut(df, n, order_cols)
+    if cut is None:
+        return df
+    below, same, wanted, there = cut
+    if wanted == there:
+        return df.filter(below | same)
+    return df.filter(below).unionByName(df.filter(same).limit(wanted))
 
 
 def running_total(
@@ -189,8 +217,10 @@ def running_total(
 
 
 def hash_order(cols: Sequence[str], seed: int) -> Column:
-    """A fixed pseudo-random sort key of a row."""
-    return F.xxhash64(*[F.col(c) for c in cols], F.lit(seed))
+    """A fixed pseudo-random sort key of a row: the MD5 of its id columns and the seed, as other
+    engines can compute it too. Nulls count as empty text."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]
+    return F.md5(F.concat_ws("|", *texts, F.lit(str(seed))).cast("binary"))
 
 
 def with_shuffled_index(
@@ -263,7 +293,8 @@ def batch_by_tokens(
         raise ValueError("segment_rows must be at least max_entries")
     spark = df.sparkSession
     shared_dir(spark)
-    group = F.col(by).cast("string") if by else F.lit("")
+    # Marked, so that a null group is a group like any other.
+    group = F.coalesce(F.concat(F.lit("="), F.col(by).cast("string")), F.lit("null")) if by else F.lit("")
     narrow = df.select(
         group.alias("__g"), F.col(tokens_col).cast("bigint").alias("n"), *order_cols
     )
@@ -311,16 +342,16 @@ def batch_by_tokens(
     maps = seen.drop(*order_cols).groupBy("__g", "seg").applyInPandas(
         exits, "__g string, seg bigint, leave array<int>, count array<int>"
     )
+    # A group of one segment starts at its first row; only longer ones are followed, one step a segment.
+    longer = rows.filter(F.col("__idx") == segment_rows).select("__g").distinct()
     entries, g, at, batch = [], None, 0, 0
-    for row in maps.orderBy("__g", "seg").toLocalIterator():
+    for row in maps.join(longer, "__g", "left_semi").orderBy("__g", "seg").toLocalIterator():
         if row["__g"] != g:
             g, at, batch = row["__g"], 0, 0
         entries.append((g, row["seg"], at, batch))
         if at < len(row["leave"]):
             at, batch = row["leave"][at], batch + row["count"][at]
         # The last, short segment may end before the entry point; nothing follows it.
-    if not entries:
-        return df.withColumn("batch_id", F.lit(0).cast("bigint"))
     plan = spark.createDataFrame(entries, "__g string, seg bigint, entry int, first_batch bigint")
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -340,7 +371,8 @@ def batch_by_tokens(
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in order_cols)
     marked = (
-        seen.join(plan, ["__g", "seg"])
+        seen.join(plan, ["__g", "seg"], "left")
+        .fillna(0, ["entry", "first_batch"])
         .groupBy("__g", "seg")
         .applyInPandas(mark, f"__g string, {kinds}, batch_id bigint")
     )

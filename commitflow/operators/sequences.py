@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pyarrow as pa
@@ -19,8 +20,9 @@ IGNORED = -100
 # Reserved ids of a word vocabulary.
 SPECIALS = {"<pad>": 0, "<s>": 1, "</s>": 2, "<sep>": 3, "<unk>": 4}
 PAD, BOS, EOS, SEP, UNK = range(5)
-# A vocabulary above this many entries is joined instead of sent to every task.
+# A vocabulary above this many entries or bytes is joined instead of sent to every task.
 MAX_BROADCAST_WORDS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 SALTS = 32
 
 
@@ -63,19 +65,27 @@ def special_tokens(specials: dict[str, int | None], next_id: int, task: str) ->
     return out
 
 
+# A worker's dictionaries by name: built once, then used for every batch.
+_tables: dict[str, dict] = {}
+
+
 def _lookup_shared(
     df: DataFrame, array_col: str, table: DataFrame, key: str, value: str, default, kind: str
 ) -> Column:
     pairs = table.select(key, value).toArrow().combine_chunks()
-    known, found = (pairs.column(c).combine_chunks() for c in (key, value))
-    shared = df.sparkSession.sparkContext.broadcast((known, found))
+    shared = df.sparkSession.sparkContext.broadcast(tuple(pairs.column(c).combine_chunks() for c in (key, value)))
+    name = uuid.uuid4().hex
+    value_type = pairs.schema.field(value).type
 
     @F.arrow_udf(f"array<{kind}>")
     def look(arrays: pa.Array) -> pa.Array:
-        keys, values = shared.value
-        flat = arrays.flatten()
-        at = pc.index_in(flat.cast(keys.type), value_set=keys)
-        out = pc.fill_null(pc.take(values, at), default)
+        if name not in _tables:
+            _tables.clear()
+            _tables[name] = dict(zip(*(c.to_pylist() for c in shared.value)))
+        known = _tables[name]
+        coded = arrays.flatten().dictionary_encode()
+        found = pa.array([known.get(k, default) for k in coded.dictionary.to_pylist()], value_type)
+        out = pc.fill_null(pc.take(found, coded.indices), default)
         starts = arrays.offsets.to_numpy() - arrays.offsets[0].as_py()
         return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), out)
 
@@ -91,13 +101,17 @@ def lookup_joined(
     value: str,
     default,
     kind: str,
-    id_cols: Sequence[str],
     name: str,
 ) -> DataFrame:
     """Replace array entries by a join: entries are exploded with their position, hot ones spread
-    over salts, and a row's array is put together again (one row's entries per group)."""
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in id_cols], F.col("__pos")), F.lit(SALTS))
-    entries = df.select(*id_cols, F.posexplode(array_col).alias("__pos", "__k")).withColumn(
+    over salts, and a row's array is put together again (one row's entries per group).
+
+    Rows are numbered and written first, so repeated and null ids of any column play no part.
+    """
+    shared_dir(df.sparkSession)
+    rows = df.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+    salt = F.pmod(F.xxhash64("__row", "__pos"), F.lit(SALTS))
+    entries = rows.select("__row", F.posexplode(array_col).alias("__pos", "__k")).withColumn(
         "__salt", salt
     )
     salted = table.select(F.col(key).alias("__k"), F.col(value).alias("__v")).withColumn(
@@ -106,15 +120,15 @@ def lookup_joined(
     entry = F.struct("__pos", F.coalesce("__v", F.lit(default)).alias("v"))
     found = (
         entries.join(salted, ["__k", "__salt"], "left")
-        .groupBy(*id_cols)
+        .groupBy("__row")
         .agg(F.array_sort(F.collect_list(entry)).alias("__a"))
     )
     values = F.transform("__a", lambda z: z["v"]).cast(f"array<{kind}>")
     filled = F.coalesce(values, F.array().cast(f"array<{kind}>"))
     return (
-        df.join(found, list(id_cols), "left")
+        rows.join(found, "__row", "left")
         .withColumn(name, F.when(F.col(array_col).isNotNull(), filled))
-        .drop("__a")
+        .drop("__a", "__row")
     )
 
 
@@ -126,13 +140,15 @@ def _lookup(
     value: str,
     default,
     kind: str,
-    id_cols: Sequence[str],
     name: str,
 ) -> DataFrame:
-    """A table of checked size goes to every task as a dictionary, a larger one is joined."""
-    size = table.limit(MAX_BROADCAST_WORDS + 1).count()
-    if size > MAX_BROADCAST_WORDS:
-        return lookup_joined(df, array_col, table, key, value, default, kind, id_cols, name)
+    """A table of checked size goes to every task as a dictionary, a larger one is joined; both
+    give the same rows."""
+    size = table.agg(
+        F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col(key).cast("string"))), F.lit(0)).alias("bytes")
+    ).first()
+    if size["n"] > MAX_BROADCAST_WORDS or size["bytes"] > MAX_BROADCAST_BYTES:
+        return lookup_joined(df, array_col, table, key, value, default, kind, name)
     return df.withColumn(name, _lookup_shared(df, array_col, table, key, value, default, kind))
 
 
@@ -142,13 +158,12 @@ def encode(
     vocab: DataFrame,
     max_len: int | None = None,
     name: str = "input_ids",
-    id_cols: Sequence[str] = ("id",),
     unk: int = UNK,
 ) -> DataFrame:
     """K2: token ids, unknown words as ``unk``, cut to ``max_len``."""
     if max_len is not None:
         df = df.withColumn(tokens_col, tx.take(F.col(tokens_col), max_len))
-    return _lookup(df, tokens_col, vocab, "word", "id", unk, "int", id_cols, name)
+    return _lookup(df, tokens_col, vocab, "word", "id", unk, "int", name)
 
 
 def encode_joined(
@@ -156,11 +171,10 @@ def encode_joined(
     tokens_col: str,
     vocab: DataFrame,
     name: str = "input_ids",
-    id_cols: Sequence[str] = ("id",),
     unk: int = UNK,
 ) -> DataFrame:
     """K2 by a join, for vocabularies of any size."""
-    return lookup_joined(df, tokens_col, vocab, "word", "id", unk, "int", id_cols, name)
+    return lookup_joined(df, tokens_col, vocab, "word", "id", unk, "int", name)
 
 
 def decode(
@@ -168,7 +182,6 @@ def decode(
     ids_col: str,
     vocab: DataFrame,
     name: str = "text",
-    id_cols: Sequence[str] = ("id",),
     glue: str = " ",
     specials: Sequence[int] = tuple(SPECIALS.values()),
     pad: int = PAD,
@@ -176,7 +189,7 @@ def decode(
     """K3: text of the ids without special ones; a label of -100 counts as padding."""
     known = F.transform(ids_col, lambda i: F.when(i == IGNORED, F.lit(pad)).otherwise(i))
     plain = df.withColumn("__ids", F.filter(known, lambda i: ~i.isin(*specials)))
-    out = _lookup(plain, "__ids", vocab, "id", "word", "", "string", id_cols, "__words")
+    out = _lookup(plain, "__ids", vocab, "id", "word", "", "string", "__words")
     return out.withColumn(name, F.array_join("__words", glue)).drop("__ids", "__words")
 
 

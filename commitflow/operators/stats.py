@@ -11,6 +11,7 @@ from ..functions import text as tx
 from .merge import align_vocab, concat
 from .rows import top_k
 
+# The labels of the five length bins.
 BIN_LABELS = ("Very Short", "Short", "Medium", "Long", "Very Long")
 
 
@@ -48,8 +49,15 @@ def change_type_counts(df: DataFrame) -> DataFrame:
 
 
 def _seen(idx: Column, pos: Column) -> Column:
-    """Row and word position as one number, so that the aggregate keeps a primitive buffer."""
-    return F.shiftleft(idx.cast("bigint"), 24) + F.least(pos, F.lit((1 << 24) - 1))
+    """Row and word position as one decimal number: exact for every 64-bit row and 32-bit position,
+    and the aggregate still keeps a buffer that it can change in place."""
+    return idx.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(10,0)") + pos.cast("decimal(10,0)")
+
+
+def seen_at(first_seen: Column) -> tuple[Column, Column]:
+    """The row and the word position of ``first_seen``."""
+    pos = F.pmod(first_seen, F.lit(1 << 32).cast("decimal(10,0)"))
+    return ((first_seen - pos) / F.lit(1 << 32).cast("decimal(10,0)")).cast("bigint"), pos.cast("bigint")
 
 
 def word_counts(

@@ -227,7 +227,7 @@ def rouge_rows(
             lines = lambda c: F.transform(
                 F.filter(F.split(c, "\n"), lambda s: F.trim(s) != ""), tx.rouge_words
             )
-            return kernels.lsum_counts(lines(p), lines(r))
+            return kernels.lsum_counts(lines(p), lines(r), stem)
         p, r = tx.rouge_words(p), tx.rouge_words(r)
         if kind == "L":
             return kernels.lcs_counts(p, r, stem)

@@ -104,7 +104,7 @@ ENCODED = (
 @R.add("k2_encode", f"select doc_id, {text('ids')} as input_ids from ({ENCODED})")
 def k2(spark, sf):
     d = v.table(spark, sf, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
-    out = sequences.encode(d, "w", vocab(spark, sf), id_cols=["doc_id"])
+    out = sequences.encode(d, "w", vocab(spark, sf))
     return joined(out.select("doc_id", "input_ids"), "input_ids")
 
 
@@ -115,7 +115,7 @@ def k2(spark, sf):
 def e7(spark, sf):
     """The way for vocabularies too large to send to every task."""
     d = v.table(spark, sf, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
-    out = sequences.encode_joined(d, "w", vocab(spark, sf), id_cols=["doc_id"])
+    out = sequences.encode_joined(d, "w", vocab(spark, sf))
     return joined(out.select("doc_id", "input_ids"), "input_ids")
 
 
@@ -128,13 +128,26 @@ def e7(spark, sf):
 def k3(spark, sf):
     d = v.table(spark, sf, "documents").select("doc_id", tx.words(F.col("text")).alias("w"))
     table = vocab(spark, sf)
-    ids = sequences.encode(d, "w", table, id_cols=["doc_id"])
+    ids = sequences.encode(d, "w", table)
     labels = ids.withColumn("labels", F.concat("input_ids", F.array(F.lit(-100), F.lit(2))))
-    out = sequences.decode(labels.select("doc_id", "labels"), "labels", table, id_cols=["doc_id"])
+    out = sequences.decode(labels.select("doc_id", "labels"), "labels", table)
     # A text of unknown words only decodes to nothing.
     return out.filter("text <> ''").select("doc_id", "text")
 
 
+@R.add(
+    "k4_special_tokens",
+    f"select task, role, case when role='bos' then 1 when role='eos' then 2 when role='unk' then 4 when task='clm' and role='pad' then 2"
+    f" else n end as id from (select cast(5+count(*) as integer) as n from ({VOCAB})), (select unnest(['clm','mlm']) as task),"
+    " (select unnest(['pad','bos','eos','sep','unk']) as role) where task='clm' or role<>'sep'",
+)
+def k4(spark, sf):
+    last = vocab(spark, sf, None).agg(F.max("id")).first()[0]
+    known = {"bos": 1, "eos": 2, "unk": 4}
+    found = [(task, role, i) for task in ("clm", "mlm") for role, i in sequences.special_tokens(known, last + 1, task).items()]
+    return spark.createDataFrame(found, "task string, role string, id int")
+
+
 @R.add("k5_byte_pairs")
 def k5(spark, sf):
     d = v.commits(spark, sf).select("doc_id", "message")
@@ -272,7 +285,27 @@ def k12(spark, sf):
     return joined(out, "input_ids")
 
 
-@R.add("k14_span_mask")
+@R.add(
+    "k13_span_lengths",
+    sql(
+        "select doc_id, cast(len(diff_ids)//raw as integer) as blocks, cast(raw as integer) as raw, cast(round(raw*0.15)"
+        "+round(round(raw*0.15)/3)+1 as integer) as target from coded, (select max(r) as raw from range(512, 2000) t(r)"
+        " where r-round(r*0.15)+round(round(r*0.15)/3)+1<=512)"
+    ),
+)
+def k13(spark, sf):
+    raw, target = spans.span_lengths(512, 0.15, 3.0)
+    blocks = F.floor(F.size("diff_ids") / raw).cast("int")
+    return coded(spark, sf).select("doc_id", blocks.alias("blocks"), F.lit(raw).alias("raw"), F.lit(target).alias("target"))
+
+
+@R.add(
+    "k14_span_mask",
+    sql(
+        "select doc_id, cast(len(diff_ids) as integer) as n, cast(case when len(diff_ids)<2 then 0 else"
+        " least(greatest(round_even(len(diff_ids)*cast(0.15 as double), 0), 1), len(diff_ids)-1) end as integer) as noise from coded"
+    ),
+)
 def k14(spark, sf):
     c = coded(spark, sf).select("doc_id", F.col("diff_ids").alias("input_ids"))
     out = spans.span_mask(c, 0.15, 3.0, seed=5, id_cols=["doc_id"])
@@ -386,7 +419,7 @@ def h10(spark, sf):
     )
     table = vocab(spark, sf)
     for words_col, name in (("m", "message"), ("d", "diff")):
-        c = sequences.encode(c, words_col, table, name=name, id_cols=["doc_id"])
+        c = sequences.encode(c, words_col, table, name=name)
     return stats.unk_stats(c, ["message", "diff"], sequences.UNK, 512)
 
 

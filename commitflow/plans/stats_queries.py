@@ -33,6 +33,12 @@ def words_sql(source: str, col: str = "message", key: str = "doc_id") -> str:
     )
 
 
+def numbered(counts):
+    """``first_seen`` as the whole number that the twin computes."""
+    row, pos = stats.seen_at(F.col("first_seen"))
+    return counts.withColumn("first_seen", row * (1 << 24) + pos)
+
+
 @R.add(
     "h1_first_word",
     v.with_sql("select id, t as first_word from fw", "predictions", fw=FIRST_WORDS),
@@ -98,7 +104,7 @@ def h4(spark, sf):
 
 @R.add("h5_word_counts", v.with_sql("select * from x", "commits", x=words_sql("commits")))
 def h5(spark, sf):
-    return stats.word_counts(v.commits(spark, sf), "message", "doc_id")
+    return numbered(stats.word_counts(v.commits(spark, sf), "message", "doc_id"))
 
 
 @R.add(
@@ -115,7 +121,7 @@ def h5_text(spark, sf):
     v.with_sql(f"select * from x where word not in ({STOP_SQL})", "commits", x=words_sql("commits")),
 )
 def h6(spark, sf):
-    return stats.word_counts(v.commits(spark, sf), "message", "doc_id", STOPWORDS)
+    return numbered(stats.word_counts(v.commits(spark, sf), "message", "doc_id", STOPWORDS))
 
 
 def _top_sql(source: str, label: str, k: int = 20) -> str:

@@ -30,12 +30,15 @@ def local_session(master: str = "local[8]", app: str = "commitflow", **conf) ->
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the one named in ``spark.checkpoint.dir``.
 
-    A temporary folder is used only where the setting is absent, as in local tests.
+    A temporary folder is used only where the setting is absent and the master is local, as in tests:
+    on a cluster each machine would write to a disk of its own.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="commitflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -10,7 +10,6 @@ from ..functions import text as tx
 from ..operators.rows import take_first
 from . import schemas
 
-MAX_LOG_ROWS = 50_000
 
 
 def read_commits(
@@ -140,13 +139,18 @@ def append_text_log(
     order_cols: list[str],
     num_results: int | None = None,
     step_col: str = "step",
-    max_rows: int = MAX_LOG_ROWS,
+    max_rows: int | None = None,
 ) -> str:
-    """Append evaluation rows with their step; the log table never exceeds ``max_rows``.
+    """Append evaluation rows with their step.
 
-    Both limits are features of the log: it is a display table, not a result.
+    ``num_results`` keeps the first rows of a step, and ``max_rows`` bounds the whole log table; both
+    are features of a display table, and without them every row is kept.
     """
     spark = df.sparkSession
+    if max_rows is None:
+        rows = df if num_results is None else take_first(df, num_results, order_cols)
+        rows.withColumn(step_col, F.lit(step)).write.mode("append").parquet(path)
+        return path
     first = max_rows if num_results is None else min(num_results, max_rows)
     try:
         have = spark.read.parquet(path).count()

@@ -140,3 +140,30 @@ def test_many_ranges_use_the_search(spark, monkeypatch):
     df = spark.createDataFrame(data, "k string, i int").repartition(5)
     got = sorted((r["row_idx"], r["k"] or "", r["i"]) for r in rows.with_row_index(df, ["k", "i"]).collect())
     assert [(k, i) for _, k, i in got] == sorted((k or "", i) for k, i in data)
+
+
+def test_many_ranges_are_bounded_in_seconds(spark):
+    df = spark.range(60_000, numPartitions=8).withColumn("k", F.pmod(F.xxhash64("id"), F.lit(1 << 40)))
+    bucketed, n = rows.range_buckets(df, ["k", "id"], buckets=2500)
+    assert 2300 < n <= 2500
+    got = bucketed.groupBy("__bucket").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("__bucket").collect()
+    assert all(a["hi"] <= b["lo"] for a, b in zip(got, got[1:])) and max(r["n"] for r in got) < 200
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 9])
+def test_first_rows_are_exactly_n_on_equal_keys(spark, n):
+    df = spark.createDataFrame([(k, i) for i, k in enumerate("aaabbb")], "k string, i int")
+    got = sorted(r["k"] for r in rows.take_first(df, n, ["k"]).collect())
+    assert got == list("aaabbb"[:n])
+
+
+def test_a_condition_cannot_part_equal_keys(spark):
+    df = spark.createDataFrame([("a",), ("a",)], "k string")
+    with pytest.raises(ValueError, match="does not identify a row"):
+        rows.first_rows(df, 1, ["k"])
+
+
+def test_token_batches_keep_null_groups(spark):
+    df = spark.createDataFrame([("a", 1, 5), (None, 2, 5), (None, 3, 5), ("null", 4, 5)], "g string, i int, n int")
+    got = rows.batch_by_tokens(df, ["i"], "n", max_tokens=5, max_entries=2, by="g", segment_rows=2)
+    assert sorted((r["i"], r["batch_id"]) for r in got.collect()) == [(1, 0), (2, 0), (3, 1), (4, 0)]
