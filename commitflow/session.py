@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+ROOT = Path(__file__).resolve().parent.parent
+_shipped: set[str] = set()
+
 
 def local_session(master: str = "local[8]", app: str = "commitflow", **conf) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
@@ -49,3 +55,20 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/commitflow-{label}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send the package to the Python workers, unless they find it on their path anyway.
+
+    The archive is made in a folder of the driver, from where Spark hands it to every executor.
+    """
+    context = spark.sparkContext
+    on_path = str(ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if on_path or context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    path = Path(tempfile.mkdtemp(prefix="commitflow-")) / "commitflow.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(ROOT.glob("commitflow/**/*.py")):
+            archive.write(file, str(file.relative_to(ROOT)))
+    context.addPyFile(str(path))
