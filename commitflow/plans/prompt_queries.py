@@ -226,23 +226,22 @@ def d10(spark, sf):
     "d11_token_batches",
     v.with_sql(
         "select doc_id, batch as batch_id from walk join numbered using (i)",
-        "commits",
         recursive=True,
         numbered="select doc_id, row_number() over (order by doc_id) as i,"
-        " len(regexp_extract_all(message, '[^\\s]+')) as n from commits",
+        " len(regexp_extract_all(text, '[^\\s]+')) as n from documents",
         walk="select 1::bigint as i, 0::bigint as batch, 1::bigint as entries, n::bigint as tokens"
         " from numbered where i=1 union all select w.i+1,"
-        " case when w.tokens+x.n>1000 or w.entries>=50 then batch+1 else batch end,"
-        " case when w.tokens+x.n>1000 or w.entries>=50 then 1 else entries+1 end,"
-        " case when w.tokens+x.n>1000 or w.entries>=50 then x.n else w.tokens+x.n end"
+        " case when w.tokens+x.n>5000 or w.entries>=50 then batch+1 else batch end,"
+        " case when w.tokens+x.n>5000 or w.entries>=50 then 1 else entries+1 end,"
+        " case when w.tokens+x.n>5000 or w.entries>=50 then x.n else w.tokens+x.n end"
         " from walk w join numbered x on x.i=w.i+1",
     ),
 )
 def d11(spark, sf):
     from ..functions.text import words
 
-    c = v.commits(spark, sf).select("doc_id", F.size(words(F.col("message"))).alias("n"))
-    out = rows.batch_by_tokens(c, ["doc_id"], "n", max_tokens=1000, max_entries=50, segment_rows=128)
+    d = v.table(spark, sf, "documents").select("doc_id", F.size(words(F.col("text"))).alias("n"))
+    out = rows.batch_by_tokens(d, ["doc_id"], "n", max_tokens=5000, max_entries=50)
     return out.select("doc_id", "batch_id")
 
 

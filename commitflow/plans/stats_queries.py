@@ -118,42 +118,43 @@ def h5_text(spark, sf):
 
 @R.add(
     "h6_word_counts_stop",
-    v.with_sql(f"select * from x where word not in ({STOP_SQL})", "commits", x=words_sql("commits")),
+    v.with_sql(f"select * from x where word not in ({STOP_SQL})", "rendered", x=words_sql("rendered", "diff")),
 )
 def h6(spark, sf):
-    return numbered(stats.word_counts(v.commits(spark, sf), "message", "doc_id", STOPWORDS))
+    whole = changes.render_diff(v.commits(spark, sf))
+    return numbered(stats.word_counts(whole, "diff", "doc_id", STOPWORDS))
 
 
 def _top_sql(source: str, label: str, k: int = 20) -> str:
     return (
-        f"select word, n, '{label}' as dataset from (select * from ({words_sql(source)})"
+        f"select word, n, '{label}' as dataset from (select * from ({words_sql(source, 'diff')})"
         f" where word not in ({STOP_SQL}) order by n desc, first_seen limit {k})"
     )
 
 
-ADD_ONLY = "select * from commits where len(list_filter(mods, lambda m: m.change_type<>'ADD'))=0"
-MODIFY_ONLY = "select * from commits where len(list_filter(mods, lambda m: m.change_type<>'MODIFY'))=0"
+ADD_ONLY = "select * from rendered where len(list_filter(mods, lambda m: m.change_type<>'ADD'))=0"
+MODIFY_ONLY = "select * from rendered where len(list_filter(mods, lambda m: m.change_type<>'MODIFY'))=0"
 
 
 @R.add(
     "h7_top_words",
     v.with_sql(
         " union all ".join(
-            [_top_sql("commits", "all"), _top_sql("adds", "add"), _top_sql("modifies", "modify")]
+            [_top_sql("rendered", "all"), _top_sql("adds", "add"), _top_sql("modifies", "modify")]
         ),
-        "commits",
+        "rendered",
         adds=ADD_ONLY,
         modifies=MODIFY_ONLY,
     ),
 )
 def h7(spark, sf):
-    c = v.commits(spark, sf)
+    c = changes.render_diff(v.commits(spark, sf))
     subsets = {
         "all": c,
         "add": filters.only_change_type(c, "ADD"),
         "modify": filters.only_change_type(c, "MODIFY"),
     }
-    return stats.compare_top_words(subsets, 20, "message", "doc_id", STOPWORDS)
+    return stats.compare_top_words(subsets, 20, "diff", "doc_id", STOPWORDS)
 
 
 @R.add(
@@ -192,16 +193,16 @@ def g4(spark, sf):
         "select round(sum(p*ln(p/q)),6) as kl_ab, round(sum(q*ln(q/p)),6) as kl_ba from"
         " (select x/sum(x) over () as p, y/sum(y) over () as q from (select coalesce(a.n,0)+1e-10::double as x,"
         " coalesce(b.n,0)+1e-10::double as y from (select * from a) a full join (select * from b) b using (word)))",
-        "commits",
+        "rendered",
         adds=ADD_ONLY,
-        a=words_sql("commits") ,
-        b=words_sql("adds"),
+        a=words_sql("rendered", "diff"),
+        b=words_sql("adds", "diff"),
     ),
 )
 def h8(spark, sf):
-    c = v.commits(spark, sf)
-    every = stats.word_counts(c, "message", "doc_id")
-    adds = stats.word_counts(filters.only_change_type(c, "ADD"), "message", "doc_id")
+    c = changes.render_diff(v.commits(spark, sf))
+    every = stats.word_counts(c, "diff", "doc_id")
+    adds = stats.word_counts(filters.only_change_type(c, "ADD"), "diff", "doc_id")
     out = stats.kl_divergence(every, adds)
     return out.select(*[F.round(x, 6).alias(x) for x in ("kl_ab", "kl_ba")])
 
