@@ -381,6 +381,10 @@ def meteor(pred: Column, ref: Column, synonyms: dict[str, set[str]] | None = Non
     return score(pred, ref)
 
 
+# Cosines held at a time.
+COSINES = 1 << 20
+
+
 def greedy_cosine(pred: Column, ref: Column) -> Column:
     """``precision``, ``recall``, ``f1`` of best cosine matches between two arrays of vectors."""
 
@@ -394,8 +398,13 @@ def greedy_cosine(pred: Column, ref: Column) -> Column:
             a, b = (np.stack([np.asarray(v, dtype=np.float64) for v in m]) for m in (p, r))
             a /= np.linalg.norm(a, axis=1, keepdims=True)
             b /= np.linalg.norm(b, axis=1, keepdims=True)
-            near = a @ b.T
-            prec, rec = near.max(axis=1).mean(), near.max(axis=0).mean()
+            # A block of rows at a time; only the best match of each row and column is kept.
+            step, rows_best, best = max(1, COSINES // len(b)), 0.0, np.full(len(b), -np.inf)
+            for at in range(0, len(a), step):
+                near = a[at : at + step] @ b.T
+                rows_best += near.max(axis=1).sum()
+                np.maximum(best, near.max(axis=0), out=best)
+            prec, rec = rows_best / len(a), best.mean()
             rows.append((prec, rec, 2 * prec * rec / (prec + rec) if prec + rec else 0.0))
         return pd.DataFrame(rows, columns=["precision", "recall", "f1"])
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,9 +14,25 @@ IGNORED = -100
 
 
 def top_k_ids(scores: Column, k: int) -> Column:
-    """Ids of the ``k`` largest scores; equal scores rank the lower id first."""
-    ranked = F.array_sort(F.transform(scores, lambda s, i: F.struct((-s).alias("s"), i.alias("i"))))
-    return F.transform(F.slice(ranked, 1, k), lambda r: r["i"])
+    """Ids of the ``k`` largest scores; equal scores rank the lower id first, NaN and null last."""
+
+    @F.arrow_udf("array<int>")
+    def best(arrays: pa.Array) -> pa.Array:
+        flat = arrays.flatten().cast(pa.float64()).fill_null(np.nan).to_numpy(zero_copy_only=False)
+        low = np.nan_to_num(-flat, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+        ends = np.cumsum(arrays.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        out, start = [], 0
+        for end in ends.tolist():
+            row, start = low[start:end], end
+            ids = np.arange(len(row))
+            if 0 < k < len(row):
+                # Selection instead of a sort; ids that tie with the last place come in order.
+                last = row[np.argpartition(row, k - 1)[k - 1]]
+                ids = np.flatnonzero(row <= last)
+            out.append(ids[np.argsort(row[ids], kind="stable")][:k].astype(np.int32))
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return F.when(scores.isNotNull(), best(F.coalesce(scores, F.array())))
 
 
 def with_top_k(df: DataFrame, k: int, scores: str = "scores", name: str = "top_ids") -> DataFrame:
@@ -23,11 +41,12 @@ def with_top_k(df: DataFrame, k: int, scores: str = "scores", name: str = "top_i
 
 def check_ranked(df: DataFrame, k: int, col: str = "top_ids") -> DataFrame:
     """Every position has at least ``k`` candidates and no example repeats a position."""
-    short = df.agg(F.count_if((F.size(col) < k) | F.col(col).isNull()).alias("n")).first()["n"]
-    if short:
-        raise ValueError(f"{short} positions have fewer than {k} candidates")
-    repeated = df.groupBy("example_id", "pos").count().filter("count > 1")
-    if not repeated.isEmpty():
+    short = F.count_if((F.size(col) < k) | F.col(col).isNull())
+    places = df.groupBy("example_id", "pos").agg(F.count("*").alias("n"), short.alias("short"))
+    found = places.agg(F.sum("short").alias("short"), F.count_if(F.col("n") > 1).alias("repeated")).first()
+    if found["short"]:
+        raise ValueError(f"{found['short']} positions have fewer than {k} candidates")
+    if found["repeated"]:
         raise ValueError("an example has several predictions for one position")
     return df
 

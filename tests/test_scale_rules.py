@@ -87,3 +87,22 @@ class _Cluster:
 def test_no_local_folder_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.shared_dir(_Cluster)
+
+
+def test_top_ids_settle_ties_and_odd_scores(spark):
+    from commitflow.operators.rankmetrics import top_k_ids
+
+    rows = [([1.0, 3.0, 3.0, 2.0, 3.0],), ([float("nan"), None, 1.0],), ([],), (None,), ([5.0, 5.0],)]
+    got = spark.createDataFrame(rows, "s array<double>").select(top_k_ids(F.col("s"), 2)).collect()
+    assert [r[0] for r in got] == [[1, 2], [2, 0], [], None, [0, 1]]
+
+
+def test_long_rows_are_compared_in_blocks(spark):
+    from commitflow.functions import kernels
+
+    df = spark.range(1).select(
+        F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.array(i % 7 + 1.0, i % 5 + 1.0)).alias("a"),
+        F.array(F.array(F.lit(1.0), F.lit(1.0)), F.array(F.lit(7.0), F.lit(1.0))).alias("b"),
+    )
+    got = df.select(kernels.greedy_cosine(F.col("a"), F.col("b")).alias("s")).select("s.*").first()
+    assert abs(got["recall"] - 1) < 1e-12 and 0.8 < got["precision"] < 1
