@@ -49,7 +49,22 @@ def op2_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), 2048, end_id=1)
 
 
-@R.add("op5_warc_chain")
+#: Base 32 of a SHA-1: five bits a letter.
+BASE32_SQL = (
+    "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1"
+    " + 16*cast(substr(bits, 5*i+1, 1) as int) + 8*cast(substr(bits, 5*i+2, 1) as int) + 4*cast(substr(bits, 5*i+3, 1) as int)"
+    " + 2*cast(substr(bits, 5*i+4, 1) as int) + cast(substr(bits, 5*i+5, 1) as int) as int), 1)), '')"
+)
+
+
+@R.add(
+    "op5_warc_chain",
+    "with p as (select page_id, coalesce(html, '') as h from pages), m as (select h, max(page_id) as last from p group by h),"
+    " b as (select page_id, h, last, cast(cast(unhex(sha1(h)) as bit) as varchar) as bits from p join m using (h))"
+    f" select page_id, strlen(h) as payload_bytes, {BASE32_SQL} as payload_digest,"
+    " case when page_id = last then 'response' else 'revisit' end as record_type,"
+    " case when page_id <> last then last end as refers_to from b",
+)
 def op5_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import round_trip
 
