@@ -44,15 +44,20 @@ PRIOR, STICKY = 50.0, 10.0
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of the texts, the number of each word in order, and each text's words."""
-    lowered = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
-    lists = pc.ascii_split_whitespace(lowered)
-    words = lists.flatten()
-    # A blank at either end of a text leaves an empty piece.
-    full = pc.greater(pc.binary_length(words), 0)
-    text = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    text = text[full.to_numpy(zero_copy_only=False)]
-    coded = words.filter(full).dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), np.bincount(text, minlength=len(texts))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    del lists
+    words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    # A blank at either end of a text leaves an empty piece; pieces are dropped by number, not copied.
+    empty = pc.index(words, "").as_py()
+    if empty >= 0:
+        full = code != empty
+        counts = np.bincount(np.repeat(np.arange(len(counts), dtype=np.int32), counts)[full], minlength=len(counts))
+        code = code[full]
+        code = code - (code > empty)
+        words = words.filter(pc.not_equal(words, ""))
+    return words, code, counts
 
 
 def _pieces(docs: DataFrame, mod: int, held_out: int) -> DataFrame:
@@ -68,23 +73,23 @@ def _pieces(docs: DataFrame, mod: int, held_out: int) -> DataFrame:
         for k, table in enumerate(blocks(batches, "text", BLOCK)):
             words, code, counts = _words(table.column("text").combine_chunks())
             held = table.column("held_out").combine_chunks().to_numpy(zero_copy_only=False)
-            train = np.bincount(code, np.repeat(~held, counts), len(words)).astype(np.int64)
+            train = np.bincount(code[np.repeat(~held, counts)], minlength=len(words))
             # Frequent words first: small numbers, which compress well.
             order = np.argsort(-np.bincount(code, minlength=len(words)), kind="stable")
-            rank = np.empty(len(words), np.int64)
-            rank[order] = np.arange(len(words))
+            rank = np.empty(len(words), np.uint32)
+            rank[order] = np.arange(len(words), dtype=np.uint32)
             n = len(held)
             ends = np.cumsum(counts)
             columns = [
                 pa.array(np.full(n, part + k)), table.column("doc_id").combine_chunks(), pa.array(held),
-                pa.array([_squeezed(x) for x in np.split(rank[code].astype("<u4"), ends[:-1])] if n else [], pa.binary()),
+                pa.array([_squeezed(x) for x in np.split(rank[code], ends[:-1])] if n else [], pa.binary()),
                 pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
             m = len(words)
             columns = [
                 pa.array(np.full(m, part + k)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()),
-                words.cast(pa.string()), pa.array(rank), pa.array(train),
+                words.cast(pa.string()), pa.array(rank.astype(np.int64)), pa.array(train),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
 
