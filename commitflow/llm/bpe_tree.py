@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -87,10 +88,15 @@ class TreeUnits(UnitEncoder):
 
     def __init__(self, path: str, keep_blanks: bool, leaf: int = LEAF) -> None:
         super().__init__(path, keep_blanks)
-        self.forest = TreeEncoder(path, leaf)
+        self.path, self.leaf = path, leaf
+
+    @cached_property
+    def forest(self) -> TreeEncoder:
+        """Made for the first long unit: it holds further copies of the vocabulary."""
+        return TreeEncoder(self.path, self.leaf)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
-        short = [i for i, t in enumerate(texts) if len(t) <= self.forest.leaf or any(a in t for a in self.added)]
+        short = [i for i, t in enumerate(texts) if len(t) <= self.leaf or any(a in t for a in self.added)]
         found: list[list[int]] = [[] for _ in texts]
         for i, ids in zip(short, super().whole([texts[i] for i in short]), strict=True):
             found[i] = ids
@@ -130,17 +136,17 @@ def encode(
     return short.unionByName(_encode_long(rows.where(is_long), kind, tokenizer, leaf, long))
 
 
-def cut_long(text: str, long: int, forest: TreeEncoder, added: list[str]) -> Iterator[tuple[str, int, str]]:
+def cut_long(text: str, long: int, units: TreeUnits) -> Iterator[tuple[str, int, str]]:
     """Fragments of a text: ("text", 1, words with their blanks), or ("symbols", ends pre-token, symbols)."""
     held: list[str] = []
     size = 0
     for word in text.encode().split():
         unit = word.decode()
-        if len(unit) > long and not any(a in unit for a in added):
+        if len(unit) > long and not any(a in unit for a in units.added):
             if held:
                 yield "text", 1, " ".join(held)
                 held, size = [], 0
-            for symbols in forest.pre_tokens(unit):
+            for symbols in units.forest.pre_tokens(unit):
                 for at in range(0, len(symbols), long):
                     yield "symbols", int(at + long >= len(symbols)), symbols[at : at + long]
             continue
@@ -155,10 +161,10 @@ def cut_long(text: str, long: int, forest: TreeEncoder, added: list[str]) -> Ite
 
 def _encode_long(rows: DataFrame, kind: str, tokenizer: str, leaf: int, long: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, added = _encoder(tokenizer, False, leaf).forest, _encoder(tokenizer, False, leaf).added
+        units = _encoder(tokenizer, False, leaf)
         for batch in batches:
             for i in range(batch.num_rows):
-                found = list(cut_long(batch.column("text")[i].as_py(), long // 4, forest, added)) or [("text", 1, "")]
+                found = list(cut_long(batch.column("text")[i].as_py(), long // 4, units)) or [("text", 1, "")]
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").take(pa.array([i] * n)), batch.column("row").take(pa.array([i] * n)), pa.array(range(n)),
@@ -181,8 +187,8 @@ def _encode_long(rows: DataFrame, kind: str, tokenizer: str, leaf: int, long: in
             )
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
-        forest = _encoder(tokenizer, False, leaf).forest
-        symbols = forest.tokenizer.id_to_token
+        units = _encoder(tokenizer, False, leaf)
+        symbols = units.tokenizer.id_to_token
         out: list[int] = []
         open_: list[list[tuple[int, str]]] = []
         for what, last, ids in group.sort_values("k")[["kind", "last", "piece_ids"]].itertuples(index=False):
@@ -192,8 +198,8 @@ def _encode_long(rows: DataFrame, kind: str, tokenizer: str, leaf: int, long: in
             open_.append([(int(x), symbols(int(x))) for x in ids])
             if last:
                 x, s = open_[-1][-1]
-                open_[-1][-1] = (x, s.removesuffix(forest.suffix))
-                out.extend(x for x, _ in join_all(open_, forest.join))
+                open_[-1][-1] = (x, s.removesuffix(units.forest.suffix))
+                out.extend(x for x, _ in join_all(open_, units.forest.join))
                 open_ = []
         data = np.array(out, "<u4").tobytes()
         return pd.DataFrame({"id": group["id"].iloc[:1], "ids": [data]})

@@ -29,7 +29,7 @@ _UNEVEN = (
 #: vocabulary, and already in composed form.
 _PLAIN = r"^(?P<run>[ \r]?[A-Za-zß-öø-ÿÀ-ÖØ-Þ]+)(?P<marks>[!-&(-/:-@\[-`{-~]*)$"
 #: Distinct runs kept in a worker between blocks; they are learnt anew after that.
-MAX_RUNS = 400_000
+MAX_RUNS = 300_000
 #: Characters encoded together.
 BLOCK_CHARS = 8 << 20
 
