@@ -42,12 +42,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         large = written(_star(pairs, True), "large-star")
         small = written(_star(large, False), "small-star")
-        # A star forest: no node is both below and above another.
+        # A star forest: no node is both below and above another, and each is below one only.
         inner = small.select(F.col("v").alias("u")).distinct().join(small, "u", "left_semi")
+        forked = small.groupBy("u").count().where("count > 1")
         pairs = small
-        if inner.isEmpty():
+        if inner.isEmpty() and forked.isEmpty():
             break
-    roots = pairs.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -88,3 +90,31 @@ def test_components(spark):
     found = components(spark.createDataFrame(links, "a long, b long")).collect()
     want = {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100, 60: 60, 61: 60}
     assert len(found) == len(want) and dict(map(tuple, found)) == want
+
+
+def union_find(links):
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in up}
+
+
+def test_components_of_a_path_alone(spark):
+    # After one round 10 and 5 stand below 1 and 2 both, and no node stands in between.
+    found = components(spark.createDataFrame([(1, 10), (10, 5), (5, 11), (11, 2)], "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == [(k, 1) for k in (1, 2, 5, 10, 11)]
+
+
+@pytest.mark.parametrize("seed", [0, 1, 75, 332, 519])
+def test_components_of_small_random_graphs(spark, seed):
+    r = random.Random(seed)
+    links = [x for x in ((r.randrange(20), r.randrange(20)) for _ in range(20)) if x[0] != x[1]]
+    found = components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert sorted(map(tuple, found)) == sorted(union_find(links).items())
