@@ -33,7 +33,7 @@ from .shared import partitions, written
 VERSION = b"WARC/1.1\r\n"
 #: Bytes of a range, and of a file before the next is begun.
 RANGE_BYTES, FILE_BYTES = 8 << 20, 1 << 30
-#: Bytes of a header at most; a candidate without its end within them is none.
+#: Bytes read at once behind a range for the header that its last candidate may begin; longer ones are read on to their end.
 HEADER_BYTES = 1 << 16
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,18})\r\n")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -122,20 +122,44 @@ def write_warc(
 def candidates(data: bytes, start: int, own: int) -> tuple[np.ndarray, np.ndarray]:
     """(place, successor) of every version line that begins within the first ``own`` bytes.
 
-    ``data``: the bytes from ``start`` on, and enough behind them to hold a header.
+    ``data``: the bytes from ``start`` on, to the end of the last header that begins in them.
     """
     places, following = [], []
     at = data.find(VERSION)
+    end, length = -1, None
     while 0 <= at < own:
-        end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
-        length = _LENGTH.search(data, at, end + 2) if end >= 0 else None
+        # Version lines before one end of a header share it, and the first length between: each byte is searched once.
+        if end < at:
+            end = data.find(b"\r\n\r\n", at)
+            length = None
+            if end < 0:
+                break
+        if length is None or length.start() < at:
+            length = _LENGTH.search(data, at, end + 2)
         if length:
             places.append(start + at)
             following.append(start + end + 4 + int(length[1]) + 4)
-        at = data.find(VERSION, at + 1)
+            at = data.find(VERSION, at + 1)
+        else:
+            # None of the version lines before this end has a length.
+            at = data.find(VERSION, end)
     return np.array(places, np.int64), np.array(following, np.int64)
 
 
+def _headers(file, data: bytes, own: int) -> bytes:
+    """``data`` and what ``file`` holds behind it, up to the end of the header that may begin last in ``own``."""
+    last = data.rfind(VERSION, 0, own + len(VERSION) - 1)
+    if last < 0 or data.find(b"\r\n\r\n", last) >= 0:
+        return data
+    parts, seam, size = [data], data[-3:], HEADER_BYTES
+    while more := file.read(size):
+        parts.append(more)
+        if b"\r\n\r\n" in seam + more:
+            break
+        seam, size = (seam + more)[-3:], min(2 * size, RANGE_BYTES)
+    return b"".join(parts)
+
+
 def exits(places: np.ndarray, following: np.ndarray, end: int) -> np.ndarray:
     """Where the chain from each candidate leaves the range; -1 where it ends at no candidate."""
     out = following.copy()
@@ -160,10 +184,10 @@ def entries(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         for batch in batches:
             for path, size, start in zip(*(batch.column(c).to_pylist() for c in ("path", "bytes", "start"))):
                 files_, name = _opened(path)
+                own = min(range_bytes, size - start)
                 with files_.open_input_file(name) as file:
                     file.seek(start)
-                    data = file.read(range_bytes + HEADER_BYTES + len(VERSION))
-                own = min(range_bytes, size - start)
+                    data = _headers(file, file.read(range_bytes + HEADER_BYTES + len(VERSION)), own)
                 places, following = candidates(data, start, own)
                 leave = exits(places, following, start + own)
                 yield pa.RecordBatch.from_arrays(
@@ -190,6 +214,11 @@ def entries(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         )
         # A chain that cannot go on stays at its last place, the end of the file.
         jump = written(further.select("path", "place", F.coalesce("exit", "via").alias("exit")), "warc-jumps")
+    # Every chain must reach the end of its file: records behind a break would be missing.
+    ends = files.where("bytes > 0").select("path", F.col("bytes").alias("place"))
+    broken = ends.join(reached, ["path", "place"], "left_anti").select("path").first()
+    if broken:
+        raise ValueError(f"{broken.path}: the chain of records does not end at the end of the file")
     true = reached.join(links.select("path", "place"), ["path", "place"], "left_semi").distinct()
     start = F.col("place") - F.col("place") % range_bytes
     return true.groupBy("path", start.alias("start")).agg(F.min("place").alias("entry")).withColumn("stop", F.col("start") + range_bytes)
@@ -255,6 +284,12 @@ def records(path: str, entry: int, stop: int) -> Iterator[tuple[bytes, bytes]]:
         base = at
         while at < stop and at - base < len(data):
             end = data.find(b"\r\n\r\n", at - base)
+            while end < 0:
+                more = file.read(max(HEADER_BYTES, len(data)))
+                if not more:
+                    raise ValueError(f"{path}: the header at {at} does not end")
+                data += more
+                end = data.find(b"\r\n\r\n", at - base)
             head = data[at - base : end]
             length = int(_LENGTH.search(head + b"\r\n")[1])
             first = end + 4
