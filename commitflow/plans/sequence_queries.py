@@ -150,10 +150,11 @@ def k4(spark, sf):
 
 @R.add("k5_byte_pairs")
 def k5(spark, sf):
-    d = v.commits(spark, sf).select("doc_id", "message")
-    table, merges = bpe.train_bpe(d, ["message"], vocab_size=200)
-    out = bpe.encode_fixed(d, "message", table, merges, 100)
-    return joined(out.select("doc_id", "input_ids"), "input_ids")
+    d = render_diff(v.commits(spark, sf)).select("doc_id", "diff", "message")
+    table, merges = bpe.train_bpe(d, ["diff", "message"], vocab_size=3000)
+    out = bpe.encode_fixed(d, "diff", table, merges, 100)
+    out = bpe.encode_fixed(out, "message", table, merges, 100, name="target_ids")
+    return joined(out.select("doc_id", "input_ids", "target_ids"), "input_ids", "target_ids")
 
 
 @R.add(

@@ -187,3 +187,22 @@ def test_byte_pairs_match_one_by_one_training(spark):
         body = [back[i] for i in r["input_ids"] if not back[i].startswith("<")]
         text = bytes.fromhex("".join(body)).decode("utf-8", "ignore")
         assert r["text"].startswith(text) and text
+
+
+def test_byte_pairs_query_takes_diffs_and_messages(spark, monkeypatch):
+    from commitflow.operators.changes import render_diff
+    from commitflow.plans import sequence_queries, views
+    from conftest import SF
+
+    # The training itself takes long at this size: only what it is asked for is looked at, and bytes are encoded.
+    asked = []
+    vocab = {t: i for i, t in enumerate([*bpe.SPECIAL_TOKENS, *(f"{b:02x}" for b in range(256))])}
+    monkeypatch.setattr(bpe, "train_bpe", lambda df, cols, vocab_size=3000: asked.append((cols, vocab_size)) or (vocab, []))
+    found = {r.doc_id: r for r in sequence_queries.k5(spark, SF).collect()}
+    assert asked == [(["diff", "message"], 3000)]
+    rows = render_diff(views.commits(spark, SF)).select("doc_id", "diff", "message").collect()
+    assert len(rows) == len(found)
+    for r in rows:
+        for ids, text in ((found[r.doc_id].input_ids, r.diff), (found[r.doc_id].target_ids, r.message)):
+            want = [1, *(b + 5 for b in text.encode()), 2] + [0] * 100
+            assert [int(x) for x in ids.split(",")] == want[:100]
