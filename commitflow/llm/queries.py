@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Registry
+from .credentials import scan_sql
 
 R = Registry()
 
@@ -115,3 +116,10 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from corpus_pipeline import run
 
     return run(spark, sf_dir)
+
+
+@R.add("op11_credential_links", scan_sql())
+def op11_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .credentials import scan
+
+    return scan(table(spark, sf_dir, "documents"))
