@@ -22,6 +22,8 @@ gives no rows; no other column of the input is read.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,10 +51,16 @@ _SCOPE = len(KINDS)
 WHO, WHAT, WHERE = (1, 3), (0, 2, 4), (5,)
 
 
-def _matches(text: Column, kind: int, pattern: str, keep=None) -> Column:
+def _holds(text: Column, *marks: str) -> Column:
+    """Whether one of the texts that every match contains occurs at all: far cheaper than the pattern."""
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(m)) for m in marks))
+
+
+def _matches(text: Column, kind: int, pattern: str, may: Column, keep=None) -> Column:
     """The matches of ``pattern`` in order: (kind, number, code points since the last one, its own, keep).
 
-    ``keep`` decides by a match and the value of its second group where the pattern has one. Only texts with a match are split.
+    ``keep`` decides by a match, or the value of its second group where the pattern has one. Only texts that
+    ``may`` have a match are searched, and only those with one are split.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if kind == 0 else hits
@@ -64,7 +72,7 @@ def _matches(text: Column, kind: int, pattern: str, keep=None) -> Column:
 
     # Behind the last match stands a gap alone.
     found = F.transform(F.filter(zipped, lambda z: z["hit"].isNotNull()), one)
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,size:int,keep:boolean>>"))
+    return F.when(may & text.rlike(pattern), found).otherwise(F.array().cast("array<struct<kind:int,i:int,gap:int,size:int,keep:boolean>>"))
 
 
 def _mixed(value: Column) -> Column:
@@ -80,17 +88,16 @@ def parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     rows = df.select(
         F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")
     )
-    strong = [
-        _matches(text, 0, ASSIGN, lambda value: F.length(value) >= ASSIGN_VALUE).alias("k0"),
-        _matches(text, 1, ACCESS).alias("k1"),
-        _matches(text, 2, HEX).alias("k2"),
-    ]
-    weak = [
-        _matches(text, 3, IDENTIFIER).alias("k3"),
-        _matches(text, 4, SECRET, _mixed).alias("k4"),
-        _matches(text, 5, ENDPOINT).alias("k5"),
-    ]
-    found = rows.select("id", "row", "text", *strong, *weak)
+    found = rows.select(
+        "id", "row", "text",
+        _matches(text, 0, ASSIGN, _holds(text, ":", "="), lambda value: F.length(value) >= ASSIGN_VALUE).alias("k0"),
+        _matches(text, 1, ACCESS, _holds(text, "AKIA")).alias("k1"),
+        _matches(text, 2, HEX, F.lit(True)).alias("k2"),
+        _matches(text, 3, IDENTIFIER, _holds(text, ":", "=", "AKIA")).alias("k3"),
+        _matches(text, 5, ENDPOINT, _holds(text, "://")).alias("k5"),
+    )
+    # A weak secret needs one of the others.
+    found = found.withColumn("k4", _matches(text, 4, SECRET, F.size(F.concat("k1", "k3", "k5")) > 0, _mixed))
 
     def any_of(kinds: tuple[int, ...]) -> Column:
         return F.exists(F.concat(*(F.col(f"k{k}") for k in kinds)), lambda z: z["keep"])
@@ -98,7 +105,7 @@ def parts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
     linked = any_of(WHAT) & any_of(WHO + WHERE)
     none = F.array().cast(found.schema["k3"].dataType)
     itself = F.array(F.struct(F.lit(-1).alias("kind"), F.lit(0).alias("i"), F.lit(0).alias("gap"), F.lit(0).alias("size"), F.lit(True).alias("keep")))
-    candidates = F.when(linked, F.concat("k3", "k4", "k5", _matches(text, _SCOPE, BREAK))).otherwise(none)
+    candidates = F.when(linked, F.concat("k3", "k4", "k5", _matches(text, _SCOPE, BREAK, F.lit(True)))).otherwise(none)
     spread = found.select("id", "row", F.inline(F.concat(itself, "k0", "k1", "k2", candidates)))
     # Keyed by row alone: all windows below and the last aggregate share this exchange.
     dealt = spread.repartition("row")
