@@ -123,3 +123,10 @@ def op11_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .credentials import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@R.add("op13_conversation_runs")
+def op13_conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import damaged, digests
+
+    return digests(damaged(table(spark, sf_dir, "conversations"))).withColumnRenamed("id", "conv_id")
