@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import Registry
+from .collocations import collocations_sql
 from .credentials import scan_sql
 
 R = Registry()
@@ -125,6 +126,13 @@ def op11_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+@R.add("op12_phrase_cycles", collocations_sql())
+def op12_phrase_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @R.add("op13_conversation_runs")
 def op13_conversation_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .conversations import damaged, digests
