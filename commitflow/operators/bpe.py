@@ -1,88 +1,264 @@
-"""Byte-level pair encoding (K5): counting and merging on Spark, over the distinct-word table.
+"""Byte-level pair encoding (K5): trained over the distinct-word table, many merges a round.
 
-A word is kept as text: every symbol is the hex of its bytes in angle brackets, so merging a pair is
-a literal replace (``<61><62>`` to ``<6162>``), left to right and never overlapping.
+A round proposes merges and checks them exactly. The driver holds the count of every pair (at most the square of the
+vocabulary) and a bounded sample of the most frequent words, on which it plays the training ahead. Tasks apply the
+proposed merges to all words, one after another, and return how each of them changes the pair counts; only words that hold
+the pair are touched. The driver then replays the changes: a proposal counts only while it is the most frequent pair of
+the whole corpus at its turn. The sample decides how many merges a round settles, never which ones.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import copy
+import heapq
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .merge import concat
-from ..session import shared_dir
+from ..session import scratch_path
 
 # Fixed value: how text is cut into words before byte pairs are counted.
 WORD = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
 SPECIAL_TOKENS = ("<pad>", "<s>", "</s>", "<unk>", "<mask>")
-PAIRS_PER_ROUND = 256
-CHECKPOINT_EVERY = 8
+#: Words on which the driver plays ahead, and the bytes a word there may have.
+SAMPLE_WORDS, SAMPLE_BYTES = 400_000, 64
+#: Merges a round proposes at most, and at least.
+MOST_AHEAD, LEAST_AHEAD = 512, 16
+#: Settled merges after which the words are written anew.
+REWRITE_AFTER = 1024
+#: Symbols that a task works on at a time.
+CHUNK_SYMBOLS = 1 << 22
+Merge = tuple[int, int, int]
 
 
 def pre_words(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
-def _symbols(word: Column) -> Column:
-    return F.regexp_replace(F.lower(F.hex(F.encode(word, "UTF-8"))), "(..)", "<$1>")
-
-
 def word_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Distinct words of all columns with counts, as symbol text."""
+    """Distinct words of all columns with counts; a word's symbols are 32-bit numbers, at first those of its bytes."""
     texts = concat([df.select(F.col(c).alias("text")) for c in cols])
-    return (
-        texts.select(F.explode(pre_words(F.col("text"))).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-        .select(_symbols(F.col("word")).alias("symbols"), "n")
-    )
+    counted = texts.select(F.explode(pre_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            symbols = [np.frombuffer(w, np.uint8).astype("<i4").tobytes() for w in batch["word"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.binary()), batch["n"]], ["symbols", "n"])
 
-def _best_pairs(words: DataFrame) -> list[tuple[str, str, int]]:
-    parts = F.split(F.regexp_replace("symbols", "^<|>$", ""), "><")
-    pairs = F.transform(
-        F.slice("p", F.lit(2), F.size("p")), lambda right, i: F.struct(F.get("p", i).alias("a"), right.alias("b"))
-    )
-    counted = (
-        words.select("n", parts.alias("p"))
-        .filter(F.size("p") > 1)
-        .select("n", F.explode(pairs).alias("x"))
-        .groupBy("x.a", "x.b")
-        .agg(F.sum("n").alias("n"))
-    )
-    top = counted.orderBy(F.desc("n"), "a", "b").limit(PAIRS_PER_ROUND)
-    return [(r["a"], r["b"], r["n"]) for r in top.collect()]
+    return counted.select(F.encode("word", "UTF-8").alias("word"), "n").mapInArrow(widen, "symbols binary, n bigint")
+
+
+class WordSymbols:
+    """Words as runs of one symbol array, with an index from pairs to the words that hold or held them."""
+
+    def __init__(self, words: Sequence[bytes], counts: Sequence[int]) -> None:
+        self.sizes = np.fromiter((len(w) // 4 for w in words), np.int64, len(words))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.symbols = np.frombuffer(b"".join(words), "<i4").astype(np.int64)
+        self.counts = np.asarray(counts, np.int64)
+        self._index: dict[int, list[np.ndarray]] = {}
+        codes, owners = self._pairs(*self._gather(np.arange(len(self.sizes))))
+        self.first_changes = _summed(codes, self.counts[owners])
+        self._file(codes, owners)
+
+    def _gather(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of some words, end to end, and whose each is."""
+        sizes = self.sizes[words]
+        owners = np.repeat(words, sizes)
+        places = np.arange(len(owners)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[words], sizes)
+        return self.symbols[places], owners
+
+    @staticmethod
+    def _pairs(symbols: np.ndarray, owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        inside = owners[1:] == owners[:-1]
+        return ((symbols[:-1] << 32) | symbols[1:])[inside], owners[1:][inside]
+
+    def _file(self, codes: np.ndarray, owners: np.ndarray) -> None:
+        order = np.lexsort((owners, codes))
+        codes, owners = codes[order], owners[order]
+        new = np.ones(len(codes), bool)
+        new[1:] = (codes[1:] != codes[:-1]) | (owners[1:] != owners[:-1])
+        codes, owners = codes[new], owners[new]
+        cuts = np.flatnonzero(np.diff(codes, prepend=-1))
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(codes)]):
+            self._index.setdefault(int(codes[a]), []).append(owners[a:b])
 
+    def merge(self, a: int, b: int, to: int, changes: bool = True) -> tuple[np.ndarray, np.ndarray] | None:
+        """Replace the pair left to right; (pair, change of its count) where asked for."""
+        held = self._index.pop((a << 32) | b, None)
+        if held is None:
+            return None
+        symbols, owners = self._gather(np.unique(np.concatenate(held)))
+        at = np.flatnonzero((symbols[:-1] == a) & (symbols[1:] == b) & (owners[1:] == owners[:-1]))
+        if a == b and len(at):
+            # In a run of equal symbols every second place begins a pair.
+            runs = np.concatenate([[True], np.diff(at) > 1])
+            first = at[runs][np.cumsum(runs) - 1]
+            at = at[(at - first) % 2 == 0]
+        if not len(at):
+            return None
+        # Words that held the pair once need not any more.
+        touched = np.isin(owners, owners[at])
+        place = np.cumsum(touched) - 1
+        symbols, owners, at = symbols[touched], owners[touched], place[at]
+        before, whose = self._pairs(symbols, owners)
+        left = np.ones(len(symbols), bool)
+        left[at + 1] = False
+        symbols[at] = to
+        symbols, owners = symbols[left], owners[left]
+        words, sizes = np.unique(owners, return_counts=True)
+        self.sizes[words] = sizes
+        places = np.arange(len(owners)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(self.starts[words], sizes)
+        self.symbols[places] = symbols
+        after, holders = self._pairs(symbols, owners)
+        new = (after >> 32 == to) | (after & 0xFFFFFFFF == to)
+        self._file(after[new], holders[new])
+        if changes:
+            return _summed(np.concatenate([before, after]), np.concatenate([-self.counts[whose], self.counts[holders]]))
+        return None
 
-def safe_prefix(pairs: Sequence[tuple[str, str, int]], room: int) -> list[tuple[str, str]]:
-    """The leading pairs that one-by-one training would also merge next, in this order.
+    def copy(self) -> WordSymbols:
+        other = copy.copy(self)
+        other.sizes, other.symbols = self.sizes.copy(), self.symbols.copy()
+        other._index = {code: list(held) for code, held in self._index.items()}
+        return other
 
-    Merging ``(a, b)`` changes only pairs that end in ``a`` or begin with ``b``, and a new pair is at
-    most as frequent as one of these was. So merges go on down to, but not including, the count of
-    the first pair that an earlier merge touches (or of the last pair seen, when there may be more). A pair
-    of equal symbols also touches itself: what it leaves of a run may pair up again at once, so it
-    ends the batch.
+    def words(self) -> list[bytes]:
+        flat = self.symbols.astype("<i4")
+        return [flat[s : s + n].tobytes() for s, n in zip(self.starts.tolist(), self.sizes.tolist())]
+
+
+def _summed(codes: np.ndarray, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs with the sum of their amounts, zeros left out."""
+    found, which = np.unique(codes, return_inverse=True)
+    sums = np.zeros(len(found), np.int64)
+    np.add.at(sums, which, amounts)
+    return found[sums != 0], sums[sums != 0]
+
+
+def _listed(changes: tuple[np.ndarray, np.ndarray] | None) -> list[tuple[int, int]]:
+    return [] if changes is None else list(zip(changes[0].tolist(), changes[1].tolist()))
+
+
+def _chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[WordSymbols]:
+    words, counts, size = [], [], 0
+    for batch in batches:
+        for word, n in zip(batch["symbols"].to_pylist(), batch["n"].to_pylist()):
+            words.append(word)
+            counts.append(n)
+            size += len(word) // 4
+            if size >= CHUNK_SYMBOLS:
+                yield WordSymbols(words, counts)
+                words, counts, size = [], [], 0
+    if words:
+        yield WordSymbols(words, counts)
+
+
+def pair_changes(words: DataFrame, settled: Sequence[Merge], ahead: Sequence[Merge]) -> DataFrame:
+    """(step, a, b, change): what each merge of ``ahead`` does to the pair counts, in order, behind ``settled``.
+
+    Without any, step -1 holds the counts themselves.
     """
-    lefts: set[str] = set()
-    rights: set[str] = set()
-    bound = pairs[-1][2] if len(pairs) == PAIRS_PER_ROUND else 0
-    for a, b, n in pairs:
-        if a in rights or b in lefts:
-            bound = max(bound, n)
-            break
-        lefts.add(a)
-        rights.add(b)
-    chosen = [pairs[0][:2]]
-    for a, b, n in pairs[1:]:
-        if n <= bound or chosen[-1][0] == chosen[-1][1]:
-            break
-        chosen.append((a, b))
-    return chosen[:room]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            for merge in settled:
+                chunk.merge(*merge, changes=False)
+            found = [(step, chunk.merge(*merge)) for step, merge in enumerate(ahead)] if ahead else [(-1, chunk.first_changes)]
+            for step, changes in found:
+                if changes is not None:
+                    codes, sums = changes
+                    columns = [np.full(len(codes), step, np.int32), (codes >> 32).astype(np.int32), (codes & 0xFFFFFFFF).astype(np.int32), sums]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["step", "a", "b", "change"])
+
+    found = words.mapInArrow(run, "step int, a int, b int, change bigint")
+    return found.groupBy("step", "a", "b").agg(F.sum("change").alias("change")).where("change <> 0")
+
+
+def apply_merges(words: DataFrame, merges: Sequence[Merge]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches):
+            for merge in merges:
+                chunk.merge(*merge, changes=False)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk.words(), pa.binary()), pa.array(chunk.counts)], ["symbols", "n"])
+
+    return words.mapInArrow(run, "symbols binary, n bigint")
+
+
+class _Counts:
+    """Pair counts, and the most frequent pair; equal counts are settled by the pair's hex texts."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts, self.of, self._heap = texts, {}, []
+
+    def add(self, pair: tuple[int, int], change: float) -> None:
+        n = self.of.get(pair, 0) + change
+        self.of[pair] = n
+        if n > 0:
+            heapq.heappush(self._heap, (-n, self.texts[pair[0]], self.texts[pair[1]], pair))
+
+    def top(self) -> tuple[tuple[int, int], float] | None:
+        while self._heap:
+            n, _, _, pair = self._heap[0]
+            if self.of.get(pair) == -n:
+                return pair, -n
+            heapq.heappop(self._heap)
+        return None
+
+    def copy(self) -> _Counts:
+        other = _Counts(self.texts)
+        other.of = dict(self.of)
+        other._heap = [(-n, self.texts[p[0]], self.texts[p[1]], p) for p, n in self.of.items() if n > 0]
+        heapq.heapify(other._heap)
+        return other
+
+
+class _Symbols:
+    """Numbers of symbols by their hex text: bytes first, then what merges make."""
+
+    def __init__(self) -> None:
+        self.texts = [f"{b:02x}" for b in range(256)]
+        self._known = {t: i for i, t in enumerate(self.texts)}
+
+    def joined(self, pair: tuple[int, int]) -> int:
+        text = self.texts[pair[0]] + self.texts[pair[1]]
+        if text not in self._known:
+            self._known[text] = len(self.texts)
+            self.texts.append(text)
+        return self._known[text]
+
+
+def _play(sample: WordSymbols, known: dict[tuple[int, int], int], counts: _Counts, symbols: _Symbols, most: int, min_count: int) -> list[Merge]:
+    """The merges that training would make next if all words changed like those of the sample.
+
+    Makes them in the sample, and in ``known``, its pair counts.
+    """
+    counts = counts.copy()
+    out: list[Merge] = []
+    while len(out) < most and (best := counts.top()) and best[1] >= min_count:
+        pair, n = best
+        merge = (*pair, symbols.joined(pair))
+        out.append(merge)
+        seen = known.get(pair, 0)
+        changes = sample.merge(*merge)
+        if changes is None or seen <= 0:
+            # The sample does not hold the pair: nothing is known of what follows it.
+            counts.add(pair, -n)
+            continue
+        for code, change in _listed(changes):
+            p = (code >> 32, code & 0xFFFFFFFF)
+            known[p] = known.get(p, 0) + change
+            counts.add(p, change if n == seen else change * n / seen)
+        if counts.of[pair] > 0 and pair[0] != pair[1]:
+            counts.add(pair, -counts.of[pair])
+    return out
 
 
 def train_bpe(
@@ -92,32 +268,65 @@ def train_bpe(
     min_count: int = 1,
     specials: Sequence[str] = SPECIAL_TOKENS,
 ) -> tuple[dict[str, int], list[tuple[str, str]]]:
-    """Vocabulary (specials, bytes, merges; hex symbols) and the merge list.
+    """Vocabulary (specials, bytes, merges; hex symbols) and the merge list, as one-by-one training gives them.
 
-    Each round is one small aggregate over the distinct words and returns at most
-    ``PAIRS_PER_ROUND`` pairs to the driver. Equal counts are settled by the hex text of the pair.
-    Training stops at ``vocab_size`` or when no pair is left (or none above ``min_count``).
+    Equal counts are settled by the hex text of the pair. Training stops at ``vocab_size`` or when no pair is left
+    (or none of at least ``min_count``).
     """
-    shared_dir(df.sparkSession)
-    words = word_table(df, cols).checkpoint()
-    parts = F.explode(F.split(F.regexp_replace("symbols", "^<|>$", ""), "><"))
-    alphabet = sorted(r[0] for r in words.select(parts.alias("s")).distinct().collect())
-    vocab = {t: i for i, t in enumerate([*specials, *alphabet])}
+    spark = df.sparkSession
+
+    def kept(table: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "byte-pairs")
+        table.write.parquet(path)
+        return spark.read.schema("symbols binary, n bigint").parquet(path)
+
+    words = kept(word_table(df, cols))
+    symbols = _Symbols()
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(256, bool)
+        for batch in batches:
+            seen[np.frombuffer(b"".join(batch["symbols"].to_pylist()), "<i4")] = True
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(seen).astype(np.int32))], ["s"])
+
+    alphabet = sorted(r["s"] for r in words.mapInArrow(single, "s int").distinct().collect())
+    vocab = {t: i for i, t in enumerate([*specials, *(symbols.texts[s] for s in alphabet)])}
+    short = words.where((F.octet_length("symbols") <= 4 * SAMPLE_BYTES) & (F.octet_length("symbols") > 4))
+    held = short.orderBy(F.desc("n"), "symbols").limit(SAMPLE_WORDS).toArrow()
+    sample = WordSymbols(held["symbols"].to_pylist(), held["n"].to_pylist())
+    known = {(code >> 32, code & 0xFFFFFFFF): n for code, n in _listed(sample.first_changes)}
+    counts = _Counts(symbols.texts)
+    for r in pair_changes(words, [], []).toPandas().itertuples():
+        counts.add((r.a, r.b), r.change)
     merges: list[tuple[str, str]] = []
-    rounds = 0
-    while len(vocab) < vocab_size:
-        pairs = [p for p in _best_pairs(words) if p[2] >= min_count]
-        if not pairs:
-            break
-        symbols = F.col("symbols")
-        for a, b in safe_prefix(pairs, vocab_size - len(vocab)):
-            symbols = F.replace(symbols, F.lit(f"<{a}><{b}>"), F.lit(f"<{a}{b}>"))
-            merges.append((a, b))
-            vocab.setdefault(a + b, len(vocab))
-        words = words.withColumn("symbols", symbols)
-        rounds += 1
-        if rounds % CHECKPOINT_EVERY == 0:
-            words = words.checkpoint()
+    settled: list[Merge] = []
+    ahead = MOST_AHEAD
+    while len(vocab) < vocab_size and (best := counts.top()) and best[1] >= min_count:
+        played, guessed = sample.copy(), dict(known)
+        proposed = _play(played, guessed, counts, symbols, min(ahead, vocab_size - len(vocab)), min_count)
+        changes = pair_changes(words, settled, proposed).toPandas()
+        by_step = {step: rows for step, rows in changes.groupby("step")}
+        done = 0
+        for step, (a, b, to) in enumerate(proposed):
+            best = counts.top()
+            if best is None or best[0] != (a, b) or best[1] < min_count or len(vocab) >= vocab_size:
+                break
+            for r in by_step[step].itertuples():
+                counts.add((r.a, r.b), r.change)
+            merges.append((symbols.texts[a], symbols.texts[b]))
+            vocab.setdefault(symbols.texts[to], len(vocab))
+            done += 1
+        settled += proposed[:done]
+        ahead = min(MOST_AHEAD, max(LEAST_AHEAD, 2 * done))
+        if done == len(proposed):
+            sample, known = played, guessed
+        else:
+            for merge in proposed[:done]:
+                for code, change in _listed(sample.merge(*merge)):
+                    pair = (code >> 32, code & 0xFFFFFFFF)
+                    known[pair] = known.get(pair, 0) + change
+        if len(settled) >= REWRITE_AFTER:
+            words, settled = kept(apply_merges(words, settled)), []
     return vocab, merges
 
 
@@ -168,6 +377,9 @@ def encode_fixed(
         def row(ws) -> list[int]:
             ids = [ids_of[bos]]
             for w in ws:
+                # What lies behind the cut is not needed.
+                if len(ids) >= length:
+                    break
                 ids.extend(word_ids(w))
             ids.append(ids_of[eos])
             return (ids + [ids_of[pad]] * (length - len(ids)))[:length]

@@ -38,11 +38,6 @@ def test_first_seen_is_exact_for_any_row_number(spark):
     assert [r["word"] for r in stats.top_k(seen, 4).collect()] == ["two", "one", "early", "late"]
 
 
-def test_equal_pairs_end_a_batch():
-    assert bpe.safe_prefix([("61", "61", 300), ("6161", "6161", 100), ("62", "63", 90)], 9) == [("61", "61")]
-    assert bpe.safe_prefix([("62", "63", 90), ("61", "61", 80), ("64", "65", 70)], 9) == [("62", "63"), ("61", "61")]
-
-
 def test_byte_pairs_merge_runs_one_by_one(spark):
     df = spark.createDataFrame([("aaaa " * 100 + "bc " * 90,)], "t string")
     _, merges = bpe.train_bpe(df.withColumn("t", F.regexp_replace("t", " ", "\n")), ["t"], vocab_size=12)
