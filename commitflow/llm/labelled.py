@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 from .shared import crc_mod
 
-#: Characters of a document that may take part in fitting; longer ones are only scored.
+#: Characters of a document that may take part in fitting; longer ones are only scored. Together with ``per_class``
+#: it bounds what the fitting task holds.
 MOST_CHARS = 1 << 20
+#: What a classifier adds to its documents.
+NAMES = ("held_out", "score", "predicted")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, per_class: int) -> DataFrame:
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, mod: int, held_out: int, per_class: int, most_chars: int = MOST_CHARS
+) -> DataFrame:
     """(text, y, weight): at most ``per_class`` training documents of either label, chosen by a hash.
 
-    ``weight`` restores each label's share among all training labels. Held-out documents never take part.
+    Labelled documents of more than ``most_chars`` characters take no part. ``weight`` restores each label's share among all training labels. Held-out documents never take part.
     """
     train = labels.where((crc_mod("doc_id", mod) != held_out) & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     train = train.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -25,7 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, he
     ranked = [train.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     # At most twice ``per_class`` ids, so they may be sent to every task.
     chosen = F.broadcast(ranked[0].unionByName(ranked[1]))
-    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= MOST_CHARS)
+    texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where(F.length("text") <= most_chars)
     weight = F.lit(1.0)
     for y, n in totals.items():
         weight = F.when(F.col("y") == y, F.lit(max(1.0, n / per_class))).otherwise(weight)
@@ -42,6 +47,7 @@ def fitted(sample: DataFrame, fit: Callable[[pd.DataFrame], bytes]) -> bytes:
         rows = rows.sort_values(["y", "text"]).reset_index(drop=True)
         yield pd.DataFrame({"model": [fit(rows)]})
 
-    row = sample.coalesce(1).mapInPandas(run, "model binary").first()
+    # An exchange, not a coalesce: the tables are scanned by many tasks, and only the sample reaches this one.
+    row = sample.repartition(1).mapInPandas(run, "model binary").first()
     # Spark leaves out the task where it sees that the sample is empty.
     return bytes(row["model"]) if row else fit(pd.DataFrame({"text": [], "y": [], "weight": []}))

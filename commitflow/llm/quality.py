@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fitted, labelled_sample
+from .labelled import MOST_CHARS, NAMES, fitted, labelled_sample
 from .shared import crc_mod
 from .tokens import blocks
 
@@ -199,26 +199,26 @@ def fit_network(rows: pd.DataFrame, epochs: int = EPOCHS) -> bytes:
 
 def quality_scores(
     docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, held_out: int = 0, threshold: float = 0.3,
-    per_class: int = PER_CLASS,
+    per_class: int = PER_CLASS, most_chars: int = MOST_CHARS, names: tuple[str, str, str] = NAMES,
 ) -> DataFrame:
-    """``docs`` with held_out, score and predicted. Fitted on at most ``per_class`` documents a label."""
-    model = fitted(labelled_sample(docs, labels, label, mod, held_out, per_class), fit_network)
-    return scored(docs, model, mod, held_out, threshold)
+    """``docs`` with held_out, score and predicted (or ``names``), which replace columns of these names. Fitted on at most ``per_class`` documents a label."""
+    model = fitted(labelled_sample(docs, labels, label, mod, held_out, per_class, most_chars), fit_network)
+    return scored(docs, model, mod, held_out, threshold, names)
 
 
-def scored(docs: DataFrame, model: bytes, mod: int, held_out: int, threshold: float) -> DataFrame:
-    """The columns of ``docs`` (but those of the same names), and a fitted network's answers."""
-    kept = docs.drop("held_out", "score", "predicted")
+def scored(docs: DataFrame, model: bytes, mod: int, held_out: int, threshold: float, names: tuple[str, str, str] = NAMES) -> DataFrame:
+    """The columns of ``docs`` (but those of the same names), and a fitted network's answers under ``names``."""
+    kept = docs.drop(*names)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network.loaded(model)
         for block in blocks(batches, "text", 4 << 20):
             texts = [b"" if t is None else t.encode() for t in block.column("text").to_pylist()]
             score = pa.chunked_array([pa.array(network.scores(texts), pa.float64())])
-            yield from block.append_column("score", score).to_batches()
+            yield from block.append_column(names[1], score).to_batches()
 
-    schema = kept.withColumn("score", F.lit(0.0)).schema
+    schema = kept.withColumn(names[1], F.lit(0.0)).schema
     out = kept.withColumn("text", F.col("text").cast("string")).mapInArrow(of, schema)
-    return out.withColumn("held_out", F.coalesce(crc_mod("doc_id", mod) == held_out, F.lit(False))).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
+    return out.withColumn(names[0], F.coalesce(crc_mod("doc_id", mod) == held_out, F.lit(False))).withColumn(
+        names[2], (F.col(names[1]) >= threshold).cast("int")
     )

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import fitted, labelled_sample
+from .labelled import MOST_CHARS, NAMES, fitted, labelled_sample
 from .shared import crc_mod
 from .tokens import blocks
 
@@ -164,29 +164,29 @@ class Words:
         return found
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, held_out: int = 1, per_class: int = PER_CLASS) -> bytes:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, held_out: int = 1, per_class: int = PER_CLASS, most_chars: int = MOST_CHARS) -> bytes:
     """A model fitted on at most ``per_class`` documents of either label."""
-    return fitted(labelled_sample(docs, labels, label, mod, held_out, per_class), fit_words)
+    return fitted(labelled_sample(docs, labels, label, mod, held_out, per_class, most_chars), fit_words)
 
 
 def toxicity_scores(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", mod: int = 3, held_out: int = 1, threshold: float = 0.7,
-    per_class: int = PER_CLASS,
+    per_class: int = PER_CLASS, most_chars: int = MOST_CHARS, names: tuple[str, str, str] = NAMES,
 ) -> DataFrame:
-    """``docs`` with held_out, score and predicted."""
-    model = fit(docs, labels, label, mod, held_out, per_class)
-    kept = docs.drop("held_out", "score", "predicted")
+    """``docs`` with held_out, score and predicted (or ``names``), which replace columns of these names."""
+    model = fit(docs, labels, label, mod, held_out, per_class, most_chars)
+    kept = docs.drop(*names)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(model)
         for block in blocks(batches):
             score = pa.chunked_array([pa.array(words.scores(block.column("text").combine_chunks()), pa.float64())])
-            yield from block.append_column("score", score).to_batches()
+            yield from block.append_column(names[1], score).to_batches()
 
-    schema = kept.withColumn("score", F.lit(0.0)).schema
+    schema = kept.withColumn(names[1], F.lit(0.0)).schema
     out = kept.withColumn("text", F.col("text").cast("string")).mapInArrow(of, schema)
-    return out.withColumn("held_out", F.coalesce(crc_mod("doc_id", mod) == held_out, F.lit(False))).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
+    return out.withColumn(names[0], F.coalesce(crc_mod("doc_id", mod) == held_out, F.lit(False))).withColumn(
+        names[2], (F.col(names[1]) >= threshold).cast("int")
     )
 
 

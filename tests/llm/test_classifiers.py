@@ -152,3 +152,16 @@ def test_offending_sentences(spark):
 
 def test_features():
     assert features("stupid") == ["stupid", "stup*", "stupi*"] and features("a") == ["a"]
+
+
+def test_the_fit_scans_nothing(spark):
+    """The tables are read by their own tasks; only the sample crosses an exchange to the fitting task."""
+    from commitflow.llm import labelled
+
+    plans = []
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    sample = labelled.labelled_sample(docs, labels, "quality", 5, 0, 50)
+    plans.append(sample.repartition(1).mapInPandas(lambda b: b, sample.schema)._jdf.queryExecution().executedPlan().toString())
+    assert labelled.fitted(sample, lambda rows: str(len(rows)).encode()) == str(sample.count()).encode()
+    top = plans[0][: plans[0].index("Exchange")]
+    assert "MapInPandas" in top and "Scan" not in top and "Coalesce" not in top
