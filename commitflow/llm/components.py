@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import join_sized, written
 
 
 def forest(label: np.ndarray, links: list[tuple]) -> np.ndarray:
@@ -61,8 +61,10 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         both = pairs
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-    moved = both.join(least, "u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")).withColumn("m", F.least("m", "u"))
+    least = written(least, "least-neighbours")
+    # A hub has many links.
+    moved = join_sized(both, least, "u", "size")
     if large:
         moved = moved.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -24,6 +24,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: A key with more than one in so many of all rows is joined apart.
+HOT_SHARES = 64
+
+
+def join_sized(rows: DataFrame, table: DataFrame, key: str, size: str) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row a key that tells in ``size`` how many rows have the key.
+
+    At most ``HOT_SHARES`` keys can hold that share of all rows; these few rows are sent to every task and their matches stay
+    where they are. Only the other keys cross an exchange. ``table`` is read twice: write it first.
+    """
+    total = table.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    is_hot = F.col(size) * HOT_SHARES > total
+    hot = F.broadcast(table.where(is_hot).drop(size))
+    cold = rows.join(hot.select(key), key, "left_anti").join(table.where(~is_hot).drop(size), key)
+    return rows.join(hot, key).unionByName(cold)
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

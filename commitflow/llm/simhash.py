@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, forest
-from .shared import written
+from .shared import join_sized, written
 
 #: Leaves of a subtree: about a 32nd of all, between these bounds.
 LEAST_LEAVES, MOST_LEAVES = 4096, 1 << 20
@@ -270,7 +270,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     linked = components(fingerprint_links(distinct, budget))
     # Fingerprints without a link are their own component; only linked ones are joined.
     named = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    smallest = named.join(least, "root").select("fp", "component_id")
+    named = written(named, "named")
+    least = written(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("size")), "component-ids")
+    # A large component is one root.
+    smallest = join_sized(named, least, "root", "size").select("fp", "component_id")
     out = prints.join(smallest, "fp")
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

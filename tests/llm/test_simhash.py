@@ -118,3 +118,22 @@ def test_components_of_small_random_graphs(spark, seed):
     links = [x for x in ((r.randrange(20), r.randrange(20)) for _ in range(20)) if x[0] != x[1]]
     found = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted(map(tuple, found)) == sorted(union_find(links).items())
+
+
+def test_one_large_component_is_joined_apart(spark):
+    """20 000 fingerprints of one component: no task gets them all."""
+    from pyspark.sql import functions as F
+
+    from commitflow.llm.components import components
+    from commitflow.llm.shared import join_sized
+
+    hub = spark.range(1, 20_001).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    chain = spark.range(30_000, 30_100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    roots = components(hub.unionByName(chain))
+    got = {(r.root, r.n) for r in roots.groupBy("root").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, 20_001), (30_000, 101)}
+    rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
+    table = rows.groupBy("k").agg(F.max("id").alias("top"), F.count("*").alias("n"))
+    found = join_sized(rows, table, "k", "n")
+    want = rows.join(table.drop("n"), "k")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and "BroadcastHashJoin" in found._jdf.queryExecution().toString()
