@@ -8,6 +8,7 @@ null count as empty; an empty table passes through every stage.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from commitflow.llm.packing import pack
 from commitflow.llm.quality import quality_scores
@@ -21,24 +22,32 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+#: Private names of what the classifiers add, so that columns of the input stay as they are.
+SCORES = ("__held_out", "__score", "__predicted")
+ROW = "__row"
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network scores 0.3 or more; it is fitted on the given labels."""
-    return quality_scores(docs, _labels(spark, sf_dir)).where("predicted = 1").select(*docs.columns)
+    return quality_scores(docs, _labels(spark, sf_dir), names=SCORES).where("__predicted = 1").drop(*SCORES)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no sentence makes toxic: scores below 0.7."""
-    return toxicity_scores(docs, _labels(spark, sf_dir)).where("predicted = 0").select(*docs.columns)
+    return toxicity_scores(docs, _labels(spark, sf_dir), names=SCORES).where("__predicted = 0").drop(*SCORES)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that with the smallest id; null ids stay.
+    """One row of each group of near copies: the first by id (null ids last), of repeated ids any one.
 
-    The ids to be removed are written first, so Spark knows their size when it chooses the join.
+    Rows are numbered in a table that is written first, and removed by their number: an id that stands on several texts loses
+    only those that are copies. The rows to be removed are written too, so Spark knows their size when it chooses the join.
     """
-    found = near_duplicates(docs)
-    others = written(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
+    found = near_duplicates(rows.select(place.alias("place"), "text"), id_col="place")
+    others = written(found.where("place.row <> component_id.row").select(F.col("place.row").alias(ROW)), "near-copies")
+    return rows.join(others, ROW, "left_anti").select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
