@@ -4,7 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 import pytest
 from conftest import SF
-from helpers import DOCS, documents
+from helpers import DOCS, documents, words
 from tokenizers import Tokenizer
 
 from commitflow.llm.simhash import fingerprint
@@ -65,3 +65,20 @@ def test_odd_and_empty_tables(spark, tmp):
             found = stage(spark, docs, tmp)
             docs = found if found.columns == docs.columns else docs
             found.collect()
+
+
+def test_columns_of_the_input_stay_as_they_are(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("*", "'mine' as score", "doc_id as predicted", "true as held_out")
+    want = {r.doc_id: tuple(r) for r in docs.collect()}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, SF)
+        assert docs.columns[-3:] == ["score", "predicted", "held_out"]
+    found = docs.collect()
+    assert found and all(tuple(r) == want[r.doc_id] for r in found)
+
+
+def test_one_row_of_each_group_with_repeated_and_null_ids(spark):
+    a, b, c = words(1, 80), words(2, 80), words(3, 80)
+    rows = [(1, b), (5, a), (5, b), (1, b), (None, c), (None, c), (7, c), (None, words(4, 80))]
+    found = corpus_pipeline.near_copies(spark, documents(spark, rows).repartition(3), SF).collect()
+    assert sorted(map(tuple, found), key=str) == sorted([(1, b), (5, a), (7, c), rows[-1]], key=str)
