@@ -8,9 +8,9 @@ after one full cycle of shards. The job ends when nothing is active.
 While counting, a phrase is a 48-bit key. A task reduces a chunk of texts to sorted distinct keys with counts, packed
 per bucket of the key space as differences; buckets are merged with those of the steps before, so no phrase,
 however common, is more than one entry a chunk. How much a bucket holds is set by the size of the corpus. What has
-reached the threshold, and at which boundary, is a table of ``SLOTS`` bytes a length, two places a key: that is all that
-is sent to the tasks, whatever the corpus. Where places are shared, a phrase is activated without need,
-never too late, and counts stay true. A last scan spells out the phrases whose keys reached the threshold and counts them by
+reached the threshold, and at which boundary, is a table of bytes for each length, ``PLACES`` places a key: that is all that
+is sent to the tasks. It grows with the corpus up to ``MOST_SLOTS`` bytes. Where places are shared, a phrase is activated without
+need, never too late, and counts stay true. A last scan spells out the phrases whose keys reached the threshold and counts them by
 their texts, so keys that coincide change nothing.
 
 Texts are lower-cased (A-Z) and split into pieces, pieces into words; phrases lie inside a piece. A candidate's
@@ -26,6 +26,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,11 +44,15 @@ CHUNK = 16 << 20
 #: Text a bucket of keys stands for.
 BUCKET_BYTES = 16 << 20
 KEY_BITS = 48
-#: Entries of the table that tells when a key reached the threshold.
-SLOTS = 1 << 22
+#: The table that tells when a key reached the threshold: text an entry stands for, least and most entries, places of a key.
+SLOT_BYTES = 128
+LEAST_SLOTS, MOST_SLOTS = 1 << 20, 1 << 26
+PLACES = 3
 NEVER = 255
 #: A part that more than one in so many candidates have is joined apart.
 SHARES = 64
+#: Parts of a language that are cut to the best phrases before the last cut.
+RANKED_PARTS = 32
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _BREAK = re.compile(rb"[.,;:!?\x0a-\x0d]")
@@ -115,15 +120,24 @@ def _longer(keys: np.ndarray, words: np.ndarray, n: int) -> np.ndarray:
     return _mixed(keys[:places], words[n - 1 : n - 1 + places]) >> np.uint64(64 - KEY_BITS)
 
 
-def _slots(keys: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
-    shift = np.uint64(KEY_BITS - slots.bit_length() + 1)
-    return (keys >> shift).astype(np.int64), (_mixed(keys, np.uint64(1)) % np.uint64(slots)).astype(np.int64)
+def _slots(keys: np.ndarray, slots: int) -> list[np.ndarray]:
+    """The places of each key, one array a place: bits of one mix."""
+    mixed, bits = _mixed(keys, np.uint64(1)), slots.bit_length() - 1
+    shifts = [round(k * (64 - bits) / (PLACES - 1)) for k in range(PLACES)]
+    return [((mixed >> np.uint64(s)) & np.uint64(slots - 1)).astype(np.int64) for s in shifts]
 
 
 def _reached(keys: np.ndarray, table: np.ndarray) -> np.ndarray:
     """The boundary at which each key is known to have reached the threshold, or ``NEVER``."""
-    a, b = _slots(keys, len(table))
-    return np.maximum(table[a], table[b])
+    return reduce(np.maximum, (table[at] for at in _slots(keys, len(table))))
+
+
+def _totals(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, ascending, with the sum of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[starts], np.add.reduceat(counts, starts) if len(keys) else counts
 
 
 def pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -164,19 +178,23 @@ def _step(batches: Iterator[pa.RecordBatch], step: int, shards: int, buckets: in
         words = read_words(lang, text)
         out = []
         singles = words.keys[words.codes]
-        keys, before = singles, None
+        keys = singles
         for n in range(1, len(tables) + 1):
             if n == 1:
-                first, chosen = None, singles if step < shards else singles[:0]
+                first, chosen = None, words.keys if step < shards else singles[:0]
             else:
-                before = _reached(keys, tables[n - 2])
+                # Looked up once a distinct word, or a place of a phrase.
+                before = _reached(words.keys, tables[0])[words.codes] if n == 2 else _reached(keys, tables[n - 2])
                 keys = _longer(keys, singles, n)
                 first = np.maximum(before[: len(keys)], before[1 : len(keys) + 1])
                 # Active phrases that have not been through a full cycle.
                 now = words.phrase_ok(n) & (first <= step) & (first.astype(np.int16) > step - shards)
                 chosen, first = keys[now], first[now]
             for begun in [0] if first is None else np.unique(first).tolist():
-                found, counts = np.unique(chosen if first is None else chosen[first == begun], return_counts=True)
+                if first is None:
+                    found, counts = _totals(chosen, np.bincount(words.codes, minlength=len(words.keys))[: len(chosen)])
+                else:
+                    found, counts = np.unique(chosen[first == begun], return_counts=True)
                 owners = (found >> shift).astype(np.int64)
                 cuts = np.flatnonzero(np.diff(owners, prepend=-1))
                 for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(found)]):
@@ -196,11 +214,7 @@ def _merge(rows: pa.Table, threshold: int, tables: list[np.ndarray]) -> pa.Table
     for data, is_old in zip(rows["counts"].to_pylist(), rows["old"].to_pylist()):
         parts.append(unpack(data))
         old = parts[-1] if is_old else old
-    keys, counts = (np.concatenate(c) for c in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    keys, counts = keys[starts], np.add.reduceat(counts, starts)
+    keys, counts = _totals(*(np.concatenate(c) for c in zip(*parts)))
     known = np.zeros(len(keys), np.int64)
     known[np.searchsorted(keys, old[0])] = old[1]
     table = tables[rows["n"][0].as_py() - 1]
@@ -221,8 +235,10 @@ def _spelled(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray]) -> Ite
         singles = words.keys[words.codes]
         keys = singles
         parts = [(0, pa.array([b""]), np.array([len(words.codes)]))]
-        for n in range(1, len(tables) + 1):
-            keys = _longer(keys, singles, n) if n > 1 else keys
+        common = np.flatnonzero(_reached(words.keys, tables[0]) != NEVER)
+        parts.append((1, spelling.take(pa.array(common)), np.bincount(words.codes, minlength=size)[common]))
+        for n in range(2, len(tables) + 1):
+            keys = _longer(keys, singles, n)
             at = np.flatnonzero(words.phrase_ok(n) & (_reached(keys, tables[n - 1]) != NEVER))
             number = words.codes[at]
             for k in range(1, n):
@@ -230,13 +246,29 @@ def _spelled(batches: Iterator[pa.RecordBatch], tables: list[np.ndarray]) -> Ite
                 number = (np.unique(number, return_inverse=True)[1].ravel() if k > 1 else number) * size + words.codes[at + k]
             _, firsts, counts = np.unique(number, return_index=True, return_counts=True)
             taken = [spelling.take(pa.array(words.codes[at[firsts] + k])) for k in range(n)]
-            parts.append((n, pc.binary_join_element_wise(*taken, b" ") if n > 1 else taken[0], counts))
+            parts.append((n, pc.binary_join_element_wise(*taken, b" "), counts))
         for n, phrases, counts in parts:
             if len(phrases):
                 columns = [pa.repeat(pa.scalar(lang), len(phrases)), pa.repeat(pa.scalar(n, pa.int32()), len(phrases)), phrases.cast(pa.string()), pa.array(counts, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "n", "phrase", "f"])
 
 
+def _closed(tables: list[np.ndarray]) -> list[bytes]:
+    """The tables as they are sent: most entries are ``NEVER``, so they compress well."""
+    return [zstandard.compress(t.tobytes(), 1) for t in tables]
+
+
+@lru_cache(1)
+def _opened(sent: tuple[bytes, ...]) -> list[np.ndarray]:
+    """The tables in a task; a worker that runs several tasks of a step unpacks them once."""
+    return [np.frombuffer(zstandard.decompress(t), np.uint8) for t in sent]
+
+
+def _power(n: float) -> int:
+    """The next power of two."""
+    return 1 << int(np.ceil(np.log2(max(1, n))))
+
+
 def _set(table: np.ndarray, blocks: np.ndarray, bits: np.ndarray, boundary: int) -> None:
     """Mark the slots that Spark gives as 64-bit words; marked ones keep their boundary."""
     flags = np.unpackbits(bits.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -246,7 +278,7 @@ def _set(table: np.ndarray, blocks: np.ndarray, bits: np.ndarray, boundary: int)
     table[slots] = boundary
 
 
-def frequent_phrases(df: DataFrame, threshold: int = 10, longest: int = 3, shards: int = 4, lang_col: str = "lang", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
+def frequent_phrases(df: DataFrame, threshold: int = 10, longest: int = 3, shards: int = 4, lang_col: str = "lang", text_col: str = "text", slots: int | None = None) -> DataFrame:
     """(lang, n, phrase, f): every phrase of up to ``longest`` words with at least ``threshold`` occurrences in a
     language, exactly; the row with n = 0 counts all words."""
     if shards * longest >= NEVER:
@@ -262,7 +294,8 @@ def frequent_phrases(df: DataFrame, threshold: int = 10, longest: int = 3, shard
     dealt = spark.read.schema("lang string, text string, shard int").parquet(path)
     total = dealt.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     # No fewer than eight, so that a small corpus is merged in parallel as well.
-    buckets = max(8, 1 << int(np.ceil(np.log2(max(1, total / BUCKET_BYTES)))))
+    buckets = max(8, _power(total / BUCKET_BYTES))
+    slots = slots or min(MOST_SLOTS, max(LEAST_SLOTS, _power(total / SLOT_BYTES)))
     tables = [np.full(slots, NEVER, np.uint8) for _ in range(longest)]
     latest = [-shards] * longest
     state, step = None, 0
@@ -271,26 +304,31 @@ def frequent_phrases(df: DataFrame, threshold: int = 10, longest: int = 3, shard
         state = _scan(spark, dealt, state, step, shards, buckets, tables, threshold)
         step += 1
         bit = F.expr("shiftleft(cast(1 as bigint), slot & 63)")
-        reached = state.select("n", F.explode("slots").alias("slot")).groupBy("n", F.shiftright("slot", 6).alias("block")).agg(F.bit_or(bit).alias("bits")).toPandas()
-        for n, found in reached.groupby("n"):
-            _set(tables[n - 1], found["block"].to_numpy(np.int64), found["bits"].to_numpy(np.int64), step)
-            latest[n - 1] = step
-    sent = spark.sparkContext.broadcast(tables)
-    spelled = dealt.select("lang", "text").mapInArrow(lambda b: _spelled(b, sent.value), "lang string, n int, phrase string, f bigint")
+        reached = state.select("n", F.explode("slots").alias("slot")).groupBy("n", F.shiftright("slot", 6).alias("block")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        for part in reached.to_batches(max_chunksize=1 << 14):
+            numbers, blocks, bits = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+            for n in np.unique(numbers).tolist():
+                _set(tables[n - 1], blocks[numbers == n].astype(np.int64), bits[numbers == n], step)
+                latest[n - 1] = step
+    sent = spark.sparkContext.broadcast(tuple(_closed(tables)))
+    spelled = dealt.select("lang", "text").mapInArrow(lambda b: _spelled(b, _opened(sent.value)), "lang string, n int, phrase string, f bigint")
     counted = spelled.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= threshold) | (F.col("n") == 0))
-    return written(counted, "phrases")
+    found = written(counted, "phrases")
+    sent.destroy()
+    return found
 
 
 def _scan(spark: SparkSession, dealt: DataFrame, state: DataFrame | None, step: int, shards: int, buckets: int, tables: list[np.ndarray], threshold: int) -> DataFrame:
     """The unfinished counts after one step, written."""
-    sent = spark.sparkContext.broadcast(tables)
+    sent = spark.sparkContext.broadcast(tuple(_closed(tables)))
     shard = dealt.where(F.col("shard") == step % shards).select("lang", "text")
-    new = shard.mapInArrow(lambda b: _step(b, step, shards, buckets, sent.value), "n int, begun int, bucket int, counts binary, old boolean")
+    new = shard.mapInArrow(lambda b: _step(b, step, shards, buckets, _opened(sent.value)), "n int, begun int, bucket int, counts binary, old boolean")
     if state is not None:
         unfinished = state.where(F.col("begun") + shards > step).select("n", "begun", "bucket", "counts", F.lit(True).alias("old"))
         new = new.unionByName(unfinished)
-    merged = written(new.groupBy("n", "begun", "bucket").applyInArrow(lambda t: _merge(t, threshold, sent.value), _STATE), "phrase-counts")
-    sent.unpersist()
+    merged = written(new.groupBy("n", "begun", "bucket").applyInArrow(lambda t: _merge(t, threshold, _opened(sent.value)), _STATE), "phrase-counts")
+    # The result is written, so nobody asks for the tables again; the driver's copy goes as well.
+    sent.destroy()
     return merged
 
 
@@ -308,7 +346,7 @@ def _with_count(rows: DataFrame, counted: DataFrame, part: str, out: str) -> Dat
 
 
 def collocations(
-    df: DataFrame, threshold: int = 10, longest: int = 3, top: int = 2000, inside: int = 50, shards: int = 4, lang_col: str = "lang", text_col: str = "text", slots: int = SLOTS
+    df: DataFrame, threshold: int = 10, longest: int = 3, top: int = 2000, inside: int = 50, shards: int = 4, lang_col: str = "lang", text_col: str = "text", slots: int | None = None
 ) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words.
 
@@ -331,8 +369,13 @@ def collocations(
     around = around.groupBy("lang", "phrase").agg(F.max("longer").alias("longer"))
     kept = scored.join(around, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {inside} * a")
     totals = counted.where("n = 0").select("lang", F.col("f").alias("n"))
-    best = Window.partitionBy("lang").orderBy(F.desc("least.score"), F.desc("a"), "phrase")
-    ranked = kept.select("lang", "phrase", "a", "least", F.row_number().over(best).cast("long").alias("rank")).where(F.col("rank") <= top)
+    # A language's phrases are ranked in parts first, so the last cut sees a bounded number of them.
+    order = [F.desc("least.score"), F.desc("a"), F.asc("phrase")]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(RANKED_PARTS)).alias("part")
+    first = kept.select("lang", "phrase", "a", "least", part)
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    best = F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")
+    ranked = first.withColumn("rank", best).where(F.col("rank") <= top)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "least.l", "least.r", "n", "least.score")
 
 
