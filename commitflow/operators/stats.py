@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -182,28 +183,85 @@ def _long(df: DataFrame, cols: Sequence[str], var: str, value: str) -> DataFrame
     )
 
 
+#: Ranges a value span is cut into, a round.
+SPAN_RANGES = 1024
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], points: Sequence[float]) -> dict[str, list[float] | None]:
+    """Linear quantiles of each column, exact, in bounded memory; None for a column without values.
+
+    A round counts the values of every span that holds a wanted rank in ``SPAN_RANGES`` ranges and goes on with the range
+    that has the rank, from its smallest to its largest value, until these are equal. A task holds one counter a range,
+    however many distinct values there are. Order: minus infinity, numbers, infinity, NaN.
+    """
+    long = _long(df, cols, "field", "x").where(F.col("x").isNotNull())
+    x, inf = F.col("x"), F.lit(float("inf"))
+    finite = ~F.isnan("x") & (x != inf) & (x != -inf)
+    heads = long.groupBy("field").agg(
+        F.count("*").alias("n"), F.count_if(x == -inf).alias("below"), F.count_if(finite).alias("finite"), F.count_if(F.isnan("x")).alias("nan"),
+        F.min(F.when(finite, x)).alias("low"), F.max(F.when(finite, x)).alias("high"),
+    ).collect()
+    found: dict[tuple[str, int], float] = {}
+    # (field, rank) -> (smallest and largest value of the span, values before it)
+    spans: dict[tuple[str, int], tuple[float, float, int]] = {}
+    for r in heads:
+        for rank in {k(p * (r["n"] - 1)) for p in points for k in (math.floor, math.ceil)}:
+            if rank < r["below"]:
+                found[r["field"], rank] = -math.inf
+            elif rank < r["below"] + r["finite"]:
+                spans[r["field"], rank] = (r["low"], r["high"], r["below"])
+            else:
+                found[r["field"], rank] = math.inf if rank < r["n"] - r["nan"] else math.nan
+    while spans:
+        for key in [k for k, (low, high, _) in spans.items() if low == high]:
+            found[key] = spans.pop(key)[0]
+        wanted = sorted({(field, *span) for (field, _), span in spans.items()})
+        if not wanted:
+            break
+        number = F.lit(None).cast("int")
+        place = F.lit(None).cast("int")
+        for i, (field, low, high, _) in enumerate(wanted):
+            here = (F.col("field") == field) & x.between(low, high)
+            # Halves, so that no difference of two doubles overflows.
+            half = high / 2 - low / 2
+            share = (x / 2 - low / 2) / half * SPAN_RANGES if half else F.when(x > low, float(SPAN_RANGES)).otherwise(0.0)
+            number = F.when(here, i).otherwise(number)
+            place = F.when(here, F.least(F.floor(share), F.lit(SPAN_RANGES - 1)).cast("int")).otherwise(place)
+        counted = long.where(finite).select(number.alias("span"), place.alias("range"), "x").where("span is not null")
+        ranges = counted.groupBy("span", "range").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+        for key, span in list(spans.items()):
+            at, before = wanted.index((key[0], *span)), span[2]
+            for r in sorted((r for r in ranges if r["span"] == at), key=lambda r: r["range"]):
+                if key[1] < before + r["n"]:
+                    spans[key] = (r["low"], r["high"], before)
+                    break
+                before += r["n"]
+    out: dict[str, list[float] | None] = dict.fromkeys(cols)
+    for r in heads:
+        values = []
+        for p in points:
+            at = p * (r["n"] - 1)
+            low, high = (found[r["field"], k(at)] for k in (math.floor, math.ceil))
+            same = low == high or math.floor(at) == math.ceil(at)
+            values.append(low if same else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+        out[r["field"]] = values
+    return out
+
+
 def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, min, linear quartiles and max per column."""
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    quartiles = exact_quantiles(df, cols, (0.25, 0.5, 0.75))
+    rows = [(c, *(q or (None, None, None))) for c, q in quartiles.items()]
+    # One row a column.
+    table = F.broadcast(df.sparkSession.createDataFrame(rows, "field string, q25 double, q50 double, q75 double"))
     out = _long(df, cols, "field", "x").groupBy("field").agg(
         F.count("x").alias("count"),
         F.avg("x").alias("mean"),
         F.stddev_samp("x").alias("std"),
         F.min("x").alias("min"),
-        q.alias("q"),
         F.max("x").alias("max"),
     )
-    return out.select(
-        "field",
-        "count",
-        "mean",
-        "std",
-        "min",
-        F.get("q", F.lit(0)).alias("q25"),
-        F.get("q", F.lit(1)).alias("q50"),
-        F.get("q", F.lit(2)).alias("q75"),
-        "max",
-    )
+    return out.join(table, "field").select("field", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def quantile_bins(
@@ -217,8 +275,7 @@ def quantile_bins(
 
     The ``q + 1`` edges are read once and become constants. Repeated edges are an error.
     """
-    points = F.array(*[F.lit(i / q) for i in range(q + 1)])
-    edges = df.agg(F.percentile(col, points).alias("e")).first()["e"]
+    edges = exact_quantiles(df, [col], [i / q for i in range(q + 1)])[col]
     if edges is None:
         return df.withColumn(name, F.lit(None).cast("string"))
     if len(set(edges)) != len(edges):
