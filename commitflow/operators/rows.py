@@ -397,21 +397,25 @@ def bisect_batches(
     A batch of one row cannot be halved and keeps its id. Batches are bounded by their builder.
     """
     w = W.partitionBy(batch_col)
-    marks = failed.select(F.col(batch_col).alias("__failed")).distinct()
+    marks = failed.select(batch_col).distinct()
+    # Only failed batches are numbered; all others stay where they are.
+    others = df.join(marks, batch_col, "left_anti").select(*df.columns)
     ranked = (
-        df.join(marks, df[batch_col] == marks["__failed"], "left")
+        df.join(marks, batch_col, "left_semi")
+        .select(*df.columns)
         .withColumn("__n", F.count(F.lit(1)).over(w))
         .withColumn("__rn", F.row_number().over(w.orderBy(order_col)))
     )
     half = F.floor(F.col("__n") / 2)
     new_id = F.when(
-        F.col("__failed").isNotNull() & (F.col("__n") > 1),
+        F.col("__n") > 1,
         F.concat(
             F.col(batch_col),
             F.when(F.col("__rn") <= half, F.lit("_split_0")).otherwise(F.lit("_split_1")),
         ),
     ).otherwise(F.col(batch_col))
-    return ranked.withColumn(batch_col, new_id).drop("__failed", "__n", "__rn")
+    split = ranked.withColumn(batch_col, new_id).drop("__n", "__rn")
+    return others.withColumn(batch_col, F.col(batch_col).cast("string")).unionByName(split)
 
 
 def top_k(
