@@ -262,6 +262,10 @@ def shard_size(tokens_per_day: int, max_prompt: int) -> int:
     return tokens_per_day // max_prompt
 
 
+#: Exit maps of neighbouring segments that one task composes.
+FAN = 256
+
+
 def _next_starts(n: np.ndarray, max_tokens: int, max_entries: int) -> np.ndarray:
     """For every row, where the next batch begins if a batch begins at that row."""
     prefix = np.concatenate([[0], np.cumsum(n)])
@@ -270,6 +274,61 @@ def _next_starts(n: np.ndarray, max_tokens: int, max_entries: int) -> np.ndarray
     return np.minimum(np.minimum(np.maximum(fits, i + 1), i + max_entries), len(n))
 
 
+def _walk_exits(maps: pd.DataFrame, at: np.ndarray, batch: np.ndarray):
+    """For segments in order, where each of the starts ``at`` of the first one enters them, and the
+    batches before; at last where it leaves. Nothing follows a start behind the last segment's end."""
+    for leave, count in zip(maps["leave"], maps["count"]):
+        yield at, batch
+        here = at < len(leave)
+        step = np.where(here, at, 0)
+        if len(leave):
+            batch = np.where(here, batch + np.asarray(count)[step], batch)
+            at = np.where(here, np.asarray(leave)[step], at)
+    yield at, batch
+
+
+def _follow_exits(maps: DataFrame) -> DataFrame:
+    """``__g, seg, entry, first_batch`` of every segment of the exit maps ``__g, seg, leave, count``.
+
+    Exit maps compose: those of ``FAN`` neighbouring segments are one map of the same size. They are
+    composed level by level until a group has one block, whose first start is its first row; then
+    each block hands the entries to its parts. A task holds ``FAN`` maps, the driver none.
+    """
+    maps = maps.checkpoint()
+    top = maps.agg(F.max("seg")).first()[0]
+    if top is None:
+        return maps.select("__g", "seg", F.lit(0).alias("entry"), F.lit(0).cast("bigint").alias("first_batch"))
+    block = F.floor(F.col("seg") / FAN).cast("bigint")
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        starts = np.arange(len(pdf["leave"].iloc[0]))
+        *_, (leave, count) = _walk_exits(pdf, starts, np.zeros(len(starts), np.int64))
+        return pd.DataFrame(
+            {"__g": [pdf["__g"].iloc[0]], "seg": [pdf["block"].iloc[0]], "leave": [leave], "count": [count]}
+        )
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seg")
+        first = pdf[["entry", "first_batch"]].iloc[0].to_numpy(np.int64)
+        entered = list(_walk_exits(pdf, first[:1], first[1:]))[:-1]
+        return pdf[["__g", "seg"]].assign(
+            entry=[int(at[0]) for at, _ in entered], first_batch=[int(batch[0]) for _, batch in entered]
+        )
+
+    levels = [maps]
+    while top > 0:
+        blocks = levels[-1].withColumn("block", block).groupBy("__g", "block")
+        levels.append(blocks.applyInPandas(compose, "__g string, seg bigint, leave array<int>, count array<bigint>").checkpoint())
+        top //= FAN
+    entries = levels.pop().select("__g", "seg", F.lit(0).alias("entry"), F.lit(0).cast("bigint").alias("first_batch"))
+    while levels:
+        known = entries.withColumnRenamed("seg", "block")
+        parts = levels.pop().withColumn("block", block).join(known, ["__g", "block"])
+        entries = parts.groupBy("__g", "block").applyInPandas(enter, "__g string, seg bigint, entry int, first_batch bigint")
+    return entries
+
+
 def batch_by_tokens(
     df: DataFrame,
     order_cols: Sequence[str],
@@ -286,8 +345,8 @@ def batch_by_tokens(
     Where a batch may start depends on every row before it, so the rows are cut into segments of
     ``segment_rows``. A batch holds at most ``max_entries`` rows, hence only that many rows of a
     segment can be its first start; each segment maps every one of them to the first start of the
-    next segment. The driver follows that chain (one step per segment), and each segment then marks
-    its own starts.
+    next segment. These maps are composed block by block (``_follow_exits``), and each segment then
+    marks its own starts.
     """
     if segment_rows < max_entries:
         raise ValueError("segment_rows must be at least max_entries")
@@ -342,17 +401,9 @@ def batch_by_tokens(
     maps = seen.drop(*order_cols).groupBy("__g", "seg").applyInPandas(
         exits, "__g string, seg bigint, leave array<int>, count array<int>"
     )
-    # A group of one segment starts at its first row; only longer ones are followed, one step a segment.
+    # A group of one segment starts at its first row; only longer ones are followed.
     longer = rows.filter(F.col("__idx") == segment_rows).select("__g").distinct()
-    entries, g, at, batch = [], None, 0, 0
-    for row in maps.join(longer, "__g", "left_semi").orderBy("__g", "seg").toLocalIterator():
-        if row["__g"] != g:
-            g, at, batch = row["__g"], 0, 0
-        entries.append((g, row["seg"], at, batch))
-        if at < len(row["leave"]):
-            at, batch = row["leave"][at], batch + row["count"][at]
-        # The last, short segment may end before the entry point; nothing follows it.
-    plan = spark.createDataFrame(entries, "__g string, seg bigint, entry int, first_batch bigint")
+    plan = _follow_exits(maps.join(longer, "__g", "left_semi"))
 
     def mark(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("__idx")

@@ -87,6 +87,19 @@ def test_batches_per_group(spark, small_buckets):
         assert [got[split, i] for i, _ in mine] == want
 
 
+@pytest.mark.parametrize("fan", [3, 256])
+def test_batches_over_a_thousand_segments(spark, monkeypatch, fan):
+    monkeypatch.setattr(rows, "FAN", fan)
+    rng = random.Random(fan)
+    sizes = [rng.choice([0, 1, 2, 4, 9, 60]) for _ in range(8_003)]
+    data = [("a", i, n) for i, n in enumerate(sizes)] + [(None, i, n) for i, n in enumerate(sizes[:17])]
+    df = spark.createDataFrame(data, "g string, i int, n int").repartition(4)
+    out = rows.batch_by_tokens(df, ["i"], "n", 50, 8, by="g", segment_rows=8)
+    got = {(r["g"], r["i"]): r["batch_id"] for r in out.collect()}
+    assert [got["a", i] for i in range(len(sizes))] == greedy(sizes, 50, 8)
+    assert [got[None, i] for i in range(17)] == greedy(sizes[:17], 50, 8)
+
+
 def test_bisect(spark):
     df = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "batch_id string, i int")
     failed = spark.createDataFrame([("a",), ("b",)], "batch_id string")
