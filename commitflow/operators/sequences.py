@@ -23,7 +23,9 @@ PAD, BOS, EOS, SEP, UNK = range(5)
 # A vocabulary above this many entries or bytes is joined instead of sent to every task.
 MAX_BROADCAST_WORDS = 1_000_000
 MAX_BROADCAST_BYTES = 64 << 20
-SALTS = 32
+# Counters of the heavy-hitter sketch for every shuffle partition, and their number's bounds.
+COUNTERS = 8
+LEAST_COUNTERS, MOST_COUNTERS = 10_000, 1_000_000
 
 
 def tokenize(
@@ -47,7 +49,8 @@ def build_vocab(df: DataFrame, tokens_col: str, max_words: int | None = None) ->
     if max_words is not None:
         counts = take_first(counts, max_words, ["__rank", "word"])
     indexed = with_row_index(counts, ["__rank", "word"], "__i")
-    return indexed.select("word", (F.col("__i") + len(SPECIALS)).cast("int").alias("id"))
+    # Ranked once, however often it is looked up.
+    return indexed.select("word", (F.col("__i") + len(SPECIALS)).cast("int").alias("id")).checkpoint()
 
 
 def special_tokens(specials: dict[str, int | None], next_id: int, task: str) -> dict[str, int | None]:
@@ -93,6 +96,21 @@ def _lookup_shared(
     return F.when(F.col(array_col).isNotNull(), looked)
 
 
+def heavy_entries(entries: DataFrame, key: str, parts: int) -> DataFrame:
+    """``key, __parts`` of the values that hold more than one in ``parts`` of all entries.
+
+    One pass of a frequent-items sketch finds them: there are fewer than ``parts``, and ``__parts``
+    is how many shares of that size a value's entries fill, so all of them add up to twice ``parts``.
+    """
+    tracked = min(MOST_COUNTERS, max(LEAST_COUNTERS, COUNTERS * parts))
+    seen = entries.agg(
+        F.count(key).alias("n"), F.expr(f"approx_top_k({key}, {min(parts, tracked)}, {tracked})").alias("top")
+    )
+    share = F.ceil(F.col("t.count") * parts / F.col("n")).cast("int")
+    heavy = seen.select("n", F.explode("top").alias("t")).select(F.col("t.item").alias(key), share.alias("__parts"))
+    return heavy.where(f"{key} is not null and __parts > 1").checkpoint()
+
+
 def lookup_joined(
     df: DataFrame,
     array_col: str,
@@ -103,20 +121,24 @@ def lookup_joined(
     kind: str,
     name: str,
 ) -> DataFrame:
-    """Replace array entries by a join: entries are exploded with their position, hot ones spread
-    over salts, and a row's array is put together again (one row's entries per group).
+    """Replace array entries by a join: entries are exploded with their position, and a row's array
+    is put together again (one row's entries per group). The entries of frequent values are dealt
+    into as many parts as their share asks for, and only those rows of the table are copied.
 
     Rows are numbered and written first, so repeated and null ids of any column play no part.
     """
     shared_dir(df.sparkSession)
     rows = df.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
-    salt = F.pmod(F.xxhash64("__row", "__pos"), F.lit(SALTS))
-    entries = rows.select("__row", F.posexplode(array_col).alias("__pos", "__k")).withColumn(
-        "__salt", salt
-    )
-    salted = table.select(F.col(key).alias("__k"), F.col(value).alias("__v")).withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
-    )
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    entries = rows.select("__row", F.posexplode(array_col).alias("__pos", "__k"))
+    heavy = F.broadcast(heavy_entries(entries, "__k", parts))
+    # Null entries match nothing and may go anywhere.
+    spread = F.when(F.col("__k").isNull(), parts).otherwise(F.coalesce("__parts", F.lit(1)))
+    salt = F.pmod(F.xxhash64("__row", "__pos"), spread)
+    entries = entries.join(heavy, "__k", "left").select("__row", "__pos", "__k", salt.alias("__salt"))
+    copies = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1).cast("array<bigint>")
+    known = table.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
+    salted = known.join(heavy, "__k", "left").select("__k", "__v", F.explode(copies).alias("__salt"))
     entry = F.struct("__pos", F.coalesce("__v", F.lit(default)).alias("v"))
     found = (
         entries.join(salted, ["__k", "__salt"], "left")

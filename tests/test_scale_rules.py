@@ -21,6 +21,21 @@ def test_both_lookups_agree_on_repeated_and_null_ids(spark, monkeypatch, limit):
     assert back.first()["text"] == "a b"
 
 
+def test_only_frequent_words_are_copied(spark):
+    rows = [(i, ["the", f"w{i % 50}", "the", None if i % 7 else "rare"]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, w array<string>").repartition(3)
+    table = {"the": 5, **{f"w{i}": 6 + i for i in range(50)}}
+    vocab = spark.createDataFrame(list(table.items()), "word string, id int")
+    out = sequences.encode_joined(df, "w", vocab)
+    got = {r["id"]: r["input_ids"] for r in out.collect()}
+    assert got == {i: [table.get(w, sequences.UNK) for w in words] for i, words in rows}
+    entries = df.select(F.explode("w").alias("k"))
+    heavy = {r["k"]: r["__parts"] for r in sequences.heavy_entries(entries, "k", 20).collect()}
+    # 800 of 1258 words are the same one, 58 (every seventh row) another: 13 and no more than 1 of 20 shares.
+    assert heavy == {"the": 13}
+    assert sequences.heavy_entries(entries.limit(0), "k", 20).count() == 0
+
+
 def test_a_large_dictionary_is_not_sent(spark, monkeypatch):
     monkeypatch.setattr(sequences, "MAX_BROADCAST_BYTES", 3)
     df = spark.createDataFrame([(["abc", "abcd"],)], "w array<string>")
