@@ -171,10 +171,11 @@ def chars_of(x: str) -> str:
     return f"regexp_replace({x},'\\s+','','g')"
 
 
-CHRF_SQL = (
-    "select {key} round(coalesce(100*5*pr*rc/nullif(4*pr+rc,0),0),7) as chrf from (select {key}"
+CHRF_RAW = (
+    "select {key} coalesce(100*5*pr*rc/nullif(4*pr+rc,0),0) as chrf from (select {key}"
     " avg(m::double/p) filter (p>0 and t>0) as pr, avg(m::double/t) filter (p>0 and t>0) as rc from {src} {grp})"
 )
+CHRF_SQL = CHRF_RAW.replace("coalesce(100*5*pr*rc/nullif(4*pr+rc,0),0)", "round(coalesce(100*5*pr*rc/nullif(4*pr+rc,0),0),7)")
 
 
 @R.add(
@@ -208,7 +209,48 @@ def i8_corpus(spark, sf):
     return rounded(textmetrics.chrf(pairs(spark, sf)), 7)
 
 
-@R.add("i5_rouge_l")
+# Longest common subsequences by the furthest reach on each diagonal after d skipped words: a third way,
+# beside the operator's bit rows and the usual table.
+REACH = (
+    "{x}+coalesce(nullif(list_position(list_transform(range(1, least(len(p)-({x}),len(t)-({x})+({k}))+1),"
+    " lambda i: p[({x})+i]<>t[({x})-({k})+i]), true),0)-1, least(len(p)-({x}),len(t)-({x})+({k})))"
+)
+ENDED = "bool_or(x>=len(p) and x-k>=len(t)) over (partition by id)"
+
+
+def lcs_ctes(tokens: str) -> dict[str, str]:
+    """``lcs``: id, hits and both lengths of ``tokens(id, p, t)``; common table expressions by name."""
+    start = f"select id, 0 as d, 0::bigint as k, {REACH.format(x=0, k=0)} as x, len(p) as n, len(t) as m from {tokens}"
+    step = (
+        f"select id, d, k, {REACH.format(x='x', k='k')} as x, p, t from (select w.id, w.d+1 as d, w.k+g as k,"
+        " max(w.x+(g=1)::int) as x from reach w, (select unnest([1,-1]) as g) where not w.ended"
+        f" and w.x+(g=1)::int<=w.n and w.x+(g=1)::int-w.k-g<=w.m group by 1,2,3) join {tokens} using (id)"
+    )
+    return {
+        "reach": f"select id, d, k, x, n, m, (x>=n and x>=m) as ended from ({start}) union all"
+        f" select id, d, k, x, len(p), len(t), {ENDED} from ({step})",
+        "lcs": "select id, (any_value(n)+any_value(m)-max(d))//2 as hits, any_value(n) as n, any_value(m) as m"
+        " from reach group by 1",
+    }
+
+
+ROUGE_L = (
+    "select id, coalesce(hits::double/nullif(n,0),0) as pr, coalesce(hits::double/nullif(m,0),0) as rc,"
+    " coalesce(2.0*hits/nullif(n+m,0),0) as f from lcs"
+)
+
+
+@R.add(
+    "i5_rouge_l",
+    v.with_sql(
+        "select round(avg(pr),9) as precision, round(avg(rc),9) as recall, round(avg(f),9) as fmeasure"
+        f" from ({ROUGE_L})",
+        "predictions",
+        recursive=True,
+        toks=toks_of(rouge_toks, "model_b"),
+        **lcs_ctes("toks"),
+    ),
+)
 def i5(spark, sf):
     return rounded(textmetrics.rouge_l(pairs(spark, sf)))
 
@@ -295,11 +337,102 @@ def i12_each(spark, sf):
     return rounded(textmetrics.evaluate_each(pairs(spark, sf, "model_a"), keep=["id"]))
 
 
-@R.add("i13_text_metrics")
+def row_grams_sql(model: str) -> dict[str, str]:
+    """``rows``: id, BLEU and CHRF of every prediction of a model."""
+    return {
+        f"{model}_words": toks_of(LOWER_13A, model),
+        f"{model}_chars": toks_of(chars_of, model),
+        f"{model}_g": gram_counts(f"{model}_words", 4),
+        f"{model}_c": gram_counts(f"{model}_chars", 6, chars=True),
+        f"{model}_rows": "select id, target, "
+        f"{model} as predicts, coalesce(bleu,0) as bleu, coalesce(chrf,0) as chrf from predictions left join ("
+        + _ROW_BLEU.replace("grams g join toks", f"{model}_g g join {model}_words toks")
+        + ") using (id) left join ("
+        + CHRF_RAW.format(key="id,", src=f"{model}_c", grp="group by id")
+        + ") using (id)",
+    }
+
+
+@R.add(
+    "i12_ngram_totals",
+    v.with_sql(
+        'select (select round(bleu,7) from (select 100*exp(avg(ln(m::double/p)))*any_value(case when pl>=tl then 1 else'
+        ' exp(1-tl/pl) end) as bleu from (select n, sum(m) as m, sum(p) as p from words_g group by 1), lens)) as "BLEU",'
+        ' (select round(chrf,7) from (' + CHRF_RAW.format(
+            key="", src="(select n, sum(m) as m, sum(case when t>0 then p else 0 end) as p, sum(t) as t from chars_g group by 1)", grp=""
+        ) + ')) as "CHRF"',
+        "predictions",
+        toks=toks_of(LOWER_13A, "model_a"),
+        words_g=gram_counts("toks", 4),
+        lens=LENGTHS,
+        chars=toks_of(chars_of, "model_a"),
+        chars_g=gram_counts("chars", 6, chars=True),
+    ),
+)
+def i12_ngrams(spark, sf):
+    return rounded(textmetrics.evaluate_total(pairs(spark, sf, "model_a")).select("BLEU", "CHRF"), 7)
+
+
+@R.add(
+    "i12_ngram_each",
+    v.with_sql(
+        'select id, target as reference, predicts, round(bleu,7) as "BLEU", round(chrf,7) as "CHRF" from model_a_rows',
+        "predictions",
+        **row_grams_sql("model_a"),
+    ),
+)
+def i12_ngram_each(spark, sf):
+    each = textmetrics.evaluate_each(pairs(spark, sf, "model_a"), keep=["id"])
+    return rounded(each.select("id", "reference", "predicts", "BLEU", "CHRF"), 7)
+
+
+def split_bleu_sql(n: int) -> str:
+    return (
+        f"select split, round(case when min(m)=0 then 0 else exp(avg(ln(m::double/p)))*any_value(case when pl>tl then 1"
+        f" else exp(1-tl/pl) end) end,9) as bleu{n} from (select split, n, sum(m) as m, sum(p) as p from words_g join"
+        f" (select id, split from toks) using (id) where n<={n} group by 1,2) a join (select split, sum(len(p))::double as pl,"
+        " sum(len(t))::double as tl from toks group by 1) b using (split) group by 1"
+    )
+
+
+# Every pair is one line, so the summary-level score is that of its longest common subsequence.
+@R.add(
+    "i13_text_metrics",
+    v.with_sql(
+        "select split, bleu1 as sacre_bleu1, bleu4 as sacre_bleu4, rouge1, rouge2, l as \"rougeL\", l as \"rougeLsum\""
+        f" from ({split_bleu_sql(1)}) join ({split_bleu_sql(4)}) using (split) join (select split,"
+        " round(avg(coalesce(f1,0)),9) as rouge1, round(avg(coalesce(f2,0)),9) as rouge2, round(avg(f),9) as l from"
+        " predictions left join (select id, max(case when n=1 then 2.0*m/(p+t) end) as f1, max(case when n=2 then"
+        f" 2.0*m/(p+t) end) as f2 from rouge_g group by 1) using (id) join ({ROUGE_L}) using (id) group by 1) using (split)",
+        "predictions",
+        recursive=True,
+        toks=toks_of(t13a, "model_b", ", split"),
+        words_g=gram_counts("toks", 4),
+        rouge=toks_of(rouge_toks, "model_b"),
+        rouge_g=gram_counts("rouge", 2),
+        **lcs_ctes("rouge"),
+    ),
+)
 def i13(spark, sf):
     return rounded(textmetrics.text_metrics(pairs(spark, sf)))
 
 
+@R.add(
+    "i14_ngram_models",
+    v.with_sql(
+        "select metric, round(a,7) as model_a, round(b,7) as model_b from (select 'BLEU' as metric,"
+        " (select avg(bleu) from model_a_rows) as a, (select avg(bleu) from model_b_rows) as b union all select 'CHRF',"
+        " (select avg(chrf) from model_a_rows), (select avg(chrf) from model_b_rows))",
+        "predictions",
+        **row_grams_sql("model_a"),
+        **row_grams_sql("model_b"),
+    ),
+)
+def i14_ngrams(spark, sf):
+    models = textmetrics.compare_models(v.predictions(spark, sf), ["model_a", "model_b"], metrics=["BLEU", "CHRF"])
+    return rounded(models, 7)
+
+
 @R.add("i14_compare_models")
 def i14(spark, sf):
     out = textmetrics.compare_models(
