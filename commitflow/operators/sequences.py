@@ -29,11 +29,22 @@ LEAST_COUNTERS, MOST_COUNTERS = 10_000, 1_000_000
 
 
 def tokenize(
-    df: DataFrame, col: str, scheme: str = "pieces", max_tokens: int | None = None, name: str = "tokens"
+    df: DataFrame,
+    col: str,
+    scheme: str = "pieces",
+    max_tokens: int | None = None,
+    name: str = "tokens",
+    pad: str | None = None,
 ) -> DataFrame:
-    """K1: tokens of a column, cut to ``max_tokens``."""
+    """K1: tokens of a column, cut to ``max_tokens`` and, where ``pad`` is given, filled up to it."""
     toks = tx.tokens(F.col(col), scheme)
-    return df.withColumn(name, toks if max_tokens is None else tx.take(toks, max_tokens))
+    if max_tokens is not None:
+        toks = tx.take(toks, max_tokens)
+        if pad is not None:
+            toks = F.concat(toks, F.array_repeat(F.lit(pad), F.lit(max_tokens) - F.size(toks)))
+    elif pad is not None:
+        raise ValueError("padding needs max_tokens")
+    return df.withColumn(name, toks)
 
 
 def build_vocab(df: DataFrame, tokens_col: str, max_words: int | None = None) -> DataFrame:

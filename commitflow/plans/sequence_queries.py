@@ -78,6 +78,16 @@ def k1(spark, sf):
     )
 
 
+@R.add(
+    "k1_tokenize_padded",
+    f"select doc_id, array_to_string(list_resize({toks('text')}[:256], 256, '<pad>'),'|') as source from documents",
+)
+def k1_padded(spark, sf):
+    d = v.table(spark, sf, "documents")
+    fixed = sequences.tokenize(d, "text", max_tokens=256, name="source", pad="<pad>")
+    return fixed.select("doc_id", F.array_join("source", "|").alias("source"))
+
+
 VOCAB = (
     "select word, cast(4+row_number() over (order by n desc, word) as integer) as id from (select word, count(*) as n from"
     f" (select unnest({WORDS.format('text')}) as word from documents) group by 1)"

@@ -2,6 +2,8 @@ import json
 import os
 import random
 import sys
+import threading
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark import cloudpickle
@@ -149,6 +151,37 @@ def test_materialize_builds_once(spark, tmp):
     assert config_digest({"a": [2], "b": 1}) == config_digest(config)
 
 
+def test_concurrent_builders_read_one_table(spark, tmp):
+    both = threading.Barrier(2, timeout=60)
+
+    def builder(value):
+        def build():
+            both.wait()
+            return spark.range(value, value + 2)
+
+        return lambda: sorted(r["id"] for r in materialize(spark, build, tmp, {"a": 1}).collect())
+
+    with ThreadPoolExecutor(2) as pool:
+        first, second = [f.result() for f in [pool.submit(builder(v)) for v in (10, 20)]]
+    assert first == second and first in ([10, 11], [20, 21])
+    assert materialize(spark, lambda: None, tmp, {"a": 1}).count() == 2
+    assert os.path.isdir(f"{tmp}/{config_digest({'a': 1})}/config.json")
+
+
+def test_a_build_that_breaks_off_leaves_no_table(spark, tmp, monkeypatch):
+    module = sys.modules[materialize.__module__]
+
+    def broken(*_):
+        raise OSError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(module, "_publish", broken)
+        with pytest.raises(OSError):
+            materialize(spark, lambda: spark.range(1), tmp, {"a": 1})
+    assert not os.path.exists(f"{tmp}/{config_digest({'a': 1})}")
+    assert materialize(spark, lambda: spark.range(3), tmp, {"a": 1}).count() == 3
+
+
 def test_csv_keeps_nulls_blanks_and_lines(spark, tmp):
     rows = [(1, "", None), (2, " a \n", 'x"y,\nz'), (3, None, "é")]
     df = spark.createDataFrame(rows, "id int, a string, b string")
