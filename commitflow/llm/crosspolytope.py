@@ -9,7 +9,8 @@ the table fills no bucket. Buckets above a size are dealt out in parts that each
 A query that finds too few searches every bucket of one table, which is exact.
 
 Vectors that are null, zero, of another dimension, or hold null or non-finite components take no part,
-nor do null ids. Repeated ids of one vector count once; an empty table gives no rows.
+nor do null ids. Repeated ids of one vector count once; an empty table gives no rows. Ties go to the
+smaller id, also among any number of vectors that differ only in length.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from .shared import written
 TABLES, PROBES = 16, 6
 #: Candidates and queries of a group at most; queries compared at a time.
 PART, QUERIES = 20_000, 256
+#: Cosines this close count as equal until they are measured exactly.
+SLACK = 1e-9
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -170,16 +173,20 @@ def _compared(entries: DataFrame, queries: DataFrame, k: int, tables: int, probe
             a, b = _matrices(left["v"]), _matrices(right["v"])
             na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
             scaled, ids = a / na[:, None], left["ids"].tolist()
-            # Enough entries for ``k`` ids other than the query's own, whatever the last bits say.
-            keep = min(len(a), k + 3)
+            least = np.array([x[0] for x in ids])
+            # The best ``k + 1`` entries hold ``k`` ids other than the query's own; all that tie with the last take part.
+            last = max(0, len(a) - k - 1)
             for at in range(0, len(b), QUERIES):
                 block = b[at : at + QUERIES]
-                near = np.argpartition(-(block @ scaled.T), keep - 1, axis=1)[:, :keep]
-                for i, hits in enumerate(near):
+                near = block @ scaled.T
+                bound = np.partition(near, last, axis=1)[:, last] - SLACK * nb[at : at + QUERIES]
+                for i, row in enumerate(near):
+                    hits = np.flatnonzero(row >= bound[i])
                     # The exact measure on the original vectors, the same in every bucket.
                     score = (a[hits] * block[i]).sum(1) / (na[hits] * nb[at + i])
+                    best = np.lexsort((least[hits], -score))[: k + 1]
                     own = int(right["id"].iloc[at + i])
-                    pairs = sorted((-s, int(x)) for s, h in zip(score.tolist(), hits.tolist()) for x in ids[h] if x != own)
+                    pairs = sorted((-s, int(x)) for s, h in zip(score[best].tolist(), hits[best].tolist()) for x in ids[h] if x != own)
                     found.extend((own, x, -s) for s, x in pairs[:k])
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 

@@ -64,6 +64,18 @@ def test_ties_copies_and_vectors_that_take_no_part(spark):
         assert got[100] == want[100]
 
 
+def test_ties_of_many_scaled_copies(spark):
+    r = np.random.default_rng(4)
+    base = r.normal(size=8).astype(np.float32).astype(float)
+    rows = [(950 + k, (base * 2.0**k).tolist()) for k in range(51)] + [(k, r.normal(size=8).tolist()) for k in range(1, 50)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    want = brute(rows, 5)
+    assert [i for _, i in want[950]] == [951, 952, 953, 954, 955]
+    for options in ({}, {"tables": 1, "probes": 16}, {"tables": 1, "probes": 16, "part": 7}):
+        got = found(df, **options)
+        assert got[950] == want[950] and got[1000] == want[1000]
+
+
 def test_few_candidates_are_all_found(spark):
     rows = [(0, [1.0, 0.0]), (1, [-1.0, 0.1]), (2, [0.0, -1.0])]
     assert {i for _, i in found(spark.createDataFrame(rows, SCHEMA), tables=1, probes=1)[0]} == {1, 2}
