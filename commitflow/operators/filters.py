@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .rows import take_first
+from .rows import cut_condition, first_cut, take_cut
 
 
 def languages_pass(langs: Sequence[str] | None, empty_passes: bool = True) -> Column:
@@ -63,13 +63,18 @@ def cap_modify_only(
     """
     if fraction is None or fraction >= 1 or (types and "MODIFY" not in types):
         return df.withColumn("part", F.lit(0))
-    rest = df.filter(F.forall("mods", lambda m: m["change_type"] != "MODIFY"))
+    plain = F.forall("mods", lambda m: m["change_type"] != "MODIFY")
     modify = F.forall("mods", lambda m: m["change_type"] == "MODIFY")
     # The share is taken before duplicates are removed, so both settings keep the same commits.
-    head = take_first(df.filter(modify), lambda n: math.ceil(n * fraction), order_cols)
+    cut = first_cut(df.filter(modify), lambda n: math.ceil(n * fraction), order_cols)
+    chosen = cut_condition(cut)
+    if chosen is not None and dedupe_empty:
+        # A commit without changes is on the first side already.
+        return df.withColumn("part", F.when(plain, 0).when(modify & chosen, 1)).filter("part is not null")
+    head = take_cut(df.filter(modify), cut)
     if dedupe_empty:
         head = head.filter(F.size("mods") > 0)
-    return rest.withColumn("part", F.lit(0)).unionByName(head.withColumn("part", F.lit(1)))
+    return df.filter(plain).withColumn("part", F.lit(0)).unionByName(head.withColumn("part", F.lit(1)))
 
 
 def filter_exact_length(

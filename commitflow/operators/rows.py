@@ -112,12 +112,14 @@ def with_row_index(df: DataFrame, order_cols: Sequence[str], name: str = "row_id
     return bucketed.withColumn(name, local).drop(BUCKET)
 
 
-def _cut(
+def first_cut(
     df: DataFrame, n: int | Callable[[int], int], order_cols: Sequence[str]
 ) -> tuple[Column, Column, int, int] | None:
     """Where the first ``n`` rows end: rows before the last key, rows with it, how many of those are
     wanted, and how many there are. None keeps every row."""
-    keys, ranges = range_buckets(df.select(*order_cols), order_cols)
+    # The keys are read several times below; the rows once, and again only by the caller's filter.
+    shared_dir(df.sparkSession)
+    keys, ranges = range_buckets(df.select(*order_cols).checkpoint(), order_cols)
     counts = dict(keys.groupBy(BUCKET).count().collect())
     if callable(n):
         n = n(sum(counts.values()))
@@ -145,6 +147,14 @@ def _cut(
     return below, same, n - before - found["below"], found["same"]
 
 
+def cut_condition(cut: tuple[Column, Column, int, int] | None) -> Column | None:
+    """What holds for the rows before a cut; None if it parts rows of one key."""
+    if cut is None:
+        return F.lit(True)
+    below, same, wanted, there = cut
+    return below | same if wanted == there else None
+
+
 def first_rows(
     df: DataFrame, n: int | Callable[[int], int], order_cols: Sequence[str]
 ) -> Column:
@@ -155,25 +165,25 @@ def first_rows(
     are filtered where they are, without an exchange. No condition can part rows of one key, so it is
     an error if the cut falls between such rows; ``take_first`` can part them.
     """
-    cut = _cut(df, n, order_cols)
-    if cut is None:
-        return F.lit(True)
-    below, same, wanted, there = cut
-    if wanted < there:
-        raise ValueError(f"{list(order_cols)} does not identify a row: {there} rows share the last key")
-    return below | same
+    chosen = cut_condition(first_cut(df, n, order_cols))
+    if chosen is None:
+        raise ValueError(f"{list(order_cols)} does not identify a row: several share the last key")
+    return chosen
 
 
 def take_first(
     df: DataFrame, n: int | Callable[[int], int], order_cols: Sequence[str]
 ) -> DataFrame:
     """Exactly the first ``n`` rows in ``order_cols`` order; of rows that share the last key, any."""
-    cut = _cut(df, n, order_cols)
-    if cut is None:
-        return df
-    below, same, wanted, there = cut
-    if wanted == there:
-        return df.filter(below | same)
+    return take_cut(df, first_cut(df, n, order_cols))
+
+
+def take_cut(df: DataFrame, cut: tuple[Column, Column, int, int] | None) -> DataFrame:
+    """The rows before a cut, as many as it says."""
+    chosen = cut_condition(cut)
+    if chosen is not None:
+        return df.filter(chosen)
+    below, same, wanted, _ = cut
     return df.filter(below).unionByName(df.filter(same).limit(wanted))
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from commitflow import session
-from commitflow.operators import bpe, sequences, stats, textmetrics
+from commitflow.operators import bpe, filters, sequences, stats, textmetrics
 from commitflow.sources import files
 
 
@@ -36,6 +36,21 @@ def test_only_frequent_words_are_copied(spark):
     assert sequences.heavy_entries(entries.limit(0), "k", 20).count() == 0
 
 
+@pytest.mark.parametrize("dedupe", [True, False])
+def test_the_class_cap_reads_its_rows_twice(spark, tmp_path, dedupe):
+    kinds = [["MODIFY"], ["ADD"], [], ["MODIFY", "ADD"], None]
+    rows = [(i, None if kinds[i % 5] is None else [(k,) for k in kinds[i % 5]]) for i in range(100)]
+    spark.createDataFrame(rows, "i int, mods array<struct<change_type:string>>").write.parquet(f"{tmp_path}/t")
+    out = filters.cap_modify_only(spark.read.parquet(f"{tmp_path}/t"), 0.25, ["i"], dedupe_empty=dedupe)
+    got = sorted((r["part"], r["i"]) for r in out.collect())
+    # Of 40 commits without any other change the first 10 stay: every fifth and those without changes in turn.
+    first = sorted(i for i, _ in rows if i % 5 in (0, 2))[:10]
+    want = [(0, i) for i, _ in rows if i % 5 in (1, 2)] + [(1, i) for i in first if not dedupe or i % 5 == 0]
+    assert got == sorted(want)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == (1 if dedupe else 2)
+
+
 def test_a_large_dictionary_is_not_sent(spark, monkeypatch):
     monkeypatch.setattr(sequences, "MAX_BROADCAST_BYTES", 3)
     df = spark.createDataFrame([(["abc", "abcd"],)], "w array<string>")
