@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from conftest import SF
 from helpers import ODD, documents, words
 
 from commitflow.llm.hmm import Model, _segments, baum_welch, expected_counts, log_likelihood, score_documents
@@ -106,3 +107,11 @@ def test_empty_and_no_training_documents(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     (r,) = score_documents(documents(spark, [(held, "a b")])).collect()
     assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) == (True, 3, 0, 0, 0.0) and math.isfinite(r.score)
+
+
+def test_the_model_beats_the_base_on_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = score_documents(docs).where("held_out").select("n_tokens", "score", "base_score").collect()
+    tokens, score, base = (sum(r[i] for r in held) for i in range(3))
+    assert len(held) > 10 and score / tokens > base / tokens + 0.1
+    assert sum(r.score > r.base_score for r in held) >= 0.9 * len(held)
