@@ -202,6 +202,9 @@ def lsum_counts(pred: Column, ref: Column, stemmed: bool = False) -> Column:
     def kernel(preds, refs):
         if stemmed:
             preds, refs = ([[stem(w) if len(w) > 3 else w for w in s] for s in x] for x in (preds, refs))
+        if len(preds) == len(refs) == 1:
+            # The union is one subsequence, whose words both sides have.
+            return lcs_length(preds[0], refs[0]), len(preds[0]), len(refs[0])
         have = Counter(t for s in preds for t in s)
         want = Counter(t for s in refs for t in s)
         hits = 0

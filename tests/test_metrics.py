@@ -224,3 +224,15 @@ def test_ranking(spark):
         rankmetrics.check_ranked(df, 3)
     with pytest.raises(ValueError):
         rankmetrics.check_ranked(df.union(df), 2)
+
+
+def test_one_line_scores_alike_on_both_ways(spark):
+    rng = random.Random(5)
+    text = lambda: " ".join(rng.choice("abcd") for _ in range(rng.randint(1, 12)))
+    rows = [(i, text(), text()) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, prediction string, target string")
+    lines = textmetrics.rouge_rows(df, "Lsum").orderBy("id").collect()
+    assert lines == textmetrics.rouge_rows(df, "L").orderBy("id").collect()
+    for _, a, b in rows:
+        a, b = a.split(), b.split()
+        assert len(kernels._lcs_positions(b, a)) == kernels.lcs_length(a, b)
