@@ -7,7 +7,7 @@ from helpers import ODD, documents, words
 
 from commitflow.llm import simhash
 from commitflow.llm.components import components
-from commitflow.llm.simhash import fingerprint, near_duplicates, trie_links
+from commitflow.llm.simhash import fingerprint, near_documents, near_duplicates, trie_links, wide_fingerprint
 
 
 def plain(text):
@@ -137,3 +137,92 @@ def test_one_large_component_is_joined_apart(spark):
     found = join_sized(rows, table, "k", "n")
     want = rows.join(table.drop("n"), "k")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect())) and "BroadcastHashJoin" in found._jdf.queryExecution().toString()
+
+
+def plain_wide(text):
+    """One bit after another, from the shingles' hashes stretched by the mixing function."""
+    w = (text or "").encode().lower().split()
+    shingles = {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    most, counts = (1 << 64) - 1, [0] * 512
+    for s in shingles:
+        for j in range(8):
+            x = (xxhash.xxh64_intdigest(s, 42) + (j + 1) * 0x9E3779B97F4A7C15) & most
+            x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & most
+            x = (x ^ x >> 27) * 0x94D049BB133111EB & most
+            x ^= x >> 31
+            for b in range(64):
+                counts[64 * j + b] += x >> b & 1
+    return np.packbits([2 * c > len(shingles) for c in counts]).tobytes()
+
+
+@pytest.mark.parametrize("text", [None, "", "one", "a b c d e", "A b C d\x0be É a b c d a b c d", words(3, 300)])
+def test_wide_fingerprint(text):
+    assert wide_fingerprint(text) == plain_wide(text)
+
+
+def test_wide_fingerprint_of_a_long_text():
+    # More shingles than counters of a byte hold at a time.
+    text = " ".join(str(k) for k in range(40_000))
+    assert wide_fingerprint(text) == plain_wide(text)
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, 500])
+def test_links_over_leading_bits(n):
+    r = np.random.default_rng(n)
+    lead = np.sort(r.integers(0, 1 << 9, n, np.uint64) << np.uint64(3))
+    keys = lead << np.uint64(40) | np.arange(n, dtype=np.uint64)
+    near = np.bitwise_count(lead[:, None] ^ lead[None, :]) <= 2
+    found = [(min(a, b), max(a, b)) for u, v in trie_links(keys, None, 2, 0, 0, 24) for a, b in zip(u.tolist(), v.tolist())]
+    assert sorted(found) == sorted(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1)))))
+
+
+def jaccard(a, b, width=5):
+    a, b = (
+        {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in (x.lower().split() for x in (a, b))
+    )
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def edited(text, edits, seed):
+    r, w = random.Random(seed), text.split()
+    for at in r.sample(range(len(w)), edits):
+        w[at] = f"edit{seed}x{at}"
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("keys", [simhash.TRIE_KEYS, 64])
+def test_near_documents_finds_similar_texts_only(spark, monkeypatch, keys):
+    # Few keys a trie: routing bits part the table, and more tries make up for them.
+    monkeypatch.setattr(simhash, "TRIE_KEYS", keys)
+    rows = []
+    for k in range(300):
+        base = " ".join(f"{w}{k}" for w in words(k, 200).split())
+        rows += [(2 * k, base), (2 * k + 1, edited(base, (1, 2, 4, 16, 30)[k % 5], k))]
+    text = dict(rows)
+    found = {r.doc_id: r.component_id for r in near_documents(documents(spark, rows).repartition(4)).collect()}
+    assert len(found) == len(rows)
+    alike = {k: jaccard(text[k], text[k + 1]) for k in range(0, 600, 2)}
+    similar = [k for k, j in alike.items() if j >= 0.8]
+    unlike = [k for k, j in alike.items() if j < 0.65]
+    assert len(similar) >= 170 and len(unlike) >= 60
+    assert sum(found[k + 1] == k for k in similar) >= 0.9 * len(similar)
+    assert not any(found[k + 1] == k for k in unlike)
+    assert all(found[k] == k for k in alike)
+
+
+def test_near_documents_of_odd_rows(spark):
+    rows = ODD + [(100 + k, words(9, 200) + " end" * (k % 2)) for k in range(30)] + [(None, words(9, 200))]
+    df = documents(spark, rows, extra=("print", "id", "class", "least", "root", "copies", "node")).repartition(3)
+    found = near_documents(df)
+    assert found.columns == ["doc_id", "component_id"] and found.count() == len(rows)
+    got = {(r.doc_id, r.component_id) for r in found.collect()}
+    assert {(100 + k, 100) for k in range(30)} | {(None, 100)} <= got
+    assert near_documents(documents(spark, [])).collect() == []
+
+
+def test_a_dense_cluster_is_one_component(spark):
+    base = words(5, 300)
+    rows = [(k, edited(base, k % 4, k)) for k in range(3000)] + [(5000 + k, words(k, 100)) for k in range(50)]
+    found = {r.doc_id: r.component_id for r in near_documents(documents(spark, rows)).collect()}
+    assert sum(found[k] == 0 for k in range(3000)) >= 2970
+    assert all(found[5000 + k] >= 5000 for k in range(50))
