@@ -14,7 +14,7 @@ from commitflow.llm.packing import pack
 from commitflow.llm.quality import quality_scores
 from commitflow.llm.queries import vocabulary
 from commitflow.llm.shared import written
-from commitflow.llm.simhash import near_duplicates
+from commitflow.llm.simhash import near_documents
 from commitflow.llm.toxicity import toxicity_scores
 
 
@@ -40,12 +40,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the first by id (null ids last), of repeated ids any one.
 
+    Near copies share 0.8 or more of their five-word shingles, as wide fingerprints estimate it.
     Rows are numbered in a table that is written first, and removed by their number: an id that stands on several texts loses
     only those that are copies. The rows to be removed are written too, so Spark knows their size when it chooses the join.
     """
     rows = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
     place = F.struct(F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"), F.col(ROW).alias("row"))
-    found = near_duplicates(rows.select(place.alias("place"), "text"), id_col="place")
+    found = near_documents(rows.select(place.alias("place"), "text"), id_col="place")
     others = written(found.where("place.row <> component_id.row").select(F.col("place.row").alias(ROW)), "near-copies")
     return rows.join(others, ROW, "left_anti").select(*docs.columns)
 
