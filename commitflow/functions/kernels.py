@@ -6,8 +6,9 @@ row, so there is no shuffle before the final, tiny aggregate. Whole texts are al
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -24,17 +25,41 @@ MAX_SHIFT_SIZE, MAX_SHIFT_DISTANCE, MAX_SHIFT_TRIALS = 10, 50, 1000
 METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
 
 
-UNITS_PER_CHUNK = 2_000_000
+# Units counted at a time: their hash tables fit a core's cache.
+UNITS_PER_CHUNK = 1 << 16
+# Characters of texts that are split at a time.
+TEXT_PER_CHUNK = 1 << 19
 
 
-def _units(parts: list[pa.Array], stemmed: bool) -> tuple[np.ndarray, np.ndarray]:
+Splitter = Callable[[str], Sequence[str]]
+
+
+def _flat(parts: list[pa.Array]) -> pa.Array:
+    """The entries of several arrays of lists, end to end."""
+    # An empty array from the JVM may lack the buffers that a concatenation reads.
+    full = [x for x in (p.flatten() for p in parts) if len(x)]
+    return pa.concat_arrays(full) if full else pa.array([], parts[0].type.value_type)
+
+
+def _units(parts: list[pa.Array], stemmed: bool, split: Splitter | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sequence lengths, and one number per unit such that equal units have equal numbers.
 
-    A part is an array of token lists, or of texts (then characters are the units).
+    A part is an array of token lists, or of texts (then characters are the units). With ``split`` the lists hold
+    pieces, each distinct one of which is split into its units once.
     """
+    if split is not None:
+        sizes = np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts])
+        coded = _flat(parts).dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        found = [split(w) for w in coded.dictionary.to_pylist()]
+        counts = np.array([len(x) for x in found], dtype=np.int64)
+        numbers = pd.factorize(np.array([w for x in found for w in x], dtype=object))[0].astype(np.int64)
+        piece, place = _places(counts[code])
+        lengths = np.bincount(np.repeat(np.arange(len(sizes)), sizes), counts[code], len(sizes))
+        return lengths.astype(np.int64), numbers[(np.cumsum(counts) - counts)[code][piece] + place]
     if pa.types.is_list(parts[0].type):
         lengths = np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts])
-        coded = pa.concat_arrays([p.flatten() for p in parts]).dictionary_encode()
+        coded = _flat(parts).dictionary_encode()
         numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         if stemmed:
             stems = [stem(w) if len(w) > 3 else w for w in coded.dictionary.to_pylist()]
@@ -45,16 +70,21 @@ def _units(parts: list[pa.Array], stemmed: bool) -> tuple[np.ndarray, np.ndarray
     return lengths, np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
 
 
-def clipped_counts(pred: pa.Array, refs: pa.Array, max_n: int, stemmed: bool = False) -> np.ndarray:
+def clipped_counts(
+    pred: pa.Array, refs: pa.Array, max_n: int, stemmed: bool = False, split: Splitter | None = None
+) -> np.ndarray:
     """Per row: matches, prediction n-grams and reference n-grams of every order, and both lengths.
 
     Every n-gram gets a number that is unique within its row, by extending the number of its first
     ``n - 1`` units with the last one; counting is then integer work over all rows at once.
     """
-    n_rows = len(pred)
-    out = np.zeros((n_rows, 3 * max_n + 2), dtype=np.int64)
     n_refs = np.diff(refs.offsets.to_numpy()).astype(np.int64)
-    lengths, units = _units([pred, refs.flatten()], stemmed)
+    return _clipped(*_units([pred, refs.flatten()], stemmed, split), n_refs, max_n)
+
+
+def _clipped(lengths: np.ndarray, units: np.ndarray, n_refs: np.ndarray, max_n: int) -> np.ndarray:
+    n_rows = len(n_refs)
+    out = np.zeros((n_rows, 3 * max_n + 2), dtype=np.int64)
     ref_row = np.repeat(np.arange(n_rows), n_refs)
     seq_row = np.concatenate([np.arange(n_rows), ref_row])
     nth = np.arange(len(ref_row)) - np.repeat(np.cumsum(n_refs) - n_refs, n_refs)
@@ -91,8 +121,8 @@ def clipped_counts(pred: pa.Array, refs: pa.Array, max_n: int, stemmed: bool = F
     return out
 
 
-def _row_ranges(pred: pa.Array, refs: pa.Array) -> list[tuple[int, int]]:
-    """Row ranges of about ``UNITS_PER_CHUNK`` units, so that long texts do not pile up in memory."""
+def _row_ranges(pred: pa.Array, refs: pa.Array, units: int = UNITS_PER_CHUNK) -> list[tuple[int, int]]:
+    """Row ranges of about so many units, so that long texts do not pile up in memory."""
     def sizes(part: pa.Array) -> np.ndarray:
         if pa.types.is_list(part.type):
             return np.diff(part.offsets.to_numpy()).astype(np.int64)
@@ -101,7 +131,7 @@ def _row_ranges(pred: pa.Array, refs: pa.Array) -> list[tuple[int, int]]:
     ref_ends = np.concatenate([[0], np.cumsum(sizes(refs.flatten()))])
     bounds = refs.offsets.to_numpy() - refs.offsets[0].as_py()
     total = np.cumsum(sizes(pred) + np.diff(ref_ends[bounds]))
-    cuts = np.flatnonzero(np.diff(total // UNITS_PER_CHUNK)) + 1
+    cuts = np.flatnonzero(np.diff(total // units)) + 1
     edges = [0, *cuts.tolist(), len(pred)]
     return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
 
@@ -111,10 +141,17 @@ def ngram_fields(max_n: int) -> list[str]:
     return [*sides, "pred_len", "ref_len"]
 
 
-def ngram_counts(pred: Column, refs: Column, max_n: int, stemmed: bool = False) -> Column:
+def _pieces(texts: pa.Array) -> pa.Array:
+    return pc.split_pattern(texts, " ")
+
+
+def ngram_counts(
+    pred: Column, refs: Column, max_n: int, stemmed: bool = False, split: Splitter | None = None
+) -> Column:
     """Clipped n-gram matches against an array of references.
 
-    ``pred`` is a token array or a text (then characters are the units), ``refs`` an array of these.
+    ``pred`` is a token array or a text (then characters are the units), ``refs`` an array of these. With ``split``
+    the units are what it makes of a text's pieces between blanks.
     Fields: ``match_i``, ``pred_i``, ``ref_i`` per order, ``pred_len`` and ``ref_len`` (of the
     reference nearest in length).
     """
@@ -122,8 +159,11 @@ def ngram_counts(pred: Column, refs: Column, max_n: int, stemmed: bool = False)
 
     @F.arrow_udf(", ".join(f"{n} bigint" for n in names))
     def count(preds: pa.Array, references: pa.Array) -> pa.Array:
+        if split is not None:
+            starts = pa.array(references.offsets.to_numpy() - references.offsets[0].as_py(), pa.int32())
+            preds, references = _pieces(preds), pa.ListArray.from_arrays(starts, _pieces(references.flatten()))
         parts = [
-            clipped_counts(preds.slice(a, b - a), references.slice(a, b - a), max_n, stemmed)
+            clipped_counts(preds.slice(a, b - a), references.slice(a, b - a), max_n, stemmed, split)
             for a, b in _row_ranges(preds, references)
         ]
         table = np.concatenate(parts) if parts else np.zeros((0, len(names)), dtype=np.int64)
@@ -145,14 +185,167 @@ def lcs_length(a: Sequence, b: Sequence) -> int:
     return len(a) - row.bit_count()
 
 
-def _pairs(kernel: Callable[[list, list], Iterable], names: list[str]):
-    """Arrow function from a per-row kernel over two token arrays that returns integers."""
+def distance(a: Sequence, b: Sequence) -> int:
+    """Bit-parallel edit distance: one step per token of ``b``."""
+    steps = EditSteps(a)
+    state = steps.first
+    for token in b:
+        state = steps.after(state, token)
+    return state[2]
+
+
+class Sequences:
+    """Runs of one array of numbers; equal units have equal numbers."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray):
+        self.codes, self.starts, self.sizes = codes, starts, sizes
+
+    def at(self, rows: np.ndarray) -> Sequences:
+        return Sequences(self.codes, self.starts[rows], self.sizes[rows])
+
+    def units(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, place in the row, and code of all units, row by row."""
+        row, place = _places(self.sizes)
+        return row, place, self.codes[self.starts[row] + place]
+
+    def one(self, i: int) -> list[int]:
+        return self.codes[self.starts[i] : self.starts[i] + self.sizes[i]].tolist()
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _both_sides(
+    left: pa.Array, right: pa.Array, stemmed: bool = False, split: Splitter | None = None
+) -> tuple[Sequences, Sequences]:
+    sizes, codes = _units([left, right], stemmed, split)
+    starts, n = np.cumsum(sizes) - sizes, len(left)
+    return Sequences(codes, starts[:n], sizes[:n]), Sequences(codes, starts[n:], sizes[n:])
+
+
+def _trimmed(a: Sequences, b: Sequences) -> tuple[Sequences, Sequences, np.ndarray]:
+    """Both sides without their common beginning and end, and how many units these have."""
+    codes, same = a.codes, np.zeros(len(a.sizes), np.int64)
+    for back in (False, True):
+        row, place = _places(np.minimum(a.sizes, b.sizes))
+        pick = lambda x: codes[x.starts[row] + (x.sizes[row] - 1 - place if back else place)]
+        at = np.flatnonzero(pick(a) != pick(b))
+        n = np.minimum(a.sizes, b.sizes)
+        # The first place of every row at which the sides differ.
+        at = at[np.diff(row[at], prepend=-1) > 0]
+        n[row[at]] = place[at]
+        skip = 0 if back else n
+        a, b = (Sequences(codes, x.starts + skip, x.sizes - n) for x in (a, b))
+        same += n
+    return a, b, same
+
+
+# Longest sequences whose steps are taken for many rows at once; the shorter one has to fit a machine word.
+WORD_BITS, MOST_STEPS = 64, 512
+
+
+def _hits(a: Sequences, b: Sequences) -> np.ndarray:
+    """For every unit of ``b``, row by row, the places of the row's ``a`` that hold it, as bits."""
+    (row_a, place, code_a), (row_b, _, code_b) = a.units(), b.units()
+    most = int(max(code_a.max(initial=0), code_b.max(initial=0))) + 1
+    ids = pd.factorize(np.concatenate([row_a * most + code_a, row_b * most + code_b]))[0]
+    masks = np.zeros(len(ids) + 1, np.uint64)
+    np.bitwise_or.at(masks, ids[: len(row_a)], np.uint64(1) << place.astype(np.uint64))
+    return masks[ids[len(row_a) :]]
+
+
+def _in_step(a: Sequences, b: Sequences) -> Iterator[tuple[np.ndarray, int, np.ndarray]]:
+    """For the t-th units of ``b``: the order of the rows, how many have one, and its places in ``a``."""
+    hits, order = _hits(a, b), np.argsort(-b.sizes, kind="stable")
+    starts, sizes = (np.cumsum(b.sizes) - b.sizes)[order], b.sizes[order]
+    for t in range(int(sizes[0]) if len(sizes) else 0):
+        n = int(np.searchsorted(-sizes, -t, "left"))
+        yield order, n, hits[starts[:n] + t]
+
+
+def _low_bits(sizes: np.ndarray) -> np.ndarray:
+    n = sizes.astype(np.uint64)
+    return np.where(n == 0, np.uint64(0), ~np.uint64(0) >> (np.uint64(64) - np.maximum(n, np.uint64(1))))
+
+
+def _lcs_in_step(a: Sequences, b: Sequences) -> np.ndarray:
+    rows = np.full(len(a.sizes), ~np.uint64(0))
+    order = np.arange(len(a.sizes))
+    for order, n, same in _in_step(a, b):
+        row = rows[:n]
+        hit = row & same
+        rows[:n] = (row + hit) | (row - hit)
+    out = np.empty(len(rows), np.int64)
+    out[order] = np.bitwise_count(~rows & _low_bits(a.sizes[order]))
+    return out
+
+
+def _distance_in_step(a: Sequences, b: Sequences) -> np.ndarray:
+    ups, downs = np.full(len(a.sizes), ~np.uint64(0)), np.zeros(len(a.sizes), np.uint64)
+    one, order = np.uint64(1), np.argsort(-b.sizes, kind="stable")
+    far, last = a.sizes[order], (a.sizes[order] - 1).astype(np.uint64)
+    for _, n, same in _in_step(a, b):
+        up, down = ups[:n], downs[:n]
+        diagonal = (((same & up) + up) ^ up) | same | down
+        right_up, right_down = down | ~(diagonal | up), up & diagonal
+        far[:n] += ((right_up >> last[:n]) & one).astype(np.int64) - ((right_down >> last[:n]) & one).astype(np.int64)
+        right_up = (right_up << one) | one
+        ups[:n] = (right_down << one) | ~(diagonal | right_up)
+        downs[:n] = right_up & diagonal
+    out = np.empty(len(far), np.int64)
+    out[order] = far
+    return out
+
+
+def _measured(a: Sequences, b: Sequences, in_step: Callable, alone: Callable, empty: np.ndarray) -> np.ndarray:
+    """A symmetric measure of all rows: ``empty`` where a side is, many short rows at once, long ones one by one."""
+    turn = a.sizes > b.sizes
+    low = Sequences(a.codes, np.where(turn, b.starts, a.starts), np.where(turn, b.sizes, a.sizes))
+    high = Sequences(a.codes, np.where(turn, a.starts, b.starts), np.where(turn, a.sizes, b.sizes))
+    out = empty.copy()
+    short = (low.sizes <= WORD_BITS) & (high.sizes <= MOST_STEPS)
+    rows = np.flatnonzero(short & (low.sizes > 0))
+    if len(rows):
+        out[rows] = in_step(low.at(rows), high.at(rows))
+    for i in np.flatnonzero(~short & (low.sizes > 0)).tolist():
+        out[i] = alone(low.one(i), high.one(i))
+    return out
+
+
+def _lcs_lengths(a: Sequences, b: Sequences) -> np.ndarray:
+    a, b, same = _trimmed(a, b)
+    return same + _measured(a, b, _lcs_in_step, lcs_length, np.zeros(len(same), np.int64))
+
+
+def _distances(a: Sequences, b: Sequences) -> np.ndarray:
+    a, b, _ = _trimmed(a, b)
+    return _measured(a, b, _distance_in_step, distance, np.maximum(a.sizes, b.sizes))
+
+
+def _list_ranges(left: pa.Array, right: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Rows of two arrays of lists, some at a time, so that long ones do not pile up in memory."""
+    sizes = sum(np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (left, right))
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // UNITS_PER_CHUNK)) + 1
+    edges = [0, *cuts.tolist(), len(left)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield left.slice(a, b - a), right.slice(a, b - a)
+
+
+def _pairs(
+    kernel: Callable[[pa.Array, pa.Array], Sequence[np.ndarray]],
+    names: list[str],
+    lists: Callable[[pa.Array], pa.Array] = lambda x: x,
+):
+    """Arrow function from a kernel over two arrays of lists that returns a column of integers a name."""
 
     @F.arrow_udf(", ".join(f"{n} bigint" for n in names))
     def apply(left: pa.Array, right: pa.Array) -> pa.Array:
-        rows = [tuple(kernel(a, b)) for a, b in zip(left.to_pylist(), right.to_pylist())]
-        columns = list(zip(*rows)) if rows else [()] * len(names)
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+        parts = [kernel(a, b) for a, b in _list_ranges(lists(left), lists(right))]
+        columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(len(names))]
+        return pa.StructArray.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=names)
 
     return apply
 
@@ -160,10 +353,9 @@ def _pairs(kernel: Callable[[list, list], Iterable], names: list[str]):
 def lcs_counts(pred: Column, ref: Column, stemmed: bool = False) -> Column:
     """``hits``, ``pred_len``, ``ref_len`` of the longest common subsequence."""
 
-    def kernel(a, b):
-        if stemmed:
-            a, b = ([stem(w) if len(w) > 3 else w for w in x] for x in (a, b))
-        return lcs_length(a, b), len(a), len(b)
+    def kernel(preds, refs):
+        a, b = _both_sides(preds, refs, stemmed)
+        return _lcs_lengths(a, b), a.sizes, b.sizes
 
     return _pairs(kernel, ["hits", "pred_len", "ref_len"])(pred, ref)
 
@@ -196,34 +388,184 @@ def _lcs_positions(ref: list, pred: list) -> set[int]:
     return found
 
 
+# Pairs of sentences whose common subsequences are followed at once.
+PAIRS_TOGETHER = 4096
+
+
+def _mark_common(refs: Sequences, preds: Sequences, marks: np.ndarray, firsts: np.ndarray) -> None:
+    """Mark the places of each reference on one longest common subsequence, as ``_lcs_positions`` takes it.
+
+    ``firsts``: where each reference begins in ``marks``. Predictions fit a machine word.
+    """
+    order = np.argsort(-refs.sizes, kind="stable")
+    refs, preds, firsts = refs.at(order), preds.at(order), firsts[order]
+    table = np.full((int(refs.sizes.max()) + 1, len(order)), ~np.uint64(0))
+    for t, (_, n, same) in enumerate(_in_step(preds, refs)):
+        row = table[t, :n]
+        hit = row & same
+        table[t + 1, :n] = (row + hit) | (row - hit)
+    k, i, j = np.arange(len(order)), preds.sizes.copy(), refs.sizes.copy()
+    while True:
+        on = (i > 0) & (j > 0)
+        if not on.all():
+            k, i, j = k[on], i[on], j[on]
+        if not len(k):
+            return
+        equal = preds.codes[preds.starts[k] + i - 1] == refs.codes[refs.starts[k] + j - 1]
+        marks[(firsts[k] + j - 1)[equal]] = True
+        shorter = i - 1 - np.bitwise_count(table[j, k] & _low_bits(i - 1)).astype(np.int64)
+        earlier = i - np.bitwise_count(table[j - 1, k] & _low_bits(i)).astype(np.int64)
+        left = equal | (shorter > earlier)
+        j = j - (equal | ~left)
+        i = i - left
+
+
+def _union_marks(preds: Sequences, pred_rows: np.ndarray, refs: Sequences, ref_rows: np.ndarray) -> np.ndarray:
+    """Which units of the references, one after the other, are on a common subsequence with a prediction's sentence."""
+    firsts = np.cumsum(refs.sizes) - refs.sizes
+    marks = np.zeros(int(refs.sizes.sum()), bool)
+    wait: list[tuple[int, int]] = []
+
+    def follow() -> None:
+        if wait:
+            r, p = np.array(wait).T
+            _mark_common(refs.at(r), preds.at(p), marks, firsts[r])
+            wait.clear()
+
+    ends = np.searchsorted(pred_rows, np.arange(int(ref_rows.max(initial=-1)) + 2))
+    bounds = np.searchsorted(ref_rows, np.arange(int(ref_rows.max(initial=-1)) + 2))
+    for row in np.unique(ref_rows).tolist():
+        # Equal sentences count once: the union holds their places already.
+        held = {tuple(preds.one(p)): p for p in range(ends[row], ends[row + 1])}
+        holders: dict[int, list] = defaultdict(list)
+        for words in held:
+            for token in set(words):
+                holders[token].append(words)
+        first_like: dict[tuple, int] = {}
+        copies: list[tuple[int, int]] = []
+        for r in range(bounds[row], bounds[row + 1]):
+            ref = tuple(refs.one(r))
+            if ref in held:
+                marks[firsts[r] : firsts[r] + len(ref)] = True
+                continue
+            if ref in first_like:
+                copies.append((first_like[ref], r))
+                continue
+            first_like[ref] = r
+            shared = Counter(w for token in set(ref) for w in holders.get(token, ()))
+            if len(shared) == 1 or all(len(w) <= WORD_BITS for w in shared) and len(ref) <= MOST_STEPS:
+                pending = [w for w in shared if len(w) <= WORD_BITS and len(ref) <= MOST_STEPS]
+                wait.extend((r, held[w]) for w in pending)
+                rest = [w for w in shared if not (len(w) <= WORD_BITS and len(ref) <= MOST_STEPS)]
+            else:
+                rest = [w for w, _ in shared.most_common()]
+            # Places that a sentence could still add.
+            open_at: dict[int, set[int]] = defaultdict(set)
+            for at, token in enumerate(ref):
+                open_at[token].add(at)
+            for words in rest:
+                if not any(open_at.get(token) for token in set(words)):
+                    continue
+                for at in _lcs_positions(list(ref), list(words)):
+                    marks[firsts[r] + at] = True
+                    open_at[ref[at]].discard(at)
+            if len(wait) >= PAIRS_TOGETHER:
+                follow()
+        if copies:
+            follow()
+            for a, r in copies:
+                marks[firsts[r] : firsts[r] + refs.sizes[r]] = marks[firsts[a] : firsts[a] + refs.sizes[a]]
+    follow()
+    return marks
+
+
+def _lsum(preds: pa.Array, refs: pa.Array, stemmed: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    pred_rows, ref_rows = (np.repeat(np.arange(len(x)), np.diff(x.offsets.to_numpy())) for x in (preds, refs))
+    return _lsum_of(len(preds), *_both_sides(preds.flatten(), refs.flatten(), stemmed), pred_rows, ref_rows)
+
+
+def _lsum_of(
+    n: int, p: Sequences, r: Sequences, pred_rows: np.ndarray, ref_rows: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hits and both lengths of ``n`` rows, from the sentences of both sides, row by row."""
+    n_pred, n_ref = (np.bincount(at, x.sizes, n).astype(np.int64) for at, x in ((pred_rows, p), (ref_rows, r)))
+    hits = np.zeros(n, np.int64)
+    single = (np.bincount(pred_rows, minlength=n) == 1) & (np.bincount(ref_rows, minlength=n) == 1)
+    # The union is one subsequence, whose words both sides have.
+    hits[single] = _lcs_lengths(p.at(np.flatnonzero(single[pred_rows])), r.at(np.flatnonzero(single[ref_rows])))
+    if not single.all():
+        of_p, of_r = np.flatnonzero(~single[pred_rows]), np.flatnonzero(~single[ref_rows])
+        p, r, pred_rows, ref_rows = p.at(of_p), r.at(of_r), pred_rows[of_p], ref_rows[of_r]
+        marks = _union_marks(p, pred_rows, r, ref_rows)
+        (at_p, _, code_p), (at_r, _, code_r) = p.units(), r.units()
+        most = int(max(code_p.max(initial=0), code_r.max(initial=0))) + 1
+        keys = np.concatenate([pred_rows[at_p] * most + code_p, (ref_rows[at_r] * most + code_r)[marks]])
+        # A word counts as often as the prediction has it, at most.
+        ids, found = pd.factorize(keys)
+        have = np.bincount(ids[: len(at_p)], minlength=len(found))
+        used = np.bincount(ids[len(at_p) :], minlength=len(found))
+        hits += np.bincount(found // most, np.minimum(have, used), n).astype(np.int64)
+    return hits, n_pred, n_ref
+
+
+def _sentence_ranges(preds: pa.Array, refs: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """As ``_list_ranges``, by the words of the sentences."""
+    sizes = np.zeros(len(preds), np.int64)
+    for x in (preds, refs):
+        words = np.concatenate([[0], np.cumsum(np.diff(x.flatten().offsets.to_numpy()))])
+        ends = x.offsets.to_numpy() - x.offsets[0].as_py()
+        sizes += np.diff(words[ends])
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // UNITS_PER_CHUNK)) + 1
+    edges = [0, *cuts.tolist(), len(preds)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield preds.slice(a, b - a), refs.slice(a, b - a)
+
+
 def lsum_counts(pred: Column, ref: Column, stemmed: bool = False) -> Column:
     """Union-LCS hits over sentences; both sides are arrays of token arrays."""
 
     def kernel(preds, refs):
-        if stemmed:
-            preds, refs = ([[stem(w) if len(w) > 3 else w for w in s] for s in x] for x in (preds, refs))
-        if len(preds) == len(refs) == 1:
-            # The union is one subsequence, whose words both sides have.
-            return lcs_length(preds[0], refs[0]), len(preds[0]), len(refs[0])
-        have = Counter(t for s in preds for t in s)
-        want = Counter(t for s in refs for t in s)
-        hits = 0
-        n_pred, n_ref = have.total(), want.total()
-        for sentence in refs:
-            union: set[int] = set()
-            for p in preds:
-                union |= _lcs_positions(sentence, p)
-            for at in sorted(union):
-                token = sentence[at]
-                if have[token] > 0 and want[token] > 0:
-                    hits += 1
-                    have[token] -= 1
-                    want[token] -= 1
-        return hits, n_pred, n_ref
+        parts = [_lsum(a, b, stemmed) for a, b in _sentence_ranges(preds, refs)]
+        return [np.concatenate([p[k] for p in parts]) for k in range(3)]
 
     return _pairs(kernel, ["hits", "pred_len", "ref_len"])(pred, ref)
 
 
+def rouge_counts(pred: Column, ref: Column, split: Splitter) -> Column:
+    """Counts of ROUGE-1, -2, -L and -Lsum over two texts from one read; sentences are lines.
+
+    ``match_i``, ``pred_i`` and ``ref_i`` as in ``ngram_counts``, then ``lcs`` and ``lsum`` hits, ``pred_len`` and
+    ``ref_len``. Words are what ``split`` makes of a line's pieces between blanks.
+    """
+
+    def kernel(preds, refs):
+        n = len(preds)
+        lines = [pc.split_pattern(x, "\n") for x in (preds, refs)]
+        rows = [np.repeat(np.arange(n), np.diff(x.offsets.to_numpy())) for x in lines]
+        sides = _both_sides(*(_pieces(x.flatten()) for x in lines), False, split)
+        # The words of a row's lines lie side by side.
+        sizes = [np.bincount(at, x.sizes, n).astype(np.int64) for at, x in zip(rows, sides)]
+        lengths = np.concatenate(sizes)
+        grams = _clipped(lengths, sides[0].codes, np.ones(n, np.int64), 2)
+        starts = np.cumsum(lengths) - lengths
+        whole = [Sequences(sides[0].codes, starts[i * n : (i + 1) * n], sizes[i]) for i in range(2)]
+        full = [x.sizes > 0 for x in sides]
+        hits, _, _ = _lsum_of(n, *(x.at(np.flatnonzero(f)) for x, f in zip(sides, full)), *(at[f] for at, f in zip(rows, full)))
+        return [*grams[:, :6].T, _lcs_lengths(*whole), hits, *sizes]
+
+    names = [f"{side}_{i}" for side in ("match", "pred", "ref") for i in range(2)]
+
+    @F.arrow_udf(", ".join(f"{n} bigint" for n in [*names, "lcs", "lsum", "pred_len", "ref_len"]))
+    def count(preds: pa.Array, refs: pa.Array) -> pa.Array:
+        one = pa.ListArray.from_arrays(pa.array(np.arange(len(refs) + 1), pa.int32()), refs)
+        parts = [kernel(preds.slice(a, b - a), refs.slice(a, b - a)) for a, b in _row_ranges(preds, one, TEXT_PER_CHUNK)]
+        columns = [np.concatenate([np.zeros(0, np.int64), *(p[k] for p in parts)]) for k in range(10)]
+        return pa.StructArray.from_arrays([pa.array(c) for c in columns], names=[*names, "lcs", "lsum", "pred_len", "ref_len"])
+
+    return count(pred, ref)
+
+
 class EditTable:
     """Edit distances between ``hyp`` and every prefix of ``ref``, packed in big integers.
 
@@ -280,12 +622,68 @@ class EditTable:
         return align, hyp_wrong, ref_wrong
 
 
+class EditSteps:
+    """Edit distances between the prefixes of a text and all of ``ref``, a word of the text at a time.
+
+    A state holds the differences along ``ref`` as bits, and the distance to its end.
+    """
+
+    def __init__(self, ref: Sequence):
+        self.where: dict = defaultdict(int)
+        for j, token in enumerate(ref):
+            self.where[token] |= 1 << j
+        self.full = (1 << len(ref)) - 1
+        self.end = 1 << len(ref)
+        self.first = (self.full, 0, len(ref))
+
+    def after(self, state: tuple[int, int, int], token) -> tuple[int, int, int]:
+        up, down, far = state
+        same = self.where.get(token, 0)
+        diagonal = ((((same & up) + up) ^ up) | same | down) & self.full
+        right_up = ((down | (self.full & ~(diagonal | up))) << 1) | 1
+        right_down = (up & diagonal) << 1
+        if right_up & self.end:
+            far += 1
+        if right_down & self.end:
+            far -= 1
+        return (right_down | ~(diagonal | right_up)) & self.full, right_up & diagonal & self.full, far
+
+
+def _target(start: int, size: int, to: int) -> int:
+    """Where a moved block begins among the other words."""
+    return to if to <= start else max(start, to - size) if to > start + size else to
+
+
 def _moved(words: list, start: int, size: int, to: int) -> list:
     block, rest = words[start : start + size], words[:start] + words[start + size :]
-    at = to if to <= start else max(start, to - size) if to > start + size else to
+    at = _target(start, size, to)
     return rest[:at] + block + rest[at:]
 
 
+def _best_move(hyp: list, states: list, steps: EditSteps, tried: set[tuple[int, int, int]], most: int) -> list | None:
+    """The words after the move that saves most edits; of equals the longest, then the first block. None saves none: null.
+
+    A move saves at most ``most`` edits, and at most two a word of the block.
+    """
+    score, best, found = states[-1][2], (0,), None
+    for h, size, to in sorted(tried, key=lambda x: (-x[1], x[0], x[2])):
+        if (min(2 * size, most), size, -h, -to) <= best:
+            continue
+        words, at = _moved(hyp, h, size, to), _target(h, size, to)
+        # Words before the move are those of ``hyp``; where the states meet again behind it, nothing is saved.
+        begin, end = min(h, at), max(h, at) + size
+        state = states[begin]
+        for i in range(begin, len(words)):
+            state = steps.after(state, words[i])
+            if i + 1 >= end and state == states[i + 1]:
+                state = states[-1]
+                break
+        rank = (score - state[2], size, -h, -to)
+        if rank[0] > 0 and rank > best:
+            best, found = rank, words
+    return found
+
+
 def edit_rate(hyp: list, ref: list) -> tuple[int, int]:
     """Word edits including block shifts chosen greedily, and the reference length."""
     if not ref:
@@ -293,17 +691,19 @@ def edit_rate(hyp: list, ref: list) -> tuple[int, int]:
     places: dict = defaultdict(list)
     for j, token in enumerate(ref):
         places[token].append(j)
-    shifts = trials = 0
-    table = EditTable(hyp, ref)
+    # Moves keep the words, so this many edits stay.
+    least = max(len(hyp), len(ref)) - (Counter(hyp) & Counter(ref)).total()
+    steps, shifts, trials = EditSteps(ref), 0, 0
     while True:
-        score = table.distance
-        align, hyp_wrong, ref_wrong = table.alignment()
-        best = None
-        for h, r, size in _matching_blocks(hyp, ref, places):
-            if trials >= MAX_SHIFT_TRIALS:
-                break
-            if not any(hyp_wrong[h : h + size]) or not any(ref_wrong[r : r + size]):
-                continue
+        states = [steps.first]
+        for token in hyp:
+            states.append(steps.after(states[-1], token))
+        score = states[-1][2]
+        if score == least:
+            return shifts + score, len(ref)
+        align, hyp_wrong, ref_wrong = EditTable(hyp, ref).alignment()
+        tried = set()
+        for h, r, size in _matching_blocks(hyp, ref, places, hyp_wrong, ref_wrong):
             if h <= align[r] < h + size:
                 continue
             last = -1
@@ -312,36 +712,63 @@ def edit_rate(hyp: list, ref: list) -> tuple[int, int]:
                 if to == last:
                     continue
                 last = to
-                words = _moved(hyp, h, size, to)
-                gain = score - EditTable(words, ref).distance
+                tried.add((h, size, to))
                 trials += 1
-                rank = (gain, size, -h, -to)
-                if best is None or rank > best[0]:
-                    best = (rank, words)
-        if best is None or best[0][0] <= 0 or trials >= MAX_SHIFT_TRIALS:
+            # With too many trials no move of this round counts.
+            if trials >= MAX_SHIFT_TRIALS:
+                return shifts + score, len(ref)
+        best = _best_move(hyp, states, steps, tried, score - least)
+        if best is None:
             return shifts + score, len(ref)
         shifts += 1
-        hyp = best[1]
-        table = EditTable(hyp, ref)
+        hyp = best
 
 
-def _matching_blocks(hyp: list, ref: list, places: dict):
-    """Equal blocks of both sides that start near each other, shorter ones first."""
+def _next_true(flags: list[bool]) -> list[int]:
+    """For every place the first true one from it on."""
+    out, last = [0] * len(flags), len(flags) + MAX_SHIFT_SIZE
+    for i in range(len(flags) - 1, -1, -1):
+        if flags[i]:
+            last = i
+        out[i] = last
+    return out
+
+
+def _matching_blocks(hyp: list, ref: list, places: dict, hyp_wrong: list[bool], ref_wrong: list[bool]):
+    """Equal blocks of both sides that start near each other and hold wrong words of both, shorter ones first."""
+    next_h, next_r = _next_true(hyp_wrong), _next_true(ref_wrong)
     for h in range(len(hyp)):
-        for r in places.get(hyp[h], ()):
-            if abs(r - h) > MAX_SHIFT_DISTANCE:
-                continue
+        if next_h[h] - h >= MAX_SHIFT_SIZE:
+            continue
+        near = places.get(hyp[h], ())
+        for r in near[bisect_left(near, h - MAX_SHIFT_DISTANCE) : bisect_right(near, h + MAX_SHIFT_DISTANCE)]:
+            least = max(next_h[h] - h, next_r[r] - r) + 1
             for size in range(1, MAX_SHIFT_SIZE + 1):
                 if h + size > len(hyp) or r + size > len(ref):
                     break
                 if hyp[h + size - 1] != ref[r + size - 1]:
                     break
-                yield h, r, size
+                if size >= least:
+                    yield h, r, size
 
 
-def edit_counts(pred: Column, ref: Column) -> Column:
-    """``edits`` and ``ref_len`` of the edit rate."""
-    return _pairs(edit_rate, ["edits", "ref_len"])(pred, ref)
+def edit_counts(pred: Column, ref: Column, split: Splitter) -> Column:
+    """``edits`` and ``ref_len`` of the edit rate; words are what ``split`` makes of a text's pieces between blanks."""
+
+    def kernel(preds, refs):
+        a, b = _both_sides(preds, refs, False, split)
+        edits = _distances(a, b)
+        # Moves keep the words: where the distance is what these leave, no move saves an edit.
+        (row_a, _, code_a), (row_b, _, code_b) = a.units(), b.units()
+        most = int(max(code_a.max(initial=0), code_b.max(initial=0))) + 1
+        ids, found = pd.factorize(np.concatenate([row_a * most + code_a, row_b * most + code_b]))
+        shared = np.minimum(*(np.bincount(x, minlength=len(found)) for x in (ids[: len(row_a)], ids[len(row_a) :])))
+        least = np.maximum(a.sizes, b.sizes) - np.bincount(found // most, shared, len(edits)).astype(np.int64)
+        for i in np.flatnonzero((edits > least) & (b.sizes > 0)).tolist():
+            edits[i] = edit_rate(a.one(i), b.one(i))[0]
+        return edits, b.sizes
+
+    return _pairs(kernel, ["edits", "ref_len"], _pieces)(pred, ref)
 
 
 def meteor_score(hyp: list, ref: list, synonyms: dict[str, set[str]] | None = None) -> float:
@@ -375,9 +802,64 @@ def meteor_score(hyp: list, ref: list, synonyms: dict[str, set[str]] | None = No
     return mean * (1 - METEOR_GAMMA * (chunks / len(pairs)) ** METEOR_BETA)
 
 
+def _matched_from_end(
+    row_h: np.ndarray, key_h: np.ndarray, row_r: np.ndarray, key_r: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Units of both sides that belong together: a row's k-th last unit of a key with the other side's k-th last.
+
+    Units come row by row, in order.
+    """
+    most = int(max(key_h.max(initial=0), key_r.max(initial=0))) + 1
+    ids, found = pd.factorize(np.concatenate([row_h * most + key_h, row_r * most + key_r]))
+    sides = []
+    for x in (ids[: len(row_h)], ids[len(row_h) :]):
+        order = np.argsort(x, kind="stable")[::-1]
+        counts = np.bincount(x, minlength=len(found))
+        sides.append((order, counts))
+    both = np.minimum(sides[0][1], sides[1][1])
+    out = []
+    for order, counts in sides:
+        sizes = counts[::-1]
+        group, nth = _places(sizes)
+        out.append(order[nth < both[::-1][group]])
+    return out[0], out[1]
+
+
+def _meteor_scores(preds: pa.Array, refs: pa.Array) -> np.ndarray:
+    """``meteor_score`` of all rows, without synonyms."""
+    n = len(preds)
+    n_hyp, n_ref = (np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (preds, refs))
+    coded = _flat([preds, refs]).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    stems = pd.factorize(np.array([stem(w) for w in coded.dictionary.to_pylist()], dtype=object))[0].astype(np.int64)
+    (row_h, at_h), (row_r, at_r) = _places(n_hyp), _places(n_ref)
+    code_h, code_r = codes[: len(row_h)], codes[len(row_h) :]
+    h, r = _matched_from_end(row_h, code_h, row_r, code_r)
+    left_h, left_r = np.ones(len(row_h), bool), np.ones(len(row_r), bool)
+    left_h[h], left_r[r] = False, False
+    left_h, left_r = np.flatnonzero(left_h), np.flatnonzero(left_r)
+    more_h, more_r = _matched_from_end(row_h[left_h], stems[code_h[left_h]], row_r[left_r], stems[code_r[left_r]])
+    h, r = np.concatenate([h, left_h[more_h]]), np.concatenate([r, left_r[more_r]])
+    order = np.argsort(h)
+    h, r = h[order], r[order]
+    pairs = np.bincount(row_h[h], minlength=n)
+    onward = (np.diff(row_h[h]) == 0) & (np.diff(at_h[h]) == 1) & (np.diff(at_r[r]) == 1)
+    chunks = pairs - np.bincount(row_h[h][1:][onward], minlength=n)
+    out = np.zeros(n)
+    some = np.flatnonzero(pairs)
+    precision, recall = pairs[some] / n_hyp[some], pairs[some] / n_ref[some]
+    mean = precision * recall / (METEOR_ALPHA * precision + (1 - METEOR_ALPHA) * recall)
+    parts = np.array([x**METEOR_BETA for x in (chunks[some] / pairs[some]).tolist()])
+    out[some] = mean * (1 - METEOR_GAMMA * parts)
+    return out
+
+
 def meteor(pred: Column, ref: Column, synonyms: dict[str, set[str]] | None = None) -> Column:
     @F.arrow_udf("double")
     def score(preds: pa.Array, refs: pa.Array) -> pa.Array:
+        if not synonyms:
+            parts = [_meteor_scores(a, b) for a, b in _list_ranges(preds, refs)]
+            return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
         rows = zip(preds.to_pylist(), refs.to_pylist())
         return pa.array([meteor_score(p, r, synonyms) for p, r in rows], pa.float64())
 

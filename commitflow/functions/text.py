@@ -1,8 +1,10 @@
-"""Scalar text expressions. Everything here is a native column expression."""
+"""Scalar text expressions: native column expressions, and splits of single words for the Arrow kernels."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,9 +24,10 @@ PIECE = r"\s*(?:[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s])|\s+"
 LEADING_WORD = r"^[\p{L}\p{N}_]+"
 FIX_FORMS = ("fixing", "fixup")
 
-# The punctuation split of the 13a scheme, applied in this order.
+# The punctuation split of the 13a scheme, applied in this order. The scheme also puts blanks
+# around blanks, which changes no word, but costs a replacement for each of them.
 SPLIT_13A = (
-    (r"([\{-\~\[-\`\ -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([\{-\~\[-\`\!-\&\(-\+\:-\@\/])", " $1 "),
     (r"([^0-9])([\.,])", "$1 $2 "),
     (r"([\.,])([^0-9])", " $1 $2"),
     (r"([0-9])(-)", "$1 $2 "),
@@ -33,7 +36,7 @@ SPLIT_13A = (
 ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"))
 # The western normalisation of the edit-rate metric.
 SPLIT_TER = (
-    (r"([\{-\~\[-\`\ -\&\(-\+\:-\@\/])", " $1 "),
+    (r"([\{-\~\[-\`\!-\&\(-\+\:-\@\/])", " $1 "),
     (r"'s ", " 's "),
     (r"'s$", " 's"),
     (r"([^0-9])([\.,])", "$1 $2 "),
@@ -99,14 +102,17 @@ def plain_words(c: Column) -> Column:
     return words(F.lower(F.regexp_replace(c, r"\p{Punct}", "")))
 
 
-def tokenize_13a(c: Column, lowercase: bool = False) -> Column:
-    t = F.regexp_replace(c, "<skipped>", "")
-    t = F.regexp_replace(F.regexp_replace(t, "-\n", ""), "\n", " ")
+def prepare_13a(c: Column, lowercase: bool = False) -> Column:
+    """The 13a scheme up to its punctuation split."""
+    t = F.replace(c, F.lit("<skipped>"), F.lit(""))
+    t = F.replace(F.replace(t, F.lit("-\n"), F.lit("")), F.lit("\n"), F.lit(" "))
     for entity, char in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
-    if lowercase:
-        t = F.lower(t)
-    t = F.concat(F.lit(" "), t, F.lit(" "))
+    return F.lower(t) if lowercase else t
+
+
+def tokenize_13a(c: Column, lowercase: bool = False) -> Column:
+    t = F.concat(F.lit(" "), prepare_13a(c, lowercase), F.lit(" "))
     for pattern, target in SPLIT_13A:
         t = F.regexp_replace(t, pattern, target)
     return words(t)
@@ -114,20 +120,50 @@ def tokenize_13a(c: Column, lowercase: bool = False) -> Column:
 
 def rouge_words(c: Column) -> Column:
     """Lower case, every character outside a-z and 0-9 becomes a blank, whitespace split."""
-    return words(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def ter_words(c: Column) -> Column:
-    """Normalised, lower-cased, punctuation-free words of the edit-rate metric."""
-    t = F.regexp_replace(F.regexp_replace(c, "\n-", ""), "\n", " ")
+def prepare_ter(c: Column) -> Column:
+    """The normalisation of the edit-rate metric up to its punctuation split."""
+    t = F.replace(F.replace(c, F.lit("\n-"), F.lit("")), F.lit("\n"), F.lit(" "))
     for entity, char in ENTITIES:
         t = F.replace(t, F.lit(entity), F.lit(char))
-    t = F.lower(F.concat(F.lit(" "), t, F.lit(" ")))
+    return F.lower(t)
+
+
+def ter_words(c: Column) -> Column:
+    """Normalised, lower-cased, punctuation-free words of the edit-rate metric."""
+    t = F.concat(F.lit(" "), prepare_ter(c), F.lit(" "))
     for pattern, target in SPLIT_TER:
         t = F.regexp_replace(t, pattern, target)
     return words(F.regexp_replace(t, TER_PUNCT, ""))
 
 
+def _split_piece(piece: str, rules: tuple[tuple[str, str], ...], drop: str | None) -> tuple[str, ...]:
+    t = f" {piece} "
+    for pattern, target in rules:
+        t = re.sub(pattern, target.replace("$", "\\"), t)
+    return tuple((re.sub(drop, "", t) if drop else t).split())
+
+
+@lru_cache(1 << 16)
+def split_13a(piece: str) -> tuple[str, ...]:
+    """``tokenize_13a`` of a piece between two blanks of a prepared text: no rule looks past a blank."""
+    return _split_piece(piece, SPLIT_13A, None)
+
+
+@lru_cache(1 << 16)
+def split_ter(piece: str) -> tuple[str, ...]:
+    """``ter_words`` of a piece between two blanks of a prepared text."""
+    return _split_piece(piece, SPLIT_TER, TER_PUNCT)
+
+
+@lru_cache(1 << 16)
+def split_rouge(piece: str) -> tuple[str, ...]:
+    """``rouge_words`` of a piece between two blanks of a lower-cased text."""
+    return tuple(re.findall("[a-z0-9]+", piece))
+
+
 def ascii_punct_end(c: Column) -> Column:
     """True when the last character is ASCII punctuation."""
     return c.rlike(r"\p{Punct}\z")

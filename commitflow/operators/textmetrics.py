@@ -25,7 +25,7 @@ def _text(df: DataFrame, col: str) -> Column:
 
 
 def _references(df: DataFrame, target: str, split) -> Column:
-    """References as an array of token arrays."""
+    """References as an array of what ``split`` makes of each."""
     if isinstance(df.schema[target].dataType, T.ArrayType):
         return F.transform(target, split)
     return F.array(split(_text(df, target)))
@@ -44,8 +44,8 @@ def tokenize_13a(df: DataFrame, col: str, lowercase: bool = False, name: str = "
 
 
 def _bleu_counts(df: DataFrame, pred: str, target: str, n: int, lowercase: bool) -> Column:
-    split = lambda c: tx.tokenize_13a(c, lowercase)
-    return kernels.ngram_counts(split(_text(df, pred)), _references(df, target, split), n)
+    ready = lambda c: tx.prepare_13a(c, lowercase)
+    return kernels.ngram_counts(ready(_text(df, pred)), _references(df, target, ready), n, split=tx.split_13a)
 
 
 def _brevity(pred_len: Column, ref_len: Column) -> Column:
@@ -329,6 +329,10 @@ def _ter_share(edits: Column, ref_len: Column) -> Column:
     return 100 * F.coalesce(share, F.when(edits > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
 
 
+def _edit_counts(df: DataFrame, pred: str, target: str) -> Column:
+    return kernels.edit_counts(tx.prepare_ter(_text(df, pred)), tx.prepare_ter(_text(df, target)), tx.split_ter)
+
+
 def ter(
     df: DataFrame,
     level: str = "corpus",
@@ -339,7 +343,7 @@ def ter(
 ) -> DataFrame:
     """Edits per reference word, times 100."""
     counted = df.withColumn(
-        "__t", kernels.edit_counts(tx.ter_words(_text(df, pred)), tx.ter_words(_text(df, target)))
+        "__t", _edit_counts(df, pred, target)
     )
     if level == "row":
         score = _ter_share(F.col("__t.edits"), F.col("__t.ref_len"))
@@ -426,10 +430,7 @@ def evaluate_total(
     counted = (
         df.withColumn("__b", _bleu_counts(df, pred, target, n, True))
         .withColumn("__c", _chrf_counts(df, pred, target, CHRF_ORDER))
-        .withColumn(
-            "__t",
-            kernels.edit_counts(tx.ter_words(_text(df, pred)), tx.ter_words(_text(df, target))),
-        )
+        .withColumn("__t", _edit_counts(df, pred, target))
     )
     counted = meteor(counted, level="row", pred=pred, target=target, name="meteor")
     vectors = {"pred_vecs", "ref_vecs"} <= set(df.columns)
@@ -469,21 +470,13 @@ def text_metrics(
 ) -> DataFrame:
     """BLEU-1, BLEU-4 and the ROUGE F values per split, from one pass over the rows."""
     n = 4
-    p, r = _text(df, pred), _text(df, target)
-    words_p, words_r = tx.rouge_words(p), tx.rouge_words(r)
-    lines = lambda c: F.transform(
-        F.filter(F.split(c, "\n"), lambda s: F.trim(s) != ""), tx.rouge_words
-    )
-    counted = (
-        df.select(
-            by,
-            _bleu_counts(df, pred, target, n, False).alias("b"),
-            kernels.ngram_counts(words_p, F.array(words_r), 2).alias("g"),
-            kernels.lcs_counts(words_p, words_r).alias("l"),
-            kernels.lsum_counts(lines(p), lines(r)).alias("s"),
-        )
+    counted = df.select(
+        by,
+        _bleu_counts(df, pred, target, n, False).alias("b"),
+        kernels.rouge_counts(F.lower(_text(df, pred)), F.lower(_text(df, target)), tx.split_rouge).alias("g"),
     )
     at = lambda f, i: F.col(f"g.{f}_{i}")
+    lengths = F.col("g.pred_len"), F.col("g.ref_len")
     rows = counted.select(
         by,
         "b",
@@ -491,10 +484,8 @@ def text_metrics(
             _prf(at("match", i), at("pred", i), at("ref", i))["fmeasure"].alias(f"rouge{i + 1}")
             for i in range(2)
         ],
-        _prf(F.col("l.hits"), F.col("l.pred_len"), F.col("l.ref_len"))["fmeasure"].alias("rougeL"),
-        _prf(F.col("s.hits"), F.col("s.pred_len"), F.col("s.ref_len"))["fmeasure"].alias(
-            "rougeLsum"
-        ),
+        _prf(F.col("g.lcs"), *lengths)["fmeasure"].alias("rougeL"),
+        _prf(F.col("g.lsum"), *lengths)["fmeasure"].alias("rougeLsum"),
     )
     rouges = ("rouge1", "rouge2", "rougeL", "rougeLsum")
     sums = rows.groupBy(by).agg(

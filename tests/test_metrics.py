@@ -236,3 +236,135 @@ def test_one_line_scores_alike_on_both_ways(spark):
     for _, a, b in rows:
         a, b = a.split(), b.split()
         assert len(kernels._lcs_positions(b, a)) == kernels.lcs_length(a, b)
+
+
+def moved_rows(rng, n):
+    """Pairs of which one is the other with words dropped, added and moved; some pass a machine word."""
+    rows = []
+    for _ in range(n):
+        ref = [rng.choice("abcdefgh") for _ in range(rng.choice([0, 1, 5, 12, 30, 64, 65, 90]))]
+        hyp = list(ref)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(hyp))
+            block, hyp = hyp[at : at + 3], hyp[:at] + hyp[at + 3 :]
+            to = rng.randint(0, len(hyp))
+            hyp[to:to] = block if rng.random() < 0.7 else [rng.choice("xyz")]
+        rows.append((hyp, ref))
+    return rows
+
+
+def lists(rows):
+    return pa.array(rows, pa.list_(pa.string()))
+
+
+def test_whole_batches_are_measured_at_once(monkeypatch):
+    rows = moved_rows(random.Random(8), 300)
+    a, b = kernels._both_sides(lists([h for h, _ in rows]), lists([r for _, r in rows]))
+    assert kernels._lcs_lengths(a, b).tolist() == [lcs_brute(h, r) for h, r in rows]
+    assert kernels._distances(a, b).tolist() == [distance_brute(h, r) for h, r in rows]
+    got = kernels._meteor_scores(lists([h for h, _ in rows]), lists([r for _, r in rows]))
+    assert got.tolist() == [kernels.meteor_score(h, r) for h, r in rows]
+    # No short row is walked alone.
+    monkeypatch.setattr(kernels, "lcs_length", None)
+    monkeypatch.setattr(kernels, "distance", None)
+    short = [(h, r) for h, r in rows if min(len(h), len(r)) <= 64]
+    a, b = kernels._both_sides(lists([h for h, _ in short]), lists([r for _, r in short]))
+    assert kernels._lcs_lengths(a, b).tolist() == [lcs_brute(h, r) for h, r in short]
+    assert kernels._distances(a, b).tolist() == [distance_brute(h, r) for h, r in short]
+
+
+def edit_rate_by_all_moves(hyp, ref):
+    """The edit rate with every allowed move tried in full."""
+    shifts = trials = 0
+    while True:
+        score = distance_brute(hyp, ref)
+        align, hyp_wrong, ref_wrong = kernels.EditTable(hyp, ref).alignment()
+        best = None
+        for h in range(len(hyp)):
+            for r in range(max(0, h - 50), min(len(ref), h + 51)):
+                for size in range(1, 11):
+                    if hyp[h : h + size] != ref[r : r + size] or h + size > len(hyp) or r + size > len(ref):
+                        break
+                    if trials >= 1000:
+                        break
+                    if not any(hyp_wrong[h : h + size]) or not any(ref_wrong[r : r + size]) or h <= align[r] < h + size:
+                        continue
+                    last = -1
+                    for k in range(r - 1, r + size):
+                        to = 0 if k < 0 else align[k] + 1
+                        if to != last:
+                            last = to
+                            trials += 1
+                            words = kernels._moved(hyp, h, size, to)
+                            rank = (score - distance_brute(words, ref), size, -h, -to)
+                            best = max(best or (rank, words), (rank, words), key=lambda x: x[0])
+        if best is None or best[0][0] <= 0 or trials >= 1000:
+            return shifts + score
+        shifts, hyp = shifts + 1, best[1]
+
+
+def test_edit_rate_tries_no_move_in_vain(monkeypatch):
+    rows = [(h, r) for h, r in moved_rows(random.Random(9), 120) if 0 < len(r) <= 30]
+    assert [kernels.edit_rate(h, r) for h, r in rows] == [(edit_rate_by_all_moves(h, r), len(r)) for h, r in rows]
+    # Dropped words only: no block can save an edit, so no alignment is made.
+    monkeypatch.setattr(kernels, "EditTable", None)
+    ref = [str(i % 50) for i in range(3000)]
+    hyp = [w for i, w in enumerate(ref) if i % 5 != 4]
+    assert kernels.edit_rate(hyp, ref) == (600, 3000)
+
+
+def test_too_many_moves_are_not_measured(monkeypatch):
+    monkeypatch.setattr(kernels, "_best_move", None)
+    rng = random.Random(10)
+    hyp, ref = ([rng.choice("ab") for _ in range(400)] for _ in range(2))
+    assert kernels.edit_rate(hyp, ref) == (kernels.EditTable(hyp, ref).distance, 400)
+
+
+def test_sentence_unions_match_every_pair(monkeypatch):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(60):
+        refs = [[rng.choice("abcdefgh") for _ in range(rng.choice([0, 2, 9, 30, 70]))] for _ in range(rng.randint(0, 5))]
+        preds = [moved_rows(rng, 1)[0][0] if rng.random() < 0.5 or not refs else list(rng.choice(refs)) for _ in range(rng.randint(0, 4))]
+        rows.append((preds, refs))
+
+    def by_pairs(preds, refs):
+        have, hits = Counter(t for s in preds for t in s), 0
+        for s in refs:
+            for at in set().union(*(kernels._lcs_positions(s, p) for p in preds)):
+                hits += have[s[at]] > 0
+                have[s[at]] -= 1
+        return hits
+
+    kind = pa.list_(pa.list_(pa.string()))
+    hits, n_pred, n_ref = kernels._lsum(pa.array([p for p, _ in rows], kind), pa.array([r for _, r in rows], kind), False)
+    assert hits.tolist() == [by_pairs(p, r) for p, r in rows]
+    assert n_pred.tolist() == [sum(map(len, p)) for p, _ in rows] and n_ref.tolist() == [sum(map(len, r)) for _, r in rows]
+    # Sentences that stand on both sides are followed with no other one.
+    monkeypatch.setattr(kernels, "_lcs_positions", None)
+    monkeypatch.setattr(kernels, "_mark_common", None)
+    same = [[rng.choice("abcdefgh") for _ in range(70)] for _ in range(300)]
+    assert kernels._lsum(pa.array([same], kind), pa.array([same[5:]], kind), False)[0].tolist() == [295 * 70]
+
+
+def test_pieces_are_split_as_whole_texts(spark):
+    texts = [
+        "a.b, c &amp; d's x's  y'S 3.5-4 -- (e) . ,x 'tis\tq's\tz 7. .8 <skipped>end-\nof line\n-two &quot;w&quot;.",
+        "Éa. b'S ", "", " ", "it's", ".,.,", "1,2.3, 4-5", "x .y\u0085,z\x1c.w",
+    ]
+    df = pairs(spark, [(t, t) for t in texts])
+    from commitflow.functions import text as tx
+
+    ways = [
+        (tx.prepare_13a(F.col("target"), True), tx.tokenize_13a(F.col("target"), True), tx.split_13a),
+        (tx.prepare_ter(F.col("target")), tx.ter_words(F.col("target")), tx.split_ter),
+        (F.lower("target"), tx.rouge_words(F.col("target")), tx.split_rouge),
+    ]
+    for ready, whole, split in ways:
+        for row in df.select(ready.alias("t"), whole.alias("w")).collect():
+            assert [w for piece in row["t"].split(" ") for w in split(piece)] == row["w"]
+    lines = [("a b\n\nc d e", "c d\na b x"), ("", "a"), ("\n", "b\nb"), ("A-b c", "a b c")]
+    both = pairs(spark, lines).withColumn("split", F.lit("test"))
+    got = textmetrics.text_metrics(both).first()
+    for name, kind in (("rouge1", 1), ("rouge2", 2), ("rougeL", "L"), ("rougeLsum", "Lsum")):
+        assert got[name] == pytest.approx(textmetrics.rouge_rows(both, kind).agg(F.avg("fmeasure")).first()[0])
