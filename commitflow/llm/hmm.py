@@ -92,6 +92,9 @@ def _pieces(docs: DataFrame, mod: int, held_out: int) -> DataFrame:
                 words.cast(pa.string()), pa.array(rank.astype(np.int64)), pa.array(train),
             ]
             yield pa.RecordBatch.from_arrays(columns, names)
+            # Workers are used again by later stages: they give back what the block took.
+            del table, words, code, counts, held, train, order, rank, columns
+            pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(of, "block long, doc_id long, held_out boolean, codes binary, word string, code long, n long")
 
