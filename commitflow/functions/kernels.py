@@ -18,6 +18,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .porter import stem
+from .text import BLANK_CHARS, Split
 
 # Limits in the definition of the edit rate.
 MAX_SHIFT_SIZE, MAX_SHIFT_DISTANCE, MAX_SHIFT_TRIALS = 10, 50, 1000
@@ -25,15 +26,15 @@ MAX_SHIFT_SIZE, MAX_SHIFT_DISTANCE, MAX_SHIFT_TRIALS = 10, 50, 1000
 METEOR_ALPHA, METEOR_BETA, METEOR_GAMMA = 0.9, 3.0, 0.5
 
 
+_BLANK = np.zeros(0x3002, bool)
+_BLANK[[ord(c) for c in BLANK_CHARS]] = True
+
 # Units counted at a time: their hash tables fit a core's cache.
 UNITS_PER_CHUNK = 1 << 16
 # Characters of texts that are split at a time.
 TEXT_PER_CHUNK = 1 << 19
 
 
-Splitter = Callable[[str], Sequence[str]]
-
-
 def _flat(parts: list[pa.Array]) -> pa.Array:
     """The entries of several arrays of lists, end to end."""
     # An empty array from the JVM may lack the buffers that a concatenation reads.
@@ -41,37 +42,66 @@ def _flat(parts: list[pa.Array]) -> pa.Array:
     return pa.concat_arrays(full) if full else pa.array([], parts[0].type.value_type)
 
 
-def _units(parts: list[pa.Array], stemmed: bool, split: Splitter | None = None) -> tuple[np.ndarray, np.ndarray]:
+def _split_units(pieces: pa.Array, split: Split) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """How many units each piece has, their numbers, piece by piece, and the distinct units by number."""
+    plain = pc.match_substring_regex(pieces, split.plain)
+    is_plain = plain.to_numpy(zero_copy_only=False).astype(bool)
+    odd = split.lists(pieces.filter(pc.invert(plain)))
+    units = _flat([odd])
+    full = pc.not_equal(units, "").to_numpy(zero_copy_only=False).astype(bool)
+    owner = np.repeat(np.arange(len(odd)), np.diff(odd.offsets.to_numpy()))[full]
+    counts = np.ones(len(pieces), np.int64)
+    counts[~is_plain] = np.bincount(owner, minlength=len(odd))
+    whole = pieces.filter(plain)
+    coded = pa.concat_arrays([whole, units.filter(pa.array(full)).cast(pieces.type)]).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    numbers = np.empty(len(code), np.int64)
+    at_plain = np.repeat(is_plain, counts)
+    numbers[at_plain], numbers[~at_plain] = code[: len(whole)], code[len(whole) :]
+    return counts, numbers, coded.dictionary
+
+
+def _coded(parts: list[pa.Array], split: Split | None) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Lengths of token lists, the number of every token, and the distinct tokens; with ``split`` the lists hold pieces."""
+    sizes = np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts]).astype(np.int64)
+    coded = _flat(parts).dictionary_encode()
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if split is None:
+        return sizes, code, coded.dictionary
+    counts, numbers, words = _split_units(coded.dictionary, split)
+    each = counts[code]
+    lengths = np.bincount(np.repeat(np.arange(len(sizes)), sizes), each, len(sizes)).astype(np.int64)
+    piece, place = _places(each)
+    return lengths, numbers[(np.cumsum(counts) - counts)[code][piece] + place], words
+
+
+def _units(
+    parts: list[pa.Array], stemmed: bool, split: Split | None = None, blanks: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
     """Sequence lengths, and one number per unit such that equal units have equal numbers.
 
-    A part is an array of token lists, or of texts (then characters are the units). With ``split`` the lists hold
+    A part is an array of token lists, or of texts (then characters are the units, without ``blanks`` those that are
+    none). With ``split`` the lists hold
     pieces, each distinct one of which is split into its units once.
     """
-    if split is not None:
-        sizes = np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts])
-        coded = _flat(parts).dictionary_encode()
-        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        found = [split(w) for w in coded.dictionary.to_pylist()]
-        counts = np.array([len(x) for x in found], dtype=np.int64)
-        numbers = pd.factorize(np.array([w for x in found for w in x], dtype=object))[0].astype(np.int64)
-        piece, place = _places(counts[code])
-        lengths = np.bincount(np.repeat(np.arange(len(sizes)), sizes), counts[code], len(sizes))
-        return lengths.astype(np.int64), numbers[(np.cumsum(counts) - counts)[code][piece] + place]
-    if pa.types.is_list(parts[0].type):
-        lengths = np.concatenate([np.diff(p.offsets.to_numpy()) for p in parts])
-        coded = _flat(parts).dictionary_encode()
-        numbers = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if split is not None or pa.types.is_list(parts[0].type):
+        lengths, numbers, words = _coded(parts, split)
         if stemmed:
-            stems = [stem(w) if len(w) > 3 else w for w in coded.dictionary.to_pylist()]
+            stems = [stem(w) if len(w) > 3 else w for w in words.to_pylist()]
             numbers = pd.factorize(np.array(stems, dtype=object))[0][numbers].astype(np.int64)
-        return lengths.astype(np.int64), numbers
+        return lengths, numbers
     texts = [t for p in parts for t in p.to_pylist()]
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    return lengths, np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    units = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    if not blanks:
+        kept = ~_BLANK[np.minimum(units, len(_BLANK) - 1)]
+        ends = np.concatenate([[0], np.cumsum(kept)])[np.cumsum(lengths)]
+        lengths, units = np.diff(ends, prepend=0), units[kept]
+    return lengths, units.astype(np.int64)
 
 
 def clipped_counts(
-    pred: pa.Array, refs: pa.Array, max_n: int, stemmed: bool = False, split: Splitter | None = None
+    pred: pa.Array, refs: pa.Array, max_n: int, stemmed: bool = False, split: Split | None = None, blanks: bool = True
 ) -> np.ndarray:
     """Per row: matches, prediction n-grams and reference n-grams of every order, and both lengths.
 
@@ -79,7 +109,62 @@ def clipped_counts(
     ``n - 1`` units with the last one; counting is then integer work over all rows at once.
     """
     n_refs = np.diff(refs.offsets.to_numpy()).astype(np.int64)
-    return _clipped(*_units([pred, refs.flatten()], stemmed, split), n_refs, max_n)
+    return _clipped(*_units([pred, refs.flatten()], stemmed, split, blanks), n_refs, max_n)
+
+
+def _codes_in_row(row: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Numbers of units that are unique within their row only, from 0."""
+    keys = row * (int(codes.max()) + 1) + codes
+    order = np.argsort(keys)
+    ids = np.concatenate([[0], np.cumsum(np.diff(keys[order]) != 0)])
+    rows = row[order]
+    first = np.concatenate([[True], np.diff(rows) != 0])
+    out = np.empty(len(codes), np.int64)
+    out[order] = ids - ids[first][np.cumsum(first) - 1]
+    return out
+
+
+def _matches(lengths: np.ndarray, units: np.ndarray, n_rows: int, max_n: int) -> np.ndarray | None:
+    """Clipped matches of every order against one reference a row; null where an n-gram fits no machine word.
+
+    A number holds the row, ``max_n`` units (0: behind the end) and the side. Sorted once, the n-grams of every
+    order stand side by side.
+    """
+    row = np.repeat(np.tile(np.arange(n_rows), 2), lengths)
+    free = 62 - n_rows.bit_length()
+    codes = pd.factorize(units)[0].astype(np.int64)
+    bits = (int(codes.max()) + 1).bit_length()
+    if bits * max_n > free:
+        codes = _codes_in_row(row, codes)
+        bits = (int(codes.max()) + 1).bit_length()
+        if bits * max_n > free:
+            return None
+    # Every sequence is followed by as many zeros as an n-gram may reach behind its end.
+    at = np.arange(len(units)) + np.repeat(np.arange(2 * n_rows) * (max_n - 1), lengths)
+    spread = np.zeros(len(units) + (2 * n_rows + 1) * (max_n - 1), np.int64)
+    spread[at] = codes + 1
+    size = len(spread) - max_n + 1
+    grams = spread[:size].copy()
+    for k in range(1, max_n):
+        grams <<= bits
+        grams |= spread[k : size + k]
+    keys = (((row << (bits * max_n)) | grams[at]) << 1) | (np.arange(len(units)) >= lengths[:n_rows].sum())
+    keys.sort()
+    wanted = np.concatenate([[0], np.cumsum(keys & 1)])
+    keys >>= 1
+    apart = keys[1:] ^ keys[:-1]
+    out = np.zeros((n_rows, max_n), np.int64)
+    for n in range(1, max_n + 1):
+        shift = bits * (max_n - n)
+        starts = np.concatenate([[0], np.flatnonzero(apart >> shift) + 1])
+        ends = np.append(starts[1:], len(keys))
+        want = wanted[ends] - wanted[starts]
+        both = np.minimum(want, ends - starts - want)
+        some = np.flatnonzero(both)
+        gram = keys[starts[some]] >> shift
+        some, gram = some[(whole := gram & ((1 << bits) - 1) > 0)], gram[whole]
+        out[:, n - 1] = np.bincount(gram >> (bits * n), both[some], n_rows)
+    return out
 
 
 def _clipped(lengths: np.ndarray, units: np.ndarray, n_refs: np.ndarray, max_n: int) -> np.ndarray:
@@ -97,6 +182,14 @@ def _clipped(lengths: np.ndarray, units: np.ndarray, n_refs: np.ndarray, max_n:
     out[ref_row[order], -1] = lengths[n_rows:][order]
     if not len(units):
         return out
+    if (n_refs == 1).all():
+        matches = _matches(lengths, units, n_rows, max_n)
+        if matches is not None:
+            orders = np.arange(max_n)
+            out[:, :max_n] = matches
+            out[:, max_n : 2 * max_n] = np.maximum(lengths[:n_rows, None] - orders, 0)
+            out[:, 2 * max_n : 3 * max_n] = np.maximum(lengths[n_rows:, None] - orders, 0)
+            return out
     row_of, side_of = np.repeat(seq_row, lengths), np.repeat(seq_side, lengths)
     ends = np.repeat(np.cumsum(lengths), lengths)
     single = pd.factorize(row_of * (int(units.max()) + 1) + units)[0].astype(np.int64)
@@ -146,12 +239,12 @@ def _pieces(texts: pa.Array) -> pa.Array:
 
 
 def ngram_counts(
-    pred: Column, refs: Column, max_n: int, stemmed: bool = False, split: Splitter | None = None
+    pred: Column, refs: Column, max_n: int, stemmed: bool = False, split: Split | None = None, blanks: bool = True
 ) -> Column:
     """Clipped n-gram matches against an array of references.
 
-    ``pred`` is a token array or a text (then characters are the units), ``refs`` an array of these. With ``split``
-    the units are what it makes of a text's pieces between blanks.
+    ``pred`` is a token array or a text (then characters are the units, blanks too or not), ``refs`` an array of these.
+    With ``split`` the units are what it makes of a text's pieces between blanks.
     Fields: ``match_i``, ``pred_i``, ``ref_i`` per order, ``pred_len`` and ``ref_len`` (of the
     reference nearest in length).
     """
@@ -163,7 +256,7 @@ def ngram_counts(
             starts = pa.array(references.offsets.to_numpy() - references.offsets[0].as_py(), pa.int32())
             preds, references = _pieces(preds), pa.ListArray.from_arrays(starts, _pieces(references.flatten()))
         parts = [
-            clipped_counts(preds.slice(a, b - a), references.slice(a, b - a), max_n, stemmed, split)
+            clipped_counts(preds.slice(a, b - a), references.slice(a, b - a), max_n, stemmed, split, blanks)
             for a, b in _row_ranges(preds, references)
         ]
         table = np.concatenate(parts) if parts else np.zeros((0, len(names)), dtype=np.int64)
@@ -218,7 +311,7 @@ def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _both_sides(
-    left: pa.Array, right: pa.Array, stemmed: bool = False, split: Splitter | None = None
+    left: pa.Array, right: pa.Array, stemmed: bool = False, split: Split | None = None
 ) -> tuple[Sequences, Sequences]:
     sizes, codes = _units([left, right], stemmed, split)
     starts, n = np.cumsum(sizes) - sizes, len(left)
@@ -350,14 +443,18 @@ def _pairs(
     return apply
 
 
-def lcs_counts(pred: Column, ref: Column, stemmed: bool = False) -> Column:
-    """``hits``, ``pred_len``, ``ref_len`` of the longest common subsequence."""
+def lcs_counts(pred: Column, ref: Column, stemmed: bool = False, split: Split | None = None) -> Column:
+    """``hits``, ``pred_len``, ``ref_len`` of the longest common subsequence.
+
+    Both sides are token arrays; with ``split`` texts, whose words are what it makes of their pieces between blanks.
+    """
 
     def kernel(preds, refs):
-        a, b = _both_sides(preds, refs, stemmed)
+        a, b = _both_sides(preds, refs, stemmed, split)
         return _lcs_lengths(a, b), a.sizes, b.sizes
 
-    return _pairs(kernel, ["hits", "pred_len", "ref_len"])(pred, ref)
+    lists = _pieces if split is not None else lambda x: x
+    return _pairs(kernel, ["hits", "pred_len", "ref_len"], lists)(pred, ref)
 
 
 def _lcs_positions(ref: list, pred: list) -> set[int]:
@@ -532,7 +629,7 @@ def lsum_counts(pred: Column, ref: Column, stemmed: bool = False) -> Column:
     return _pairs(kernel, ["hits", "pred_len", "ref_len"])(pred, ref)
 
 
-def rouge_counts(pred: Column, ref: Column, split: Splitter) -> Column:
+def rouge_counts(pred: Column, ref: Column, split: Split) -> Column:
     """Counts of ROUGE-1, -2, -L and -Lsum over two texts from one read; sentences are lines.
 
     ``match_i``, ``pred_i`` and ``ref_i`` as in ``ngram_counts``, then ``lcs`` and ``lsum`` hits, ``pred_len`` and
@@ -660,8 +757,8 @@ def _moved(words: list, start: int, size: int, to: int) -> list:
     return rest[:at] + block + rest[at:]
 
 
-def _best_move(hyp: list, states: list, steps: EditSteps, tried: set[tuple[int, int, int]], most: int) -> list | None:
-    """The words after the move that saves most edits; of equals the longest, then the first block. None saves none: null.
+def _best_move(hyp: list, states: list, steps: EditSteps, tried: set[tuple[int, int, int]], most: int) -> tuple[list | None, int]:
+    """The words after the move that saves most edits, null if none does, and how many; of equals the longest, then the first block.
 
     A move saves at most ``most`` edits, and at most two a word of the block.
     """
@@ -681,7 +778,7 @@ def _best_move(hyp: list, states: list, steps: EditSteps, tried: set[tuple[int,
         rank = (score - state[2], size, -h, -to)
         if rank[0] > 0 and rank > best:
             best, found = rank, words
-    return found
+    return found, best[0]
 
 
 def edit_rate(hyp: list, ref: list) -> tuple[int, int]:
@@ -717,10 +814,12 @@ def edit_rate(hyp: list, ref: list) -> tuple[int, int]:
             # With too many trials no move of this round counts.
             if trials >= MAX_SHIFT_TRIALS:
                 return shifts + score, len(ref)
-        best = _best_move(hyp, states, steps, tried, score - least)
+        best, saved = _best_move(hyp, states, steps, tried, score - least)
         if best is None:
             return shifts + score, len(ref)
         shifts += 1
+        if score - saved == least:
+            return shifts + least, len(ref)
         hyp = best
 
 
@@ -752,7 +851,7 @@ def _matching_blocks(hyp: list, ref: list, places: dict, hyp_wrong: list[bool],
                     yield h, r, size
 
 
-def edit_counts(pred: Column, ref: Column, split: Splitter) -> Column:
+def edit_counts(pred: Column, ref: Column, split: Split) -> Column:
     """``edits`` and ``ref_len`` of the edit rate; words are what ``split`` makes of a text's pieces between blanks."""
 
     def kernel(preds, refs):
@@ -825,20 +924,23 @@ def _matched_from_end(
     return out[0], out[1]
 
 
-def _meteor_scores(preds: pa.Array, refs: pa.Array) -> np.ndarray:
-    """``meteor_score`` of all rows, without synonyms."""
+def _meteor_scores(preds: pa.Array, refs: pa.Array, split: Split | None = None) -> np.ndarray:
+    """``meteor_score`` of all rows of token lists (with ``split`` of lists of pieces), without synonyms."""
     n = len(preds)
-    n_hyp, n_ref = (np.diff(x.offsets.to_numpy()).astype(np.int64) for x in (preds, refs))
-    coded = _flat([preds, refs]).dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    stems = pd.factorize(np.array([stem(w) for w in coded.dictionary.to_pylist()], dtype=object))[0].astype(np.int64)
+    sizes, codes, words = _coded([preds, refs], split)
+    n_hyp, n_ref = sizes[:n], sizes[n:]
     (row_h, at_h), (row_r, at_r) = _places(n_hyp), _places(n_ref)
     code_h, code_r = codes[: len(row_h)], codes[len(row_h) :]
     h, r = _matched_from_end(row_h, code_h, row_r, code_r)
     left_h, left_r = np.ones(len(row_h), bool), np.ones(len(row_r), bool)
     left_h[h], left_r[r] = False, False
-    left_h, left_r = np.flatnonzero(left_h), np.flatnonzero(left_r)
-    more_h, more_r = _matched_from_end(row_h[left_h], stems[code_h[left_h]], row_r[left_r], stems[code_r[left_r]])
+    # Stems can match only in rows that have words left on both sides.
+    open_rows = (np.bincount(row_h[left_h], minlength=n) > 0) & (np.bincount(row_r[left_r], minlength=n) > 0)
+    left_h, left_r = np.flatnonzero(left_h & open_rows[row_h]), np.flatnonzero(left_r & open_rows[row_r])
+    used, code = np.unique(np.concatenate([code_h[left_h], code_r[left_r]]), return_inverse=True)
+    found = [stem(w) for w in words.take(pa.array(used)).to_pylist()]
+    stems = pd.factorize(np.array(found, dtype=object))[0].astype(np.int64)[code]
+    more_h, more_r = _matched_from_end(row_h[left_h], stems[: len(left_h)], row_r[left_r], stems[len(left_h) :])
     h, r = np.concatenate([h, left_h[more_h]]), np.concatenate([r, left_r[more_r]])
     order = np.argsort(h)
     h, r = h[order], r[order]
@@ -854,11 +956,16 @@ def _meteor_scores(preds: pa.Array, refs: pa.Array) -> np.ndarray:
     return out
 
 
-def meteor(pred: Column, ref: Column, synonyms: dict[str, set[str]] | None = None) -> Column:
+def meteor(
+    pred: Column, ref: Column, synonyms: dict[str, set[str]] | None = None, split: Split | None = None
+) -> Column:
+    """``meteor_score`` of token arrays, or, without synonyms, of texts: then tokens are what ``split`` makes of them."""
+
     @F.arrow_udf("double")
     def score(preds: pa.Array, refs: pa.Array) -> pa.Array:
         if not synonyms:
-            parts = [_meteor_scores(a, b) for a, b in _list_ranges(preds, refs)]
+            lists = (preds, refs) if split is None else (_pieces(preds), _pieces(refs))
+            parts = [_meteor_scores(a, b, split) for a, b in _list_ranges(*lists)]
             return pa.array(np.concatenate([np.zeros(0), *parts]), pa.float64())
         rows = zip(preds.to_pylist(), refs.to_pylist())
         return pa.array([meteor_score(p, r, synonyms) for p, r in rows], pa.float64())

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
-from functools import lru_cache
+from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -139,29 +140,37 @@ def ter_words(c: Column) -> Column:
     return words(F.regexp_replace(t, TER_PUNCT, ""))
 
 
-def _split_piece(piece: str, rules: tuple[tuple[str, str], ...], drop: str | None) -> tuple[str, ...]:
-    t = f" {piece} "
-    for pattern, target in rules:
-        t = re.sub(pattern, target.replace("$", "\\"), t)
-    return tuple((re.sub(drop, "", t) if drop else t).split())
+@dataclass(frozen=True)
+class Split:
+    """The units of a piece between two blanks of a prepared text, by replacements that no blank takes part in.
 
+    Pieces that match ``plain`` are units themselves.
+    """
 
-@lru_cache(1 << 16)
-def split_13a(piece: str) -> tuple[str, ...]:
-    """``tokenize_13a`` of a piece between two blanks of a prepared text: no rule looks past a blank."""
-    return _split_piece(piece, SPLIT_13A, None)
+    plain: str
+    rules: tuple[tuple[str, str], ...]
 
+    def lists(self, pieces: pa.Array) -> pa.Array:
+        """The units of every piece; some of them may be empty."""
+        t = pc.binary_join_element_wise("", pieces, "", " ")
+        for pattern, target in self.rules:
+            t = pc.replace_substring_regex(t, pattern, target.replace("$", "\\"))
+        return pc.split_pattern(t, " ")
 
-@lru_cache(1 << 16)
-def split_ter(piece: str) -> tuple[str, ...]:
-    """``ter_words`` of a piece between two blanks of a prepared text."""
-    return _split_piece(piece, SPLIT_TER, TER_PUNCT)
+    def __call__(self, piece: str) -> tuple[str, ...]:
+        return tuple(w for w in self.lists(pa.array([piece])).to_pylist()[0] if w)
 
 
-@lru_cache(1 << 16)
-def split_rouge(piece: str) -> tuple[str, ...]:
-    """``rouge_words`` of a piece between two blanks of a lower-cased text."""
-    return tuple(re.findall("[a-z0-9]+", piece))
+# Fixed value: the blanks of ``BLANK_CHARS`` as a rule.
+_BLANKS = ("[" + "".join(rf"\x{{{ord(c):x}}}" for c in BLANK_CHARS) + "]", " ")
+_LETTERS = r"^[\pL\pN]+$"
+
+# ``tokenize_13a``, ``ter_words`` and ``rouge_words`` of a piece: no rule looks past a blank.
+split_13a = Split(_LETTERS, (*SPLIT_13A, _BLANKS))
+split_ter = Split(_LETTERS, (*SPLIT_TER, (TER_PUNCT, ""), _BLANKS))
+split_rouge = Split("^[a-z0-9]+$", (("[^a-z0-9]", " "),))
+# Word runs and single other characters.
+split_meteor = Split(r"^[\pL\pN_]+$", ((r"([^\pL\pN_])", " $1 "), (r"[\t\n\x0b\f\r]", " ")))
 
 
 def ascii_punct_end(c: Column) -> Column:

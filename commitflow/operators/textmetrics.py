@@ -201,7 +201,7 @@ def _rouge_rows(
 
 
 def _ngram_hits(pred: Column, ref: Column, n: int, stem: bool) -> Column:
-    c = kernels.ngram_counts(pred, F.array(ref), n, stem)
+    c = kernels.ngram_counts(pred, F.array(ref), n, stem, tx.split_rouge)
     return F.struct(
         c[f"match_{n - 1}"].alias("hits"),
         c[f"pred_{n - 1}"].alias("pred_len"),
@@ -228,9 +228,9 @@ def rouge_rows(
                 F.filter(F.split(c, "\n"), lambda s: F.trim(s) != ""), tx.rouge_words
             )
             return kernels.lsum_counts(lines(p), lines(r), stem)
-        p, r = tx.rouge_words(p), tx.rouge_words(r)
+        p, r = F.lower(p), F.lower(r)
         if kind == "L":
-            return kernels.lcs_counts(p, r, stem)
+            return kernels.lcs_counts(p, r, stem, tx.split_rouge)
         return _ngram_hits(p, r, int(kind), stem)
 
     return _rouge_rows(df, target, score, accumulate, id_cols, by)
@@ -259,10 +259,7 @@ def rouge_lsum(df: DataFrame, by: Sequence[str] = (), **kw) -> DataFrame:
 
 
 def _chrf_counts(df: DataFrame, pred: str, target: str, order: int) -> Column:
-    squeeze = lambda c: F.array_join(tx.words(c), "")
-    return kernels.ngram_counts(
-        squeeze(_text(df, pred)), _references(df, target, squeeze), order
-    )
+    return kernels.ngram_counts(_text(df, pred), _references(df, target, lambda c: c), order, blanks=False)
 
 
 def _chrf(counts: list[tuple[Column, Column, Column]], beta: float) -> Column:
@@ -354,7 +351,7 @@ def ter(
 
 
 def _meteor_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"), F.lit(0))
 
 
 def meteor(
@@ -367,12 +364,15 @@ def meteor(
     name: str = "meteor",
 ) -> DataFrame:
     """Per row, or the mean over rows. ``synonyms`` is a small parameter; none ships."""
-    scored = df.withColumn(
-        name,
-        kernels.meteor(
-            _meteor_tokens(_text(df, pred)), _meteor_tokens(_text(df, target)), synonyms
-        ),
-    )
+    sides = F.lower(_text(df, pred)), F.lower(_text(df, target))
+    if synonyms:
+        score = kernels.meteor(*(_meteor_tokens(c) for c in sides), synonyms)
+    else:
+        # Spark and Arrow know the same letters up to here; other texts reach the kernel as tokens between blanks.
+        other = lambda c: c.rlike(r"[^\x00-\x{52f}]")
+        ready = (F.when(other(c), F.array_join(_meteor_tokens(c), " ")).otherwise(c) for c in sides)
+        score = kernels.meteor(*ready, split=tx.split_meteor)
+    scored = df.withColumn(name, score)
     return scored if level == "row" else scored.groupBy(*by).agg(F.avg(name).alias(name))
 
 

@@ -59,7 +59,7 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per sentence of every document, with the outputs of two pretended models."""
-    w = F.filter(F.split("sentence", " "), lambda x: x != "")
+    w = F.array_remove(F.split("sentence", " "), "")
     sentences = (
         spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
         .select("doc_id", "lang", F.posexplode(F.split("text", "[.\n]+")).alias("pos", "sentence"))

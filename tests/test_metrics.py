@@ -368,3 +368,48 @@ def test_pieces_are_split_as_whole_texts(spark):
     got = textmetrics.text_metrics(both).first()
     for name, kind in (("rouge1", 1), ("rouge2", 2), ("rougeL", "L"), ("rougeLsum", "Lsum")):
         assert got[name] == pytest.approx(textmetrics.rouge_rows(both, kind).agg(F.avg("fmeasure")).first()[0])
+
+
+def test_ngrams_share_one_sort_and_common_pieces_are_not_split(monkeypatch):
+    rng = random.Random(4)
+    # Many rows of many words, few long rows, and units behind the end of a row.
+    for n_rows, size, kinds in ((3000, 12, 5000), (3, 3000, 2000), (40, 3, 2), (1, 0, 1)):
+        sides = [[[f"w{rng.randrange(kinds)}" for _ in range(rng.randint(0, size))] for _ in range(n_rows)] for _ in range(2)]
+        left, right = lists(sides[0]), pa.array([[r] for r in sides[1]], pa.list_(pa.list_(pa.string())))
+        want = kernels.clipped_counts(left, right, 4)
+        grams = lambda s, n: Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1))
+        for row, p, t in zip(want.tolist(), *sides):
+            both = [(grams(p, n), grams(t, n)) for n in range(1, 5)]
+            assert row[:4] == [(a & b).total() for a, b in both]
+            assert row[4:] == [*(a.total() for a, _ in both), *(b.total() for _, b in both), len(p), len(t)]
+        # Where no machine word holds an n-gram, each order is numbered alone.
+        with monkeypatch.context() as m:
+            m.setattr(kernels, "_matches", lambda *a: None)
+            assert kernels.clipped_counts(left, right, 4).tolist() == want.tolist()
+    # One number for all orders of an n-gram, and no split of a piece of letters only.
+    from commitflow.functions import text as tx
+
+    seen = []
+    one = kernels._matches
+    monkeypatch.setattr(kernels, "_matches", lambda *a: seen.append(1) or one(*a))
+    plain = tx.Split.lists
+    monkeypatch.setattr(tx.Split, "lists", lambda self, x: seen.extend(x.to_pylist()) or plain(self, x))
+    pieces = pa.array([["ab", "x,y", "ab"]])
+    counts = kernels.clipped_counts(pieces, pa.array([[["ab", "x", ",", "y"]]]), 2, split=tx.split_13a)
+    assert seen.count(1) == 1 and set(seen) == {1, "x,y", ","}
+    assert counts.tolist() == [[4, 3, 5, 4, 4, 3, 5, 4]]
+
+
+def test_texts_are_read_as_the_column_expressions_read_them(spark):
+    from commitflow.functions import text as tx
+
+    odd = "".join(chr(c) for c in range(1, 0x3100))
+    texts = ["a_b \u0870x\u0871 c\u2028d", "It's\tx\x0by\x1cz \U0001f600é1", "", odd, "  two  blanks "]
+    df = pairs(spark, [(t, t + " end") for t in texts])
+    tokens = df.select(*[textmetrics._meteor_tokens(F.lower(c)).alias(c) for c in ("prediction", "target")]).collect()
+    got = textmetrics.meteor(df, level="row").select("meteor").collect()
+    assert [r[0] for r in got] == [kernels.meteor_score(t["prediction"], t["target"]) for t in tokens]
+    squeezed = df.select(*[F.array_join(tx.words(F.col(c)), "").alias(c) for c in ("prediction", "target")])
+    assert textmetrics.chrf(df).first() == textmetrics.chrf(squeezed).first()
+    lengths, _ = kernels._units([pa.array(texts)], False, None, False)
+    assert lengths.tolist() == [len(r[0]) for r in squeezed.select("prediction").collect()]
