@@ -79,6 +79,8 @@ def special_tokens(specials: dict[str, int | None], next_id: int, task: str) ->
     return out
 
 
+# Entries that a worker looks up at a time.
+ENTRIES = 1 << 20
 # A worker's dictionaries by name: built once, then used for every batch.
 _tables: dict[str, dict] = {}
 
@@ -97,10 +99,17 @@ def _lookup_shared(
             _tables.clear()
             _tables[name] = dict(zip(*(c.to_pylist() for c in shared.value)))
         known = _tables[name]
-        coded = arrays.flatten().dictionary_encode()
-        found = pa.array([known.get(k, default) for k in coded.dictionary.to_pylist()], value_type)
-        out = pc.fill_null(pc.take(found, coded.indices), default)
         starts = arrays.offsets.to_numpy() - arrays.offsets[0].as_py()
+        entries, parts = arrays.flatten(), []
+        # Numbers of the entries are held of a part only.
+        for at in range(0, max(len(entries), 1), ENTRIES):
+            coded = entries.slice(at, ENTRIES).dictionary_encode()
+            found = pa.array([known.get(k, default) for k in coded.dictionary.to_pylist()], value_type)
+            parts.append(pc.fill_null(pc.take(found, coded.indices), default))
+        out = pa.concat_arrays(parts)
+        del entries, parts, coded, found
+        # Workers are used again by later batches and stages: they give back what this one took.
+        pa.default_memory_pool().release_unused()
         return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), out)
 
     looked = look(F.coalesce(F.col(array_col), F.array()))

@@ -206,3 +206,24 @@ def test_byte_pairs_query_takes_diffs_and_messages(spark, monkeypatch):
         for ids, text in ((found[r.doc_id].input_ids, r.diff), (found[r.doc_id].target_ids, r.message)):
             want = [1, *(b + 5 for b in text.encode()), 2] + [0] * 100
             assert [int(x) for x in ids.split(",")] == want[:100]
+
+
+def test_lookups_hold_a_part_of_a_batch(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["a", "b", None, "x", "a"]), (2, []), (3, None), (4, ["b"] * 7)], "k int, w array<string>")
+    table = spark.createDataFrame([("a", 7), ("b", 8)], "word string, id int")
+    sizes = []
+    made = F.arrow_udf
+    # The function itself, as a worker calls it.
+    monkeypatch.setattr(F, "arrow_udf", lambda kind: lambda f: sizes.append(f) or made(kind)(f))
+    sequences.encode(df, "w", table)
+    look = sizes.pop()
+    monkeypatch.setattr(sequences, "ENTRIES", 4)
+    taken = []
+    take = sequences.pc.take
+    monkeypatch.setattr(sequences.pc, "take", lambda a, b: taken.append(len(b)) or take(a, b))
+    import pyarrow as pa
+
+    rows = [["a", "b", None, "x", "a"], [], ["b"] * 7]
+    got = look(pa.array([["no"], *rows], pa.list_(pa.string())).slice(1))
+    assert got.to_pylist() == [[7, 8, 4, 4, 7], [], [8] * 7] and taken == [4, 4, 4]
+    assert look(pa.array([[]], pa.list_(pa.string()))).to_pylist() == [[]]
