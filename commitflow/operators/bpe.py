@@ -386,4 +386,5 @@ def encode_fixed(
 
         return words.map(row)
 
-    return df.withColumn(name, encode(pre_words(F.col(col))))
+    # A word has one id at least: words behind the cut do not leave the JVM.
+    return df.withColumn(name, encode(F.slice(pre_words(F.col(col)), 1, max(length, 1))))

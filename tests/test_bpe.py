@@ -76,3 +76,12 @@ def test_changes_follow_the_words():
             for x, y in zip(s, s[1:]):
                 recount[(x << 32) | y] += n
         assert {c: n for c, n in counts.items() if n} == recount
+
+
+def test_words_behind_the_cut_stay_in_the_jvm(spark):
+    df = spark.createDataFrame([("ab ab ab ab ab",), ("",), (None,), ("ab",)], "t string")
+    vocab = {t: i for i, t in enumerate([*bpe.SPECIAL_TOKENS, "61", "62", "20", "6162", "206162"])}
+    merges = [("61", "62"), ("20", "6162")]
+    out = bpe.encode_fixed(df.where("t is not null"), "t", vocab, merges, 4)
+    assert "slice(" in out._jdf.queryExecution().analyzed().toString()
+    assert [r.input_ids for r in out.collect()] == [[1, 8, 9, 9], [1, 2, 0, 0], [1, 8, 2, 0]]
