@@ -38,17 +38,29 @@ STATES, OWN, ENDINGS, ENDING = 6, 4096, 2048, 3
 SLICES, PASSES, SEGMENT = 6, 2, 256
 #: Characters whose distinct words are looked up together; segments walked together.
 BLOCK, TOGETHER = 32 << 20, 2048
+#: Bytes of a block whose words are split at a time; rows of words that leave a task at a time.
+SPLIT, ROWS = 2 << 20, 1 << 15
 #: Pseudo-counts of a state's emissions (shared by the symbols' frequencies) and transitions.
 PRIOR, STICKY = 50.0, 10.0
 
 
 def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words of the texts, the number of each word in order, and each text's words."""
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
-    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
-    del lists
-    words, code = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    edges = [0, *(np.flatnonzero(np.diff(size // SPLIT)) + 1).tolist(), len(texts)]
+    sizes, coded = [], []
+    # Single words are held of a part only: beside them a block keeps a number a word.
+    for a, b in zip(edges, edges[1:]):
+        # Arrow lowers a slice wrongly once it is cast.
+        part = pc.ascii_lower(pc.fill_null(texts.slice(a, b - a), "")).cast(pa.large_string())
+        lists = pc.ascii_split_whitespace(part)
+        sizes.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        coded.append(lists.flatten().dictionary_encode())
+        del part, lists
+    found = pa.chunked_array(coded).unify_dictionaries()
+    counts, words = np.concatenate(sizes), found.chunk(0).dictionary
+    code = np.concatenate([c.indices.to_numpy(zero_copy_only=False) for c in found.chunks])
+    del coded, found
     # A blank at either end of a text leaves an empty piece; pieces are dropped by number, not copied.
     empty = pc.index(words, "").as_py()
     if empty >= 0:
@@ -91,9 +103,11 @@ def _pieces(docs: DataFrame, mod: int, held_out: int) -> DataFrame:
                 pa.array(np.full(m, part + k)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.bool_()), pa.nulls(m, pa.binary()),
                 words.cast(pa.string()), pa.array(rank.astype(np.int64)), pa.array(train),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            found = pa.RecordBatch.from_arrays(columns, names)
+            for at in range(0, m, ROWS):
+                yield found.slice(at, ROWS)
             # Workers are used again by later stages: they give back what the block took.
-            del table, words, code, counts, held, train, order, rank, columns
+            del table, words, code, counts, held, train, order, rank, columns, found
             pa.default_memory_pool().release_unused()
 
     return kept.mapInArrow(of, "block long, doc_id long, held_out boolean, codes binary, word string, code long, n long")

@@ -115,3 +115,27 @@ def test_the_model_beats_the_base_on_held_out_documents(spark):
     tokens, score, base = (sum(r[i] for r in held) for i in range(3))
     assert len(held) > 10 and score / tokens > base / tokens + 0.1
     assert sum(r.score > r.base_score for r in held) >= 0.9 * len(held)
+
+
+def test_words_of_a_block_are_split_a_part_at_a_time(monkeypatch):
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    from commitflow.llm import hmm
+
+    texts = pa.array(["A b  a", None, " c b ", "", "d" * 50 + " a", "b e"])
+    whole = hmm._words(texts)
+    sizes = []
+    split = pc.ascii_split_whitespace
+    monkeypatch.setattr(hmm, "SPLIT", 8)
+    monkeypatch.setattr(hmm.pc, "ascii_split_whitespace", lambda x: sizes.append(len(x)) or split(x))
+    words, code, counts = hmm._words(texts)
+    assert max(sizes) < len(texts) and sum(sizes) == len(texts)
+    assert words.equals(whole[0]) and code.tolist() == whole[1].tolist() and counts.tolist() == whole[2].tolist()
+    assert [words[c].as_py() for c in code.tolist()] == ["a", "b", "a", "c", "b", "d" * 50, "a", "b", "e"]
+    assert counts.tolist() == [3, 0, 2, 0, 2, 2]
+    assert [len(x) for x in hmm._words(pa.array([], pa.string()))] == [0, 0, 0]
+    # Rows of a slice are those of a copy.
+    rows = [f"Ab C{k} \u00e9 x{k % 7}" for k in range(1000)]
+    cut, copy = hmm._words(pa.array(rows).slice(900)), hmm._words(pa.array(rows[900:]))
+    assert cut[0].equals(copy[0]) and cut[1].tolist() == copy[1].tolist() and cut[2].tolist() == copy[2].tolist()
