@@ -90,16 +90,26 @@ def _units(
             stems = [stem(w) if len(w) > 3 else w for w in words.to_pylist()]
             numbers = pd.factorize(np.array(stems, dtype=object))[0][numbers].astype(np.int64)
         return lengths, numbers
-    texts = [t for p in parts for t in p.to_pylist()]
-    lengths = np.array([len(t) for t in texts], dtype=np.int64)
-    units = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    lengths, units = _code_points(parts)
     if not blanks:
-        kept = ~_BLANK[np.minimum(units, len(_BLANK) - 1)]
+        kept = ~_BLANK[units if units.itemsize == 1 else np.minimum(units, len(_BLANK) - 1)]
         ends = np.concatenate([[0], np.cumsum(kept)])[np.cumsum(lengths)]
         lengths, units = np.diff(ends, prepend=0), units[kept]
     return lengths, units.astype(np.int64)
 
 
+def _code_points(parts: list[pa.Array]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of texts in characters, and all their characters end to end."""
+    lengths = [pc.utf8_length(p).to_numpy(zero_copy_only=False).astype(np.int64) for p in parts]
+    ends = [pa.array([0, len(p)], pa.int32()) for p in parts]
+    joined = [pc.binary_join(pa.ListArray.from_arrays(e, p), "")[0].as_py().encode() for e, p in zip(ends, parts)]
+    data = b"".join(joined)
+    sizes = np.concatenate(lengths)
+    if len(data) == sizes.sum():
+        return sizes, np.frombuffer(data, np.uint8)
+    return sizes, np.frombuffer(data.decode().encode("utf-32-le"), np.uint32)
+
+
 def clipped_counts(
     pred: pa.Array, refs: pa.Array, max_n: int, stemmed: bool = False, split: Split | None = None, blanks: bool = True
 ) -> np.ndarray:
@@ -132,7 +142,7 @@ def _matches(lengths: np.ndarray, units: np.ndarray, n_rows: int, max_n: int) ->
     """
     row = np.repeat(np.tile(np.arange(n_rows), 2), lengths)
     free = 62 - n_rows.bit_length()
-    codes = pd.factorize(units)[0].astype(np.int64)
+    codes = _without_gaps(units)
     bits = (int(codes.max()) + 1).bit_length()
     if bits * max_n > free:
         codes = _codes_in_row(row, codes)
@@ -148,25 +158,60 @@ def _matches(lengths: np.ndarray, units: np.ndarray, n_rows: int, max_n: int) ->
     for k in range(1, max_n):
         grams <<= bits
         grams |= spread[k : size + k]
-    keys = (((row << (bits * max_n)) | grams[at]) << 1) | (np.arange(len(units)) >= lengths[:n_rows].sum())
+    row <<= bits * max_n
+    keys = grams[at]
+    keys |= row
+    keys <<= 1
+    keys[lengths[:n_rows].sum() :] |= 1
     keys.sort()
-    wanted = np.concatenate([[0], np.cumsum(keys & 1)])
+    # Where an entry begins, and how many of the reference's n-grams stand before it; both with the end.
+    begins, wanted = np.arange(len(keys) + 1), np.zeros(len(keys) + 1, np.int64)
+    np.cumsum(keys & 1, out=wanted[1:])
     keys >>= 1
-    apart = keys[1:] ^ keys[:-1]
+    bounds = np.arange(n_rows + 1) << (bits * max_n)
+    last = (1 << bits) - 1
     out = np.zeros((n_rows, max_n), np.int64)
-    for n in range(1, max_n + 1):
+    # From the longest n-grams on: an order's entries are runs of those of the order above.
+    for n in range(max_n, 0, -1):
         shift = bits * (max_n - n)
-        starts = np.concatenate([[0], np.flatnonzero(apart >> shift) + 1])
-        ends = np.append(starts[1:], len(keys))
-        want = wanted[ends] - wanted[starts]
-        both = np.minimum(want, ends - starts - want)
-        some = np.flatnonzero(both)
-        gram = keys[starts[some]] >> shift
-        some, gram = some[(whole := gram & ((1 << bits) - 1) > 0)], gram[whole]
-        out[:, n - 1] = np.bincount(gram >> (bits * n), both[some], n_rows)
+        apart = keys[1:] ^ keys[:-1]
+        starts = np.flatnonzero(np.concatenate([[True], apart >= (1 << shift), [True]]))
+        begins, wanted, keys = begins[starts], wanted[starts], keys[starts[:-1]]
+        want = np.diff(wanted)
+        both = np.minimum(want, np.diff(begins) - want)
+        both[(keys >> shift) & last == 0] = 0
+        sums = np.concatenate([[0], np.cumsum(both)])
+        out[:, n - 1] = np.diff(sums[np.searchsorted(keys, bounds)])
     return out
 
 
+def _without_ends(
+    lengths: np.ndarray, units: np.ndarray, n_rows: int, context: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and units of both sides without what they begin and end with alike, but for ``context`` units of it.
+
+    N-grams of at most one unit more that lie in what is left out are the same ones on both sides, so each is a match.
+    """
+    starts = np.cumsum(lengths) - lengths
+    a = Sequences(units, starts[:n_rows], lengths[:n_rows])
+    b = Sequences(units, starts[n_rows:], lengths[n_rows:])
+    inner, _, same = _trimmed(a, b)
+    front = inner.starts - a.starts
+    skip, back = np.maximum(front - context, 0), np.maximum(same - front - context, 0)
+    left = lengths - np.tile(skip + back, 2)
+    return left, Sequences(units, starts + np.tile(skip, 2), left).units()[2]
+
+
+def _without_gaps(units: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on, equal ones for equal units."""
+    most = int(units.max())
+    if most > max(len(units), 1 << 16):
+        return pd.factorize(units)[0].astype(np.int64)
+    seen = np.zeros(most + 1, bool)
+    seen[units] = True
+    return (np.cumsum(seen) - 1)[units]
+
+
 def _clipped(lengths: np.ndarray, units: np.ndarray, n_refs: np.ndarray, max_n: int) -> np.ndarray:
     n_rows = len(n_refs)
     out = np.zeros((n_rows, 3 * max_n + 2), dtype=np.int64)
@@ -183,12 +228,14 @@ def _clipped(lengths: np.ndarray, units: np.ndarray, n_refs: np.ndarray, max_n:
     if not len(units):
         return out
     if (n_refs == 1).all():
-        matches = _matches(lengths, units, n_rows, max_n)
+        left, held = _without_ends(lengths, units, n_rows, max_n - 1)
+        matches = _matches(left, held, n_rows, max_n) if len(held) else np.zeros((n_rows, max_n), np.int64)
         if matches is not None:
-            orders = np.arange(max_n)
-            out[:, :max_n] = matches
-            out[:, max_n : 2 * max_n] = np.maximum(lengths[:n_rows, None] - orders, 0)
-            out[:, 2 * max_n : 3 * max_n] = np.maximum(lengths[n_rows:, None] - orders, 0)
+            sizes = lambda x: np.maximum(x[:, None] - np.arange(max_n), 0)
+            have = sizes(lengths[:n_rows])
+            out[:, :max_n] = matches + have - sizes(left[:n_rows])
+            out[:, max_n : 2 * max_n] = have
+            out[:, 2 * max_n : 3 * max_n] = sizes(lengths[n_rows:])
             return out
     row_of, side_of = np.repeat(seq_row, lengths), np.repeat(seq_side, lengths)
     ends = np.repeat(np.cumsum(lengths), lengths)
