@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 NOT_SPACE = r"(?U)[^\s\x1c-\x1f]"
 BLANK_END = r"(?U)[\s\x1c-\x1f]\z"
 BLANKS_IN_LINE = r"(?U)[\s\x1c-\x1f&&[^\n]]+"
+RARE_BLANK = r"(?U)[\s\x1c-\x1f&&[^ \n]]"
 BLANK_CHARS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 # Fixed value: a token is a word run or one other character, with the blanks before it; blanks at
@@ -52,11 +53,16 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(BLANK_CHARS))
 
 
-def words(c: Column) -> Column:
-    """Whitespace words, as ``str.split()`` without arguments."""
+def _word_matches(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(NOT_SPACE + "+"), F.lit(0))
 
 
+def words(c: Column) -> Column:
+    """Whitespace words, as ``str.split()`` without arguments. Without rare blanks a plain split finds the same ones."""
+    plain = F.array_remove(F.split(F.replace(c, F.lit("\n"), F.lit(" ")), " "), "")
+    return F.when(c.rlike(RARE_BLANK), _word_matches(c)).otherwise(plain)
+
+
 def pieces(c: Column) -> Column:
     """Lossless word pieces."""
     return F.regexp_extract_all(c, F.lit(PIECE), F.lit(0))
@@ -100,7 +106,7 @@ def first_word(c: Column) -> Column:
 
 def plain_words(c: Column) -> Column:
     """Words after deleting ASCII punctuation and lower-casing."""
-    return words(F.lower(F.regexp_replace(c, r"\p{Punct}", "")))
+    return _word_matches(F.lower(F.regexp_replace(c, r"\p{Punct}", "")))
 
 
 def prepare_13a(c: Column, lowercase: bool = False) -> Column:
@@ -116,7 +122,7 @@ def tokenize_13a(c: Column, lowercase: bool = False) -> Column:
     t = F.concat(F.lit(" "), prepare_13a(c, lowercase), F.lit(" "))
     for pattern, target in SPLIT_13A:
         t = F.regexp_replace(t, pattern, target)
-    return words(t)
+    return _word_matches(t)
 
 
 def rouge_words(c: Column) -> Column:
@@ -137,7 +143,7 @@ def ter_words(c: Column) -> Column:
     t = F.concat(F.lit(" "), prepare_ter(c), F.lit(" "))
     for pattern, target in SPLIT_TER:
         t = F.regexp_replace(t, pattern, target)
-    return words(F.regexp_replace(t, TER_PUNCT, ""))
+    return _word_matches(F.regexp_replace(t, TER_PUNCT, ""))
 
 
 @dataclass(frozen=True)

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from ..functions import text as tx
 from ..session import shared_dir
@@ -81,6 +83,8 @@ def special_tokens(specials: dict[str, int | None], next_id: int, task: str) ->
 
 # Entries that a worker looks up at a time.
 ENTRIES = 1 << 20
+# Entries whose distinct values are joined together.
+BLOCK = 1 << 18
 # A worker's dictionaries by name: built once, then used for every batch.
 _tables: dict[str, dict] = {}
 
@@ -141,37 +145,87 @@ def lookup_joined(
     kind: str,
     name: str,
 ) -> DataFrame:
-    """Replace array entries by a join: entries are exploded with their position, and a row's array
-    is put together again (one row's entries per group). The entries of frequent values are dealt
-    into as many parts as their share asks for, and only those rows of the table are copied.
+    """Replace array entries by a join. Rows are put into blocks of bounded size, and only the distinct entries of a
+    block are exploded with their position and joined; a block's answers are put together again beside its rows.
+    The entries of frequent values are dealt into as many parts as their share asks for, and only those
+    rows of the table are copied.
 
-    Rows are numbered and written first, so repeated and null ids of any column play no part.
+    Blocks are numbered and written first, so repeated and null ids of any column play no part.
     """
     shared_dir(df.sparkSession)
-    rows = df.withColumn("__row", F.monotonically_increasing_id()).checkpoint()
+    blocks = _blocks(df, array_col).withColumn("__block", F.monotonically_increasing_id()).checkpoint()
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = rows.select("__row", F.posexplode(array_col).alias("__pos", "__k"))
+    entries = blocks.select("__block", F.posexplode("__keys").alias("__pos", "__k"))
     heavy = F.broadcast(heavy_entries(entries, "__k", parts))
-    # Null entries match nothing and may go anywhere.
-    spread = F.when(F.col("__k").isNull(), parts).otherwise(F.coalesce("__parts", F.lit(1)))
-    salt = F.pmod(F.xxhash64("__row", "__pos"), spread)
-    entries = entries.join(heavy, "__k", "left").select("__row", "__pos", "__k", salt.alias("__salt"))
+    salt = F.pmod(F.xxhash64("__block", "__pos"), F.coalesce("__parts", F.lit(1)))
+    entries = entries.join(heavy, "__k", "left").select("__block", "__pos", "__k", salt.alias("__salt"))
     copies = F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1).cast("array<bigint>")
     known = table.select(F.col(key).alias("__k"), F.col(value).alias("__v"))
     salted = known.join(heavy, "__k", "left").select("__k", "__v", F.explode(copies).alias("__salt"))
     entry = F.struct("__pos", F.coalesce("__v", F.lit(default)).alias("v"))
     found = (
         entries.join(salted, ["__k", "__salt"], "left")
-        .groupBy("__row")
+        .groupBy("__block")
         .agg(F.array_sort(F.collect_list(entry)).alias("__a"))
     )
-    values = F.transform("__a", lambda z: z["v"]).cast(f"array<{kind}>")
-    filled = F.coalesce(values, F.array().cast(f"array<{kind}>"))
-    return (
-        rows.join(found, "__row", "left")
-        .withColumn(name, F.when(F.col(array_col).isNotNull(), filled))
-        .drop("__a", "__row")
+    answered = blocks.join(found, "__block", "left").withColumn("__v", F.transform("__a", lambda z: z["v"]))
+
+    def filled(codes: Column) -> Column:
+        one = F.transform(codes, lambda c: F.coalesce(F.get("__v", c), F.lit(default)))
+        # A key that the table repeats gives all its values; null entries match nothing.
+        of = lambda c: F.transform(F.filter("__a", lambda z: z["__pos"] == c), lambda z: z["v"])
+        every = F.flatten(F.transform(codes, lambda c: F.when(c < 0, F.array(F.lit(default))).otherwise(of(c))))
+        return F.when(F.size("__a") != F.size("__keys"), every).otherwise(one).cast(f"array<{kind}>")
+
+    def row(r: Column) -> Column:
+        fields = {c: r[f"c{i}"] for i, c in enumerate(df.columns) if c != array_col}
+        fields[array_col] = F.transform(r["codes"], lambda c: F.get("__keys", c))
+        fields[name] = filled(r["codes"])
+        order = [*df.columns, *([] if name in df.columns else [name])]
+        return F.struct(*[fields[c].alias(c) for c in order])
+
+    return answered.select(F.inline(F.transform("__rows", row)))
+
+
+def _blocks(df: DataFrame, array_col: str) -> DataFrame:
+    """``__keys``: the distinct entries of about ``BLOCK`` entries of an array column; ``__rows``: the rows that hold
+    them, with fields ``c0, c1...`` for the other columns and ``codes``, each entry's place in ``__keys`` (-1 for null)."""
+    at = df.columns.index(array_col)
+    fields = [T.StructField(f"c{i}", f.dataType) for i, f in enumerate(df.schema) if i != at]
+    schema = T.StructType(
+        [
+            T.StructField("__keys", T.ArrayType(df.schema[array_col].dataType.elementType)),
+            T.StructField("__rows", T.ArrayType(T.StructType([*fields, T.StructField("codes", T.ArrayType(T.IntegerType()))]))),
+        ]
     )
+    names = [*(f.name for f in fields), "codes"]
+
+    def block(rows: pa.RecordBatch) -> pa.RecordBatch:
+        lists = rows.column(at)
+        coded = lists.flatten().dictionary_encode()
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        starts = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+        codes = pc.fill_null(coded.indices.cast(pa.int32()), -1)
+        nested = pa.StructArray.from_arrays(
+            [
+                *(c for i, c in enumerate(rows.columns) if i != at),
+                pa.ListArray.from_arrays(starts, codes, mask=lists.is_null()),
+            ],
+            names=names,
+        )
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.RecordBatch.from_arrays([one(coded.dictionary), one(nested)], ["__keys", "__rows"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BLOCK)) + 1
+            for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(batch)]):
+                if b > a:
+                    yield block(batch.slice(a, b - a))
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(cut, schema)
 
 
 def _lookup(
