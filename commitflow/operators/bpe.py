@@ -239,9 +239,10 @@ class WordSymbols:
 
 def _summed(codes: np.ndarray, amounts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct pairs with the sum of their amounts, zeros left out."""
-    found, which = np.unique(codes, return_inverse=True)
+    encoded = pa.array(codes).dictionary_encode()
+    found = encoded.dictionary.to_numpy()
     sums = np.zeros(len(found), np.int64)
-    np.add.at(sums, which, amounts)
+    np.add.at(sums, encoded.indices.to_numpy(), amounts)
     return found[sums != 0], sums[sums != 0]
 
 
